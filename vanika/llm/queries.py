@@ -27,6 +27,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=2048)
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vanika.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3)
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vanika.llm.dac import encode_and_read
 
@@ -34,7 +40,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_best_fit_packing, op10_token_ids)}
+    return {f.__name__: f for f in (op5_best_fit_packing, op6_simhash_near_dedup, op10_token_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
