@@ -165,12 +165,12 @@ _WORD_SPACE = np.zeros(256, bool)
 _WORD_SPACE[[32, *range(9, 14)]] = True
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words [^\\x20\\x09-\\x0D]+ of all texts: their starts, lengths and how many each text has."""
+def words(data: np.ndarray, offs: np.ndarray, between: np.ndarray = _WORD_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words [^\\x20\\x09-\\x0D]+ of all texts (or what lies between other bytes): their starts, lengths and how many each text has."""
     n = len(data)
     if not n:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offs) - 1, np.int64)
-    gap = _WORD_SPACE[data]
+    gap = between[data]
     first = np.zeros(n + 1, bool)
     first[offs] = True  # a text's start; the entry n is never read
     before = np.empty(n, bool)

@@ -45,6 +45,12 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vanika.llm.toxicity import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vanika.llm.dac import encode_and_read
 
@@ -52,7 +58,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op3_winnowing, op5_best_fit_packing, op6_simhash_near_dedup, op10_token_ids)}
+    return {f.__name__: f for f in (op2_pii, op3_winnowing, op5_best_fit_packing, op6_simhash_near_dedup, op8_toxicity, op10_token_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
