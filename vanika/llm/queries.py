@@ -51,6 +51,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vanika.llm.maxent import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vanika.llm.dac import encode_and_read
 
@@ -58,7 +64,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op3_winnowing, op5_best_fit_packing, op6_simhash_near_dedup, op8_toxicity, op10_token_ids)}
+    return {f.__name__: f for f in (op2_pii, op3_winnowing, op5_best_fit_packing, op6_simhash_near_dedup, op8_toxicity, op9_language_model, op10_token_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
