@@ -161,6 +161,17 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.nda
 #: Upper-case ASCII letters to lower case, all other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+
+
+def lower_latin(data: np.ndarray) -> np.ndarray:
+    """ASCII and Latin-1 letters in lower case, in as many bytes; other letters as they are."""
+    low = LOWER[data]
+    at = np.flatnonzero(data[:-1] == 0xC3) + 1
+    b = data[at]
+    low[at[(b >= 0x80) & (b <= 0x9E) & (b != 0x97)]] += 32
+    return low
+
+
 _WORD_SPACE = np.zeros(256, bool)
 _WORD_SPACE[[32, *range(9, 14)]] = True
 

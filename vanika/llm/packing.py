@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from vanika.llm.common import blocks, cut, encoder
 
 #: Pieces that one task packs together. What is lost where they end is about one sequence a task.
-SHARD_PIECES = 16_384
+SHARD_PIECES = 4096
 #: Passes of the local search over all bins; it also ends after a pass that changes nothing.
 PASSES = 12
 

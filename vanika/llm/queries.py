@@ -21,6 +21,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vanika.llm.decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vanika.llm.pii import find
 
@@ -64,7 +70,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op3_winnowing, op5_best_fit_packing, op6_simhash_near_dedup, op8_toxicity, op9_language_model, op10_token_ids)}
+    return {f.__name__: f for f in (op1_decontamination, op2_pii, op3_winnowing, op5_best_fit_packing, op6_simhash_near_dedup, op8_toxicity, op9_language_model, op10_token_ids)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vanika.llm.common import LOWER, blocks, crc_mod, cut, hash_spans, text_buffers, words
+from vanika.llm.common import blocks, crc_mod, cut, hash_spans, lower_latin, text_buffers, words
 
 #: Share of toxic training documents that a term must be in, and the least number of them.
 MIN_SHARE, MIN_COUNT = 0.004, 5
@@ -163,7 +163,7 @@ class Scorer:
     def features(self, column: pa.Array) -> np.ndarray:
         """A row of FEATURES numbers for each text."""
         data, offs = text_buffers(column)
-        low = LOWER[data]
+        low = lower_latin(data)
         starts, lens, per = words(low, offs, _GAP)
         out = np.zeros((len(per), FEATURES))
         if not len(starts):
