@@ -39,6 +39,12 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vanika.llm.toolcalls import link_conversations
+
+    return link_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vanika.llm.packing import pack
 
@@ -51,6 +57,12 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vanika.llm.secretscan import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vanika.llm.toxicity import score
 
@@ -70,8 +82,10 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_pii, op3_winnowing, op5_best_fit_packing, op6_simhash_near_dedup, op8_toxicity, op9_language_model, op10_token_ids)}
+    return {f.__name__: f for f in (op1_decontamination, op2_pii, op3_winnowing, op4_tool_calls, op5_best_fit_packing, op6_simhash_near_dedup, op7_secret_scan, op8_toxicity, op9_language_model, op10_token_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from vanika.llm import toolcalls
+
+    return {"op4_tool_calls": toolcalls.ORACLE}
