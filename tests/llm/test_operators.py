@@ -1,0 +1,446 @@
+"""Each operator against a plain version on small tables, with nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+
+from vanika.llm import common, dac, decontaminate, maxent, packing, pii, secretscan, simhash, toolcalls, toxicity, winnow
+from vanika.llm.queries import tokenizer_path
+
+r = random.Random(4)
+WORDS = [f"{a}{b}" for a in "the of and ing ion er st un re".split() for b in "ka lo mi éra zu que na".split()]
+
+
+def prose(n, seed):
+    return " ".join(random.Random(seed).choices(WORDS, k=n))
+
+
+#: doc_id, text and columns that operators use as names themselves.
+EDGE = [
+    (0, prose(60, 0)), (1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, prose(60, 0)), (6, "Größe İ Σς ½ 世界 don't <|endoftext|>"), (7, "a" * 3000 + " b"), (8, prose(9000, 8)),
+    (9, "mail a.b@c.de, +1 (555) 123-4567 4111 1111 1111 1111 10.0.0.1"), (9, "same id"), (None, "no id"), (10, "\U0001f600\U0001f600 " * 30), (4, "one"),
+]
+SCHEMA = "doc_id long, text string"
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    return spark.createDataFrame([(*x, 1, "k", 2) for x in EDGE], f"{SCHEMA}, fp int, key string, score int")
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def rows_of(df):
+    return sorted((tuple(x) for x in df.collect()), key=repr)
+
+
+# --- common
+
+
+@pytest.mark.parametrize("name,blanks", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_encoder_is_exact(name, blanks):
+    signs = [*"abcXYZ  \n\n\t''.,!?-_19 é×÷—“”’  ́\u0085世界😀ſĀİΣς", "'s", "'re", "'LL", "  ", "\x1c", "\x0b", "<|endoftext|>", "½²", "ﬁ"]
+    texts = ["".join(r.choices(signs, k=r.randint(0, 14))) for _ in range(4000)]
+    e = common.Encoder(tokenizer_path(name), blanks)
+    ids, n = e.encode(pa.array(texts))
+    at = np.concatenate([[0], np.cumsum(n)])
+    want = [x.ids for x in e.lib.encode_batch(texts, add_special_tokens=False)]
+    assert [ids[i:j].tolist() for i, j in zip(at, at[1:], strict=False)] == want
+
+
+def test_span_hashes_tell_words_apart():
+    words = [bytes(r.choices(range(97, 123), k=r.randint(1, 400))) for _ in range(3000)]
+    data, lens = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words])
+    h = common.hash_spans(data, np.cumsum(lens) - lens, lens)
+    by = defaultdict(set)
+    for w, x in zip(words, h.tolist(), strict=True):
+        by[x].add(w)
+    assert all(len(s) == 1 for s in by.values()) and len(by) == len(set(words))
+
+
+# --- 1 decontamination
+
+
+def test_leaks(spark, edge, empty):
+    items = [(0, prose(30, 100)), (1, prose(12, 101)), (2, None), (3, "too short"), (4, prose(50, 102))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    changed = items[4][1].split()
+    for k in range(5, 45, 10):
+        changed[k] = "else"
+    docs = [(20, prose(200, 1) + " " + items[0][1] + " " + prose(150, 2)), (21, items[1][1].upper()), (22, prose(300, 3)), (23, prose(40, 4) + " " + " ".join(changed) + " " + prose(40, 5)), (24, None), (25, items[0][1] + " " + items[1][1])]
+    found = {(x["doc_id"], x["item_id"]) for x in decontaminate.leaks(edge.select("doc_id", "text").union(spark.createDataFrame(docs, SCHEMA)), bench).collect()}
+    assert found == {(20, 0), (21, 1), (23, 4), (25, 0), (25, 1)}
+    assert decontaminate.leaks(empty, bench).collect() == [] and decontaminate.leaks(edge, bench.limit(0)).collect() == []
+    assert decontaminate.without_leaks(edge, bench).count() == len(EDGE)
+
+
+def test_lcs():
+    for _ in range(200):
+        a, b = [np.array(r.choices(range(5), k=r.randint(1, 12))) for _ in range(2)]
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        assert decontaminate.lcs_length(a, b) == best[-1][-1]
+
+
+# --- 2 personal data
+
+_BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def base(text):
+    out = []
+    for kind, pattern in _BASE.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            ok = {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in m.group().split(".")), "card": 12 <= len(digits) <= 19 and pii.luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            out += [(kind, *m.span())] if ok else []
+    return sorted(out, key=lambda s: (s[1], pii.KINDS.index(s[0])))
+
+
+def test_base_spans_match_the_patterns():
+    for _ in range(5000):
+        t = "".join(r.choices("a.@-+1 2(9.@5", k=r.randint(0, 40)))
+        assert pii.base_spans(t) == base(t)
+
+
+def test_pii(edge, empty):
+    got = pii.find(edge).collect()
+    assert len(got) == len(EDGE) and pii.find(empty).collect() == []
+    texts = Counter((d, t or "") for d, t in EDGE)
+    want = Counter((d, hashlib.sha256(pii.join_spans(base(t)).encode()).hexdigest()) for d, t in texts.elements())
+    assert Counter((x["doc_id"], x["base_sha256"]) for x in got) == want
+
+
+def test_field_on_held_out_sentences():
+    field, right, wrong = pii.trained(), 0, 0
+    for words, gold in pii.made_sentences(200, seed=77):
+        a, b = ({s for s in x if s[2] != "other"} for x in (field.best(words), gold))
+        right += len(a & b)
+        wrong += len(a ^ b)
+    assert wrong <= 0.03 * right
+
+
+def test_field_adds_spans():
+    t = "call 555-123-4567 or write to jo [at] mail [dot] org and 4111111111111111 4012888888881881 now"
+    spans = pii.all_spans(t, pii.base_spans(t), pii.trained())
+    assert {k for k, _, _ in spans} >= {"phone", "email"} and sum(k == "card" for k, _, _ in spans) == 2
+
+
+# --- 3 winnowing
+
+
+def plain_winnow(t, k=winnow.GRAM, w=winnow.WINDOW):
+    h = [int(winnow.gram_hashes(np.frombuffer(t[i : i + min(k, len(t))].encode("utf-32-le"), "<u4"), k)[0]) for i in range(max(1, len(t) - k + 1))] if t else []
+    out = []
+    for i in range(max(1, len(h) - w + 1) if h else 0):
+        x = h[i : i + w]
+        p = i + max(j for j, v in enumerate(x) if v == min(x))
+        if not out or out[-1][1] != p:
+            out.append((min(x), p))
+    return " ".join(f"{a:08x}@{b}" for a, b in out)
+
+
+def test_winnowing(spark, edge, empty):
+    got = winnow.fingerprint_with_edits(edge).collect()
+    order = sorted(((d, t or "") for d, t in EDGE), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    want = Counter()
+    for k, (d, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        want[(d, len(t), hashlib.sha256(edited.encode()).hexdigest(), plain_winnow(t) if len(t) < 2000 else None)] += 1
+    assert Counter((x["doc_id"], x["n_chars"], x["edited_sha256"], x["fingerprint"] if x["n_chars"] < 2000 else None) for x in got) == want
+    assert winnow.fingerprint_with_edits(empty).collect() == []
+    one = winnow.fingerprint_with_edits(spark.createDataFrame([(5, "abcd")], SCHEMA)).first()
+    assert one["near_next"] == 1.0 and one["edited_sha256"] == hashlib.sha256(b"abab").hexdigest()
+
+
+def test_winnowing_finds_shared_passages():
+    passage = "".join(r.choices("abcdefgh ", k=winnow.GRAM + winnow.WINDOW - 1))
+    for _ in range(50):
+        a, b = ("".join(r.choices("xyz", k=r.randint(0, 90))) + passage + "".join(r.choices("uvw", k=r.randint(0, 90))) for _ in range(2))
+        assert set(winnow.winnow(a)[0].tolist()) & set(winnow.winnow(b)[0].tolist())
+
+
+# --- 4 tool calls
+
+
+def test_tool_calls(spark):
+    calls = spark.createDataFrame([("a", "ask", '{"turn":1,"text":"x","chars":1}', []), ("b", "ask", '{"text":"","turn":"1","odd":null,"chars":2}', ["a"]), ("c", "nope", "{}", ["b", "a"]), ("d", "ask", "broken", ["e"]), ("e", "ask", None, ["d"]), ("a", "ask", '{"z":1}', []), (None, "ask", "{}", [])], "call_id string, name string, arguments string, after array<string>")
+    results = spark.createDataFrame([("a", "2"), ("a", "1"), ("zz", "lost"), (None, "none")], "call_id string, content string")
+    got = {x["call_id"]: x for x in toolcalls.link(calls, results).collect()}
+    assert {k: (v["status"], v["level"], v["n_results"]) for k, v in got.items()} == {"a": ("linked", 0, 2), "b": ("pending", 1, 0), "c": ("pending", 2, 0), "d": ("pending", None, 0), "e": ("pending", None, 0), "zz": ("orphan", None, 1), None: ("orphan", None, 1)}
+    assert got["a"]["errors"] == "" and got["b"]["errors"] == "range text;type turn;unknown odd" and got["c"]["errors"] == "unknown tool" and got["d"]["errors"] == "not an object"
+    assert got["a"]["message"] == '{"arguments":{"chars":1,"text":"x","turn":1},"id":"a","level":0,"name":"ask","result":"1","status":"linked"}'
+
+
+def test_levels_of_a_long_chain_and_a_cycle(spark):
+    calls = spark.createDataFrame([(str(k),) for k in range(40)] + [("x",), ("y",), ("z",)], "call_id string")
+    after = spark.createDataFrame([(str(k), str(k - 1)) for k in range(1, 40)] + [("x", "y"), ("y", "x"), ("z", "y"), ("0", "gone")], "call_id string, before string")
+    got = dict(toolcalls.levels(calls, after).collect())
+    assert got == {**{str(k): k for k in range(40)}, "x": None, "y": None, "z": None}
+
+
+def test_conversations_edge(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "hi", 5), (1, 1, "assistant", None, 5), (None, 0, "user", "x", 5), (2, None, None, None, 5), (1, 0, "user", "hi", 5)], "conv_id long, turn long, role string, text string, level int")
+    assert {x["call_id"]: x["status"] for x in toolcalls.link_conversations(turns).collect()} == {"1-0": "linked", "null-0": "pending", "2-null": "pending"}
+    assert toolcalls.link_conversations(turns.limit(0)).collect() == []
+
+
+def test_native_operators_have_no_python(spark, edge):
+    turns = spark.createDataFrame([(1, 0, "user", "hi")], "conv_id long, turn long, role string, text string")
+    for df in (toolcalls.link_conversations(turns), secretscan.scan(edge), secretscan.masked(edge)):
+        assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
+
+
+# --- 5 packing
+
+
+def test_packing(spark, edge, empty):
+    cap = 32
+    got = packing.pack(edge, tokenizer_path("word_bpe_49k.json"), cap).collect()
+    lib = common.encoder(tokenizer_path("word_bpe_49k.json"), False).lib
+    want = Counter()
+    for d, t in EDGE:
+        ids = np.array(lib.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
+        for p in range(-(-len(ids) // cap)):
+            part = ids[p * cap : (p + 1) * cap]
+            want[(d, p, p * cap, len(part), zlib.crc32(part.tobytes()))] += 1
+    assert Counter((x["doc_id"], x["piece"], x["start"], x["length"], x["ids_crc32"]) for x in got) == want
+    bins = defaultdict(list)
+    for x in got:
+        bins[x["sequence_id"]].append((x["offset"], x["length"]))
+    for b in bins.values():
+        at = 0
+        for offset, n in sorted(b):
+            assert offset == at
+            at += n
+        assert at <= cap
+    assert packing.pack(empty, tokenizer_path("word_bpe_49k.json"), cap).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_search_raises_squared_fill_and_never_adds_bins(seed):
+    q = random.Random(seed)
+    lengths = [q.randint(1, 60) for _ in range(300)]
+    bins = packing.Bins(lengths, 100)
+    before = (len(bins.fill), sum(f * f for f in bins.fill))
+    bins.improve()
+    used = [x for x in bins.items if x]
+    assert sorted(i for x in used for i in x) == list(range(300)) and all(sum(lengths[i] for i in x) <= 100 for x in used)
+    assert len(used) <= before[0] and sum(f * f for f in bins.fill) >= before[1]
+    assert bins.fill == [sum(lengths[i] for i in x) for x in bins.items]
+
+
+# --- 6 near duplicates
+
+
+def plain_fp(t, k):
+    w = (t or "").encode().lower().split()
+    sh = [b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))] if w else []
+    h = [xxhash.xxh64_intdigest(x, 42) for x in sh]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def plain_components(n, linked):
+    parent = list(range(n))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(n), 2):
+        if linked(i, j):
+            a, b = top(i), top(j)
+            parent[max(a, b)] = min(a, b)
+    return [top(i) for i in range(n)]
+
+
+def test_near_duplicates(edge, empty):
+    got = Counter(tuple(x) for x in simhash.near_duplicates(edge).collect())
+    fp = [plain_fp(t, 3) for _, t in EDGE]
+    comp = plain_components(len(EDGE), lambda i, j: (fp[i] ^ fp[j]).bit_count() <= 2)
+    least = {c: min((d for (d, _), k in zip(EDGE, comp, strict=True) if k == c and d is not None), default=None) for c in comp}
+    links = [sum((f ^ g).bit_count() <= 2 for g in fp) - 1 for f in fp]
+    assert got == Counter((d, f"{f:016x}", least[c], n) for (d, _), f, c, n in zip(EDGE, fp, comp, links, strict=True))
+    assert simhash.near_duplicates(empty).collect() == []
+
+
+@pytest.mark.parametrize("bucket", [4096, 4])
+def test_trie_join_loses_no_link(spark, bucket):
+    q = random.Random(3)
+    values = set()
+    for _ in range(12):
+        b = q.getrandbits(64)
+        values.add(b)
+        for _ in range(40):
+            v = b
+            for _ in range(q.randint(1, 3)):
+                v ^= 1 << q.randrange(64)
+            values.add(v)
+    signed = {v - (1 << 64) if v >> 63 else v: v for v in values}
+    df = spark.createDataFrame([(s, 1 + v % 3) for s, v in signed.items()], "fp long, copies long")
+    got = {x["fp"]: x["n"] for x in simhash.link(df, bucket).groupBy("fp").agg({"links": "sum"}).toDF("fp", "n").collect()}
+    assert all(got.get(s, 0) == sum(1 + w % 3 for w in values if w != v and (v ^ w).bit_count() <= 2) for s, v in signed.items())
+
+
+def test_trie_pairs_of_a_dense_group():
+    fp = np.arange(700, dtype=np.uint64)
+    i, j = simhash.trie_pairs(fp, np.array([0]), np.array([700]), 2)
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == [(a, b) for a, b in itertools.combinations(range(700), 2) if (a ^ b).bit_count() <= 2]
+
+
+def test_components(spark):
+    q = random.Random(9)
+    edges = [(q.randrange(200), q.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)] + [(1, 1), (None, 3)]
+    got = {x["u"]: x["root"] for x in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    want = plain_components(341, lambda i, j: (i, j) in pairs or (j, i) in pairs) if (pairs := set(edges)) else []
+    assert all(got.get(k, k) == want[k] for k in range(341))
+    assert simhash.components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_similar(spark, edge, empty):
+    def edit(t, every):
+        w = t.split()
+        w[every::every] = ["edit"] * len(w[every::every])
+        return " ".join(w)
+
+    docs = [(k, prose(300, k)) for k in range(6)] + [(10 + k, edit(prose(300, k), 140)) for k in range(6)] + [(20, "".join(c.upper() if c.isascii() else c for c in prose(300, 0))), (21, edit(prose(300, 1), 7)), (22, None), (23, "")]
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert got == {**{k: k for k in range(6)}, **{10 + k: k for k in range(6)}, 20: 0, 21: 21, 22: 22, 23: 22}
+    assert simhash.similar(empty).collect() == []
+    assert simhash.keep_one(edge).columns == edge.columns
+
+
+# --- 7 secrets
+
+
+def test_secrets(spark, edge, empty):
+    key = hashlib.sha1(b"x").hexdigest()
+    texts = [(1, f'é token = "{key}" and'), (2, f"commit {key} of"), (3, "see /usr/lib/python3/site-packages/config2 now"), (4, f'{key} api_key="{key}"'), (5, None), (6, "")]
+    docs = spark.createDataFrame([(*x, 99) for x in texts], f"{SCHEMA}, n_chars long")
+    got = {(x["doc_id"], x["start"], x["end"], x["secret"]) for x in secretscan.scan(docs).collect()}
+    assert (1, 11, 51, True) in got and (2, 7, 47, False) in got and {d for d, _, _, s in got if s} == {1, 4}
+    masked = {x["doc_id"]: (x["text"], x["n_chars"]) for x in secretscan.masked(docs).collect()}
+    assert masked[1] == ('é token = "[SECRET]" and', 24) and masked[2] == (texts[1][1], 50) and masked[5] == (None, 99)
+    assert secretscan.scan(empty).collect() == [] and secretscan.masked(edge).columns == edge.columns
+    assert Counter(x["text"] for x in secretscan.masked(edge).collect()) == Counter(t for _, t in EDGE)
+
+
+def test_forest_on_held_out_findings(spark):
+    from pyspark.sql import functions as F
+
+    rows = secretscan.labelled_findings(spark, 4000).filter(F.col("found").isNotNull())
+    scored = rows.select("secret", secretscan.vote(secretscan.forest(spark), secretscan.features(F.col("before"), F.col("found"), F.col("after"))).alias("p")).collect()[secretscan.TRAINING :]
+    assert sum((x["p"] >= 0.5) == x["secret"] for x in scored) >= 0.98 * len(scored)
+
+
+# --- 8 toxicity
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_automaton_finds_what_edit_distance_finds():
+    terms = ["idiot", "moron", "pathetic", "worthless", "scum", "clowns"]
+    lexicon = toxicity.Lexicon(dict.fromkeys(terms, 1.0))
+    for _ in range(4000):
+        w = list(r.choice(terms))
+        for _ in range(r.randint(0, 3)):
+            k = r.randrange(len(w) + 1)
+            w[k : k + r.randint(0, 1)] = r.choices("abcdiot", k=r.randint(0, 1))
+        w = "".join(w)
+        near = [edits(w, t) for t in terms if edits(w, t) <= toxicity.errors_allowed(t)]
+        term, found = lexicon.match(w)
+        assert (term >= 0) == bool(near) and (not near or found == min(near))
+        letters = np.array([np.bitwise_or.reduce(toxicity._LETTER[np.frombuffer(w.encode(), np.uint8)]) if w else 0], np.uint32)
+        if near and w not in terms:
+            assert lexicon.near_some_term(letters, np.array([len(w)]))[0]
+
+
+def test_toxicity(spark, edge, empty):
+    docs = [(k, prose(40, k) + (" you idiot " if k % 3 == 0 else " ") + prose(40, k + 999)) for k in range(240)]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0), 1) for k in range(240)] + [(5, None, 1), (None, 1, 1)], "doc_id long, toxic int, quality int")
+    got = {x["doc_id"]: x for x in toxicity.score(spark.createDataFrame(docs + [(1000, prose(30, 5) + " you idoit"), (1001, None)], SCHEMA), labels).collect()}
+    assert all(got[k]["held_out"] == (zlib.crc32(str(k).encode()) % 3 == 1) for k in got)
+    assert all(got[k]["predicted"] == int(k % 3 == 0) == int(got[k]["score"] >= 0.7) for k in range(240))
+    assert got[1000]["score"] > got[1001]["score"]
+    assert toxicity.score(edge, labels).count() == len(EDGE) and toxicity.score(empty, labels).collect() == []
+    assert {x["score"] for x in toxicity.score(edge, labels.limit(0)).collect()} == {0.0}
+
+
+def test_quotation_counts_for_less():
+    lexicon = toxicity.Lexicon({"idiot": 5.0})
+    plain, quoted = toxicity.Scorer(lexicon).features(pa.array(["they are an idiot here", 'they said "idiot" here']))
+    assert quoted[2] < plain[2]
+
+
+# --- 9 language model
+
+
+def test_base_scores(spark, edge, empty):
+    docs = edge.select("doc_id", "text").union(spark.createDataFrame([(100 + k, prose(50, k % 7)) for k in range(40)], SCHEMA))
+    rows = [tuple(x) for x in docs.collect()]
+    held = lambda d: zlib.crc32(("null" if d is None else str(d)).encode()) % 7 == 2
+    tokens = [(t or "").encode().lower().split() + [None] for _, t in rows]
+    c = Counter(w for (d, _), ws in zip(rows, tokens, strict=True) if not held(d) for w in ws)
+    n, v = sum(c.values()), len(c)
+    want = Counter((d, held(d), len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), 5)) for (d, _), w in zip(rows, tokens, strict=True))
+    got = maxent.score(docs).collect()
+    assert Counter((x["doc_id"], x["held_out"], x["n_tokens"], x["n_known"], x["train_tokens"], round(x["base_score"], 5)) for x in got) == want
+    assert all(x["score"] < 0 for x in got)
+    assert maxent.score(empty).collect() == []
+
+
+def test_classes_are_a_distribution():
+    w = maxent.Weights(np.random.default_rng(1).normal(size=(maxent.ROWS, 5)).astype(np.float32), np.zeros(5, np.float32))
+    rows = np.random.default_rng(2).integers(0, maxent.ROWS, (50, maxent.FAMILIES))
+    assert np.allclose(np.exp(w.logs(rows)).sum(axis=1), 1, atol=1e-5)
+
+
+# --- 10 token files
+
+
+def test_dac_round_trip_and_access():
+    for n in (0, 1, 7, 511, 512, 513, 3000):
+        ids = np.array([r.choice((r.randrange(256), r.randrange(1 << 16), r.randrange(1 << 32))) for _ in range(n)], np.uint32)
+        d = dac.Dac.from_bytes(dac.Dac.encode(ids).to_bytes())
+        assert np.array_equal(d.decode(), ids) and all(d[i] == ids[i] for i in range(0, n, 13))
+    with pytest.raises(IndexError):
+        dac.Dac.encode(np.array([1], np.uint32))[1]
+
+
+def test_token_files(spark, edge, empty, tmp_path):
+    path = str(tmp_path / "ids")
+    dac.write_ids(edge, tokenizer_path("byte_bpe_50k.json"), path)
+    got = sorted(map(tuple, dac.read_ids(spark, path).collect()), key=lambda x: x[1])
+    lib = common.encoder(tokenizer_path("byte_bpe_50k.json"), True).lib
+    coded = [(d, np.array(lib.encode(t or "", add_special_tokens=False).ids + [0], "<u4")) for d, t in EDGE]
+    assert Counter((d, n, c) for d, _, n, c in got) == Counter((d, len(x), zlib.crc32(x.tobytes())) for d, x in coded)
+    assert [x[1] for x in got] == list(np.cumsum([0] + [x[2] for x in got[:-1]])) and [x[0] or -1 for x in got] == sorted(x[0] or -1 for x in got)
+    last = next(x for d, x in coded if d == 10)
+    assert [dac.token_at(spark, path, got[-1][1] + k) for k in (0, len(last) - 1)] == [last[0], 0]
+    assert dac.encode_and_read(empty, tokenizer_path("byte_bpe_50k.json")).collect() == []
