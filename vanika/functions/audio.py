@@ -76,7 +76,7 @@ def pad_to(values: Column, length: Column, pad: Column) -> Column:
 def wav_seconds(content: Column) -> Column:
     """Duration by a canonical 44-byte RIFF header; 0 where there is none."""
     def little(at: int, n: int) -> Column:
-        return F.conv(F.concat(*(F.hex(F.substring(content, at + n - k, 1)) for k in range(n))), 16, 10).cast("double")
+        return F.conv(F.concat(*(F.hex(F.substring(content, at + n - 1 - k, 1)) for k in range(n))), 16, 10).cast("double")
 
     ok = (F.length(content) >= 44) & (F.hex(F.substring(content, 1, 4)) == "52494646")
     return F.when(ok & (little(29, 4) > 0), little(41, 4) / little(29, 4)).otherwise(0.0)
