@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vanika.llm.common import blocks, crc_mod, cut, hash_spans, lower_latin, text_buffers, words
+from vanika.llm.common import blocks, crc_mod, cut, hash_spans, lower_latin, repeat_ranges, text_buffers, words
 
 #: Share of toxic training documents that a term must be in, and the least number of them.
-MIN_SHARE, MIN_COUNT = 0.004, 5
+MIN_SHARE, MIN_COUNT = 0.02, 5
 #: The least log odds of a term, and of a stem.
 MIN_ODDS, MIN_STEM_ODDS = 2.5, 3.0
 #: Terms and stems that the lexicon keeps at most: those in most toxic documents.
-MAX_TERMS = 4000
+MAX_TERMS = 1000
 #: Labelled rows that the logistic model is fitted on at most, those whose hash is smallest.
 FIT_ROWS = 20_000
 #: Code points of the longest word that can be a term.
@@ -33,7 +33,11 @@ STEM_CHARS = (3, 10)
 
 #: Between words: ASCII signs other than those that stand for letters.
 _GAP = np.zeros(256, bool)
-_GAP[[c for c in range(128) if not (chr(c).isalnum() or chr(c) in "@$'")]] = True
+_GAP[[c for c in range(128) if not (chr(c).isalnum() or chr(c) in "@$")]] = True
+
+#: A bit for each letter.
+_LETTER = np.zeros(256, np.uint32)
+_LETTER[97:123] = np.uint32(1) << np.arange(26, dtype=np.uint32)
 
 #: Words of reporting and of address, as they stand near a term.
 REPORTING = frozenset("said says wrote writes called quoted quote term word phrase dit écrit mot sagte schrieb wort dijo escribió palabra".split())
@@ -63,27 +67,32 @@ class Lexicon:
         self.exact = {t: k for k, t in enumerate(weights) if not t.endswith("*")}
         self.stems = {t[:-1]: k for k, t in enumerate(weights) if t.endswith("*")}
         self.stem_lens = sorted({len(s) for s in self.stems})
-        self.root = Node()
+        # A trie for each number of edits allowed.
+        self.roots = {1: Node(), 2: Node()}
         self.fuzzy = [t for t in self.exact if errors_allowed(t)]
         for t in self.fuzzy:
-            node = self.root
+            node = self.roots[errors_allowed(t)]
             for c in t:
                 node = node.next.setdefault(c, Node())
             node.term = self.exact[t]
-        lens = [len(t) for t in self.fuzzy] or [0]
-        self.low, self.high = min(lens) - 2, max(lens) + 2
-        self.lens = {k: len(t) for t, k in self.exact.items()}
 
-    def match(self, word: str) -> tuple[int, int]:
-        """The term that the word is, begins with or misspells, and the edits between; (-1, 0): none."""
+    def near_some_term(self, letters: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Which words may be within a term's edits: about as long, and without more of its letters missing than edits allowed."""
+        out = np.zeros(len(lens), bool)
+        for t in self.fuzzy:
+            k = errors_allowed(t)
+            mask = np.uint32(sum(1 << (ord(c) - 97) for c in set(t) if "a" <= c <= "z"))
+            out |= (np.abs(lens - len(t)) <= k) & (np.bitwise_count(mask & ~letters) <= k)
+        return out
+
+    def match(self, word: str, near: bool = True) -> tuple[int, int]:
+        """The term that the word is, begins with or (if near) misspells, and the edits between; (-1, 0): none."""
         if word in self.exact:
             return self.exact[word], 0
         for n in self.stem_lens:
             if word[:n] in self.stems:
                 return self.stems[word[:n]], 0
-        if self.low <= len(word) <= self.high:
-            return self.nearest(word)
-        return -1, 0
+        return self.nearest(word) if near else (-1, 0)
 
     def nearest(self, word: str) -> tuple[int, int]:
         """The closest term within its allowed edits: the word's Levenshtein automaton walks the trie.
@@ -97,23 +106,28 @@ class Lexicon:
             letters[c] = letters.get(c, 0) | 1 << i
         full = (1 << (n + 1)) - 1
         best, edits = -1, 3
-        stack = [(self.root, 1, 0b11, 0b111)]
-        while stack:
-            node, r0, r1, r2 = stack.pop()
-            if node.term >= 0:
-                e = 0 if r0 >> n & 1 else 1 if r1 >> n & 1 else 2 if r2 >> n & 1 else 3
-                if e < edits and e <= (1 if self.lens[node.term] < 8 else 2):
-                    best, edits = node.term, e
-            for c, child in node.next.items():
-                m = letters.get(c, 0)
-                s0 = (r0 & m) << 1
-                s1 = ((r1 & m) << 1 | r0 | r0 << 1 | s0 << 1) & full
-                s2 = ((r2 & m) << 1 | r1 | r1 << 1 | s1 << 1) & full
-                if s2:
-                    stack.append((child, s0, s1, s2))
+        for allowed, root in self.roots.items():
+            stack = [(root, 1, 0b11, 0b111)]
+            while stack:
+                node, r0, r1, r2 = stack.pop()
+                if node.term >= 0:
+                    e = 0 if r0 >> n & 1 else 1 if r1 >> n & 1 else 2 if r2 >> n & 1 else 3
+                    if e < edits and e <= allowed:
+                        best, edits = node.term, e
+                for c, child in node.next.items():
+                    m = letters.get(c, 0)
+                    s0 = (r0 & m) << 1
+                    s1 = ((r1 & m) << 1 | r0 | r0 << 1 | s0 << 1) & full
+                    s2 = ((r2 & m) << 1 | r1 | r1 << 1 | s1 << 1) & full if allowed > 1 else 0
+                    if s1 or s2:
+                        stack.append((child, s0, s1, s2))
         return (best, edits) if best >= 0 else (-1, 0)
 
 
+def _root_of(bare: str, kept: dict[str, float], low: int, upto: int) -> bool:
+    return any(bare[:k] + "*" in kept for k in range(low, upto))
+
+
 def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
     """Terms and stems by the log odds of their documents' labels; labelled: text, toxic.
 
@@ -139,9 +153,8 @@ def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
     kept: dict[str, float] = {}
     for term in sorted(found, key=lambda x: (not x.endswith("*"), len(x), x)):
         bare = term.rstrip("*")
-        if not any(bare[:k] + "*" in kept for k in range(low, len(bare) + (not term.endswith("*")))):
+        if not _root_of(bare, kept, low, len(bare) + (not term.endswith("*"))):
             kept[term] = found[term]
-    # A stem that is only the beginning of one frequent term is that term.
     return dict(sorted(kept.items()))
 
 
@@ -177,7 +190,13 @@ class Scorer:
         inside = place < len(self.known)
         new[inside] = self.known[place[inside]] != unique[inside]
         if new.any():
-            found = [self.lexicon.match(low[s : s + k].tobytes().decode(errors="replace").lower().strip("'")) if k <= 4 * MAX_WORD else (-1, 0) for s, k in zip(starts[where[new]].tolist(), lens[where[new]].tolist(), strict=True)]
+            first, size = starts[where[new]], lens[where[new]]
+            at = np.cumsum(size) - size
+            own = low[repeat_ranges(first, size)]
+            letters = np.bitwise_or.reduceat(_LETTER[own], at)
+            points = np.add.reduceat((own & 0xC0) != 0x80, at, dtype=np.int64)
+            near_one = self.lexicon.near_some_term(letters, points).tolist()
+            found = [self.lexicon.match(low[s : s + k].tobytes().decode(errors="replace").lower().strip("'"), near) if k <= 4 * MAX_WORD else (-1, 0) for s, k, near in zip(first.tolist(), size.tolist(), near_one, strict=True)]
             at = place[new]
             self.known = np.insert(self.known, at, unique[new])
             self.term = np.insert(self.term, at, [t for t, _ in found])
