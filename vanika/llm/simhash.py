@@ -262,6 +262,15 @@ def band_fingerprints(hashes: np.ndarray) -> np.ndarray:
     return np.array([simhash(mix(x)) for x in least.reshape(BANDS, ROWS)], np.uint64)
 
 
+#: Bands that a pair of a small bucket has to share to be checked. At a similarity of 0.8, 6.5 of 16 are shared on average, fewer than two in 3 of 1000 pairs.
+SHARED = 2
+
+
+def _same(text: bytes) -> bytes:
+    """Equal for texts of the same words, ASCII case aside."""
+    return xxhash.xxh3_128_digest(b" ".join(text.lower().split()))
+
+
 #: In similar(), a bucket of up to so many documents has all its pairs checked.
 PAIRS = 64
 
@@ -272,7 +281,7 @@ def similar(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFram
     One 64-bit SimHash doesn't tell a similarity of 0.8 from none: such pairs differ in 4 to 14 bits. So the fingerprints here
     are banded: each is the SimHash of a few shingles chosen by minwise orders, equal or nearly so for similar texts. The
     same texts (as words, ASCII case aside) are one from the first shuffle on. Of each bucket of nearly equal fingerprints
-    of a band, found by the trie self-join, all pairs are checked if it has PAIRS documents or fewer; of a larger bucket, every document
+    of a band, found by the trie self-join, all pairs that share SHARED bands are checked if it has PAIRS texts or fewer; of a larger bucket, every document
     with its two most central ones (those with most neighbours over all bands) and with the next in the order of
     their bands. The check is exact, on whole shingle sets.
     Null or blank texts are copies of each other. component_id: the smallest doc_id of the group (nulls don't count).
@@ -283,21 +292,28 @@ def similar(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFram
             for b in blocks(batch):
                 data, offs = text_buffers(b.column("text"))
                 raw, at = data.tobytes(), offs.tolist()
-                exact, bands, sets = [], [], []
-                for i, j in zip(at, at[1:], strict=False):
-                    hashes = np.unique(shingle_hashes(raw[i:j], words))
-                    exact.append(xxhash.xxh3_128_digest(b" ".join(raw[i:j].lower().split())))
-                    bands.append(band_fingerprints(hashes).view(np.int64).tolist())
-                    sets.append(hashes.astype("<u8").tobytes())
-                yield pa.record_batch({"doc_id": b.column("doc_id"), "same": pa.array(exact, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64())), "shingles": pa.array(sets, pa.binary())})
+                exact = [_same(raw[i:j]) for i, j in zip(at, at[1:], strict=False)]
+                bands = [band_fingerprints(np.unique(shingle_hashes(raw[i:j], words))).view(np.int64).tolist() for i, j in zip(at, at[1:], strict=False)]
+                yield pa.record_batch({"doc_id": b.column("doc_id"), "same": pa.array(exact, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64()))})
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in blocks(batch):
+                data, offs = text_buffers(b.column("text"))
+                raw, at = data.tobytes(), offs.tolist()
+                exact = [_same(raw[i:j]) for i, j in zip(at, at[1:], strict=False)]
+                sets = [np.unique(shingle_hashes(raw[i:j], words)).tobytes() for i, j in zip(at, at[1:], strict=False)]
+                yield pa.record_batch({"same": pa.array(exact, pa.binary()), "shingles": pa.array(sets, pa.binary())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    marks = cut(rows.mapInArrow(each, "doc_id long, same binary, bands array<long>, shingles binary"), "bands")
+    marks = cut(rows.mapInArrow(each, "doc_id long, same binary, bands array<long>"), "bands")
     texts = cut(marks.groupBy("same").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")).withColumn("text_id", F.xxhash64("same")), "texts")
     pairs = cut(candidate_pairs(texts.select("text_id", "bands")), "pairs")
+    # Shingle sets are made again, of one document of each text in some pair: all sets together would be larger than the texts.
     named = pairs.select("a").union(pairs.select("b")).distinct().toDF("text_id")
-    # Shingle sets of the texts in some pair only.
-    sets = marks.withColumn("text_id", F.xxhash64("same")).join(named, "text_id", "left_semi").groupBy("text_id").agg(F.first("shingles").alias("shingles"))
+    some = texts.join(named, "text_id", "left_semi").select("first").distinct()
+    sets = rows.join(some, rows["doc_id"].eqNullSafe(some["first"]), "left_semi").mapInArrow(shingles, "same binary, shingles binary")
+    sets = sets.withColumn("text_id", F.xxhash64("same")).join(named, "text_id", "left_semi").groupBy("text_id").agg(F.first("shingles").alias("shingles"))
     sets = cut(sets, "sets")
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
 
@@ -333,8 +349,9 @@ def candidate_pairs(texts: DataFrame) -> DataFrame:
     few, many = rows.filter(F.col("n") <= PAIRS), rows.filter(F.col("n") > PAIRS)
     lists = few.groupBy("band", "fp").agg(F.sort_array(F.collect_list("text_id")).alias("ids"))
     pairs = lists.select(F.posexplode("ids").alias("k", "a"), "ids").select("a", F.explode(F.slice("ids", F.col("k") + 2, F.lit(PAIRS))).alias("b"))
+    pairs = pairs.groupBy("a", "b").count().filter(F.col("count") >= SHARED).select("a", "b")
     if many.isEmpty():
-        return pairs.distinct()
+        return pairs
     central = many.groupBy("text_id").agg(F.sum("n").alias("weight"))
     many = many.join(central, "text_id")
     heads = many.groupBy("band", "fp").agg(F.max(F.struct("weight", "text_id")).alias("top"), F.min("text_id").alias("low"))
