@@ -283,6 +283,26 @@ def _features_of(rows: DataFrame, lexicon: Lexicon, keep: str) -> DataFrame:
     return rows.mapInArrow(each, f"{keep} long, x array<double>")
 
 
+#: Bits of the filter that keeps most texts without labels out of the join: its size is fixed, whatever the labels are.
+FILTER_BITS = 1 << 23
+
+
+def _may_be_labelled(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows without those whose doc_id's hash no label has; what is kept by chance, the join drops."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    marks = known.select(place.alias("b")).groupBy(F.floor(F.col("b") / 32768).alias("k")).agg(F.bitmap_construct_agg(F.col("b") % 32768).alias("bits"))
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in marks.collect():
+        bits[r["k"] * 4096 : r["k"] * 4096 + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.asarray(batch.column("place"))
+            yield batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))).select(["doc_id", "text"])
+
+    return rows.select("doc_id", "text", place.alias("place")).mapInArrow(keep, "doc_id long, text string")
+
+
 def score(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted of every document (doc_id, text).
 
@@ -293,7 +313,8 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, thr
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     train = crc_mod("doc_id", folds) != held
     known = labels.filter(train & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("long").alias("toxic"))
-    labelled = cut(rows.filter(train).join(known, "doc_id"), "labelled")
+    known = cut(known, "labels")
+    labelled = cut(_may_be_labelled(rows.filter(train), known).join(known, "doc_id"), "labelled")
     lexicon = Lexicon(learn_lexicon(labelled))
     sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").select("toxic", "text")
     n = labelled.count()
