@@ -3,8 +3,8 @@
 Passages of all documents are TF-IDF vectors over the benchmark's words. A randomised SVD of them, made in two distributed
 passes, gives a latent space; the benchmark's items are rows too, with as much weight as the whole corpus, so that the space
 holds what tells them apart. Windows of every document are compared with every item by their cosine there: since both are sums of word vectors,
-a window's product with an item is a sum of one number a word, and windows whose words can't reach the least product with any
-item are left at once. A candidate is confirmed by the longest common subsequence of its words with the item's; one that is
+a window's product with an item is a sum of one number a word, and the products of all windows with all items come from running
+sums, without any window's vector being made. A candidate is confirmed by the longest common subsequence of its words with the item's; one that is
 less than nearly whole also has to hold the item's answer, its rarest words.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from vanika.llm.common import blocks, hash_spans, lower_latin, parts, text_buffers, words
 
 #: Words of the passages that the SVD is made of, latent dimensions at most, and dimensions drawn beyond them.
-PASSAGE, RANK, OVERSAMPLE = 64, 256, 16
+PASSAGE, RANK, OVERSAMPLE = 64, 160, 16
 #: Items that are searched for at once; a larger benchmark is searched for in groups.
 GROUP_ITEMS = 1000
 #: Least product of a window with an item as a share of the item's own, and least cosine, of a candidate.
@@ -117,44 +117,59 @@ class Items:
         while len(length):
             own = np.flatnonzero((length <= 0.75 * size) & (length > (0.375 * size if size > 32 else 0)))
             if len(own):
-                least = LEAST_SHARE * self.norm2[own]
-                # By the share of the item's least product, so that one bound serves all items of the class.
-                self.classes.append((size, own, (self.product[:, own] / least).max(axis=1).clip(0)))
+                # What a word adds to a window's product with each item of the class, as a share of the least that counts.
+                self.classes.append((size, own, np.ascontiguousarray(self.product[:, own] / (LEAST_SHARE * self.norm2[own]).astype(np.float32))))
             if (length <= 0.75 * size).all():
                 break
             size *= 2
 
-    def search(self, hashes: np.ndarray) -> list[tuple[int, float, float, float, int]]:
-        """item, cosine, subsequence share, answer share and word position of each item that a document's words hold."""
+    def search(self, hashes: np.ndarray, per: np.ndarray) -> list[tuple[int, tuple[int, float, float, float, int]]]:
+        """By text: item, cosine, subsequence share, answer share and word position of each item that its words hold.
+
+        hashes: of the words of all texts, per: how many each text has. A class's windows are four steps long: products are summed
+        step by step, and each four neighbouring steps are a window. Three empty steps keep texts apart.
+        """
         slots = _slots(self.vocabulary, hashes)
-        n = len(slots)
-        known = np.where(slots >= 0, slots, 0)
-        best: dict[int, tuple[float, float, float, float, int]] = {}
-        for size, own, bound in self.classes:
+        first = np.cumsum(per) - per
+        inside = np.flatnonzero(slots >= 0)
+        text = np.repeat(np.arange(len(per)), per)
+        found: dict[tuple[int, int], tuple[float, float, float, int]] = {}
+        for size, own, product in self.classes:
             step = size // 4
-            first = np.arange(0, max(1, n - size + step), step)
-            last = np.minimum(first + size, n)
-            sums = np.concatenate([[0.0], np.cumsum(np.where(slots >= 0, bound[known], 0.0))])
-            for k in np.flatnonzero(sums[last] - sums[first] >= 1.0).tolist():
-                a, b = int(first[k]), int(last[k])
-                w = slots[a:b]
-                w = w[w >= 0]
-                products = self.product[w][:, own].sum(axis=0)
-                passed = np.flatnonzero(products >= LEAST_SHARE * self.norm2[own])
-                if not len(passed):
-                    continue
-                norm = float(np.linalg.norm(self.word_vectors[w].sum(axis=0)))
-                region = hashes[max(0, a - step) : b + step]
-                for i in passed.tolist():
-                    item = int(own[i])
-                    cosine = float(products[i]) / (norm * float(np.sqrt(self.norm2[item])) + 1e-12)
-                    if cosine < LEAST_COSINE or (item in best and best[item][0] >= 1.0):
-                        continue
-                    share = lcs_length(self.words[item], region) / len(self.words[item])
-                    answer = float(np.isin(self.answers[item], region).mean())
-                    if (share >= WHOLE or (share >= PARAPHRASE and answer >= ANSWER_SHARE)) and (item not in best or share > best[item][0]):
-                        best[item] = (share, cosine, answer, share, a)
-        return [(self.ids[i], c, s, x, a) for i, (_, c, x, s, a) in sorted(best.items())]
+            steps = -(-per // step) + 3
+            base = np.cumsum(steps) - steps + 3
+            at = base[text[inside]] + (inside - first[text[inside]]) // step
+            if not len(at):
+                continue
+            start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            sums = np.zeros((int(steps.sum()) + 6, product.shape[1]), np.float32)
+            # The first words of all steps, then the second ones, and so on: faster than reduceat along rows.
+            nth = np.arange(len(at)) - np.repeat(start, np.diff(start, append=len(at)))
+            for k in range(int(nth.max()) + 1):
+                one = np.flatnonzero(nth == k)
+                sums[at[one]] += product[slots[inside[one]]]
+            two = sums[:-1] + sums[1:]
+            windows = two[:-2] + two[2:]
+            for k, i in zip(*(x.tolist() for x in np.nonzero(windows >= 1.0)), strict=True):
+                d = int(np.searchsorted(base, k + 3, "right")) - 1
+                item, a = int(own[i]), (k - int(base[d])) * step
+                if found.get((d, item), (0.0,))[0] < 1.0:
+                    self._confirm(found, (d, item), hashes[first[d] : first[d] + per[d]], slots[first[d] : first[d] + per[d]], a, size)
+        return [(d, (self.ids[item], c, s, x, a)) for (d, item), (s, c, x, a) in sorted(found.items())]
+
+    def _confirm(self, found: dict, key: tuple[int, int], hashes: np.ndarray, slots: np.ndarray, a: int, size: int) -> None:
+        item = key[1]
+        w = slots[max(0, a) : a + size]
+        w = w[w >= 0]
+        norm = float(np.linalg.norm(self.word_vectors[w].sum(axis=0)))
+        cosine = float(self.product[w, item].sum()) / (norm * float(np.sqrt(self.norm2[item])) + 1e-12)
+        if cosine < LEAST_COSINE:
+            return
+        region = hashes[max(0, a - size // 4) : a + size + size // 4]
+        share = lcs_length(self.words[item], region) / len(self.words[item])
+        answer = float(np.isin(self.answers[item], region).mean())
+        if (share >= WHOLE or (share >= PARAPHRASE and answer >= ANSWER_SHARE)) and share > found.get(key, (0.0,))[0]:
+            found[key] = (share, cosine, answer, max(0, a))
 
 
 def _sum_chunks(rows: DataFrame, shape: tuple[int, int], each: object, chunk: int = 512) -> np.ndarray:
@@ -229,18 +244,12 @@ def _find(rows: DataFrame, items: Items) -> DataFrame:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in blocks(batch):
-                hashes, per = word_hashes(b.column("text"))
-                ends = np.cumsum(per).tolist()
-                keys, found = [], []
-                for k, (i, j) in enumerate(zip([0, *ends], ends, strict=False)):
-                    if j > i:
-                        for x in items.search(hashes[i:j]):
-                            keys.append(k)
-                            found.append(x)
-                columns = list(zip(*found, strict=True)) or [[]] * 5
+            for b in blocks(batch, limit=1 << 20):
+                found = items.search(*word_hashes(b.column("text")))
+                columns = list(zip(*(x for _, x in found), strict=True)) or [[]] * 5
                 kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(keys, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "item_id", "cosine", "subsequence", "answer", "word_position"])
+                keys = b.column("doc_id").take(pa.array([k for k, _ in found], pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "item_id", "cosine", "subsequence", "answer", "word_position"])
 
     return rows.mapInArrow(search, "doc_id long, item_id long, cosine double, subsequence double, answer double, word_position long")
 
