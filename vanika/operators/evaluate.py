@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vanika.functions.similarity import cer, rtf, wer
+from vanika.functions.similarity import cer, error_rate, rtf, wer
 
 # Categories in their order.
 CATEGORIES = ["narration", "dialogue", "numeric", "pronunciation", "long"]
@@ -36,6 +40,28 @@ def metrics(items: DataFrame) -> DataFrame:
     return items.withColumns({"cer": F.when(known, cer(F.col("reference"), F.col("hypothesis"), cased=False)), "wer": F.when(known, wer(F.col("reference"), F.col("hypothesis"))), "rtf": rtf(F.col("generation_sec"), F.col("duration_sec"))})
 
 
+#: Unicode's blanks, as (?U)\\s has them.
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def word_error_rates(rows: DataFrame, reference: str, hypothesis: str) -> DataFrame:
+    """rows with wer in place of the two texts. As similarity.wer(), for long texts: a pair may have a million distinct words, coded in one pass."""
+    kept = [c for c in rows.columns if c not in (reference, hypothesis)]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded: list[list[str]] = [[], []]
+            for pair in zip(batch.column(reference).to_pylist(), batch.column(hypothesis).to_pylist(), strict=True):
+                known: dict[str, str] = {}
+                for out, text in zip(coded, pair, strict=True):
+                    # A character for each distinct word, past the surrogates too.
+                    out.append("".join(known.setdefault(w, chr(k if (k := 0x4E00 + len(known)) < 0xD800 else k + 0x800)) for w in _BLANKS.split(text or "") if w))
+            yield pa.record_batch({**{c: batch.column(c) for c in kept}, "_r": pa.array(coded[0], pa.string()), "_h": pa.array(coded[1], pa.string())})
+
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept), "_r string, _h string"])
+    return rows.mapInArrow(each, schema).select(*kept, error_rate(F.col("_r"), F.col("_h")).alias("wer"))
+
+
 def report(rows: DataFrame, by: str = "category", columns: list[str] = METRICS) -> DataFrame:
     """by, n and the means of each column, nulls ignored; the row of all has by = null. One pass."""
     means = [F.avg(c).alias(f"{c}_mean") for c in columns]
