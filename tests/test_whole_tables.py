@@ -26,6 +26,7 @@ def folder(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("whole"))
     spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in DOCS], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.range(0, 700).toDF("o_orderkey").write.parquet(f"{path}/orders.parquet")
     return path
 
 
@@ -52,3 +53,9 @@ def test_many_distinct_words(spark):
     words = [f"w{k}" for k in range(40_000)]
     rows = spark.createDataFrame([(1, "w39998 w1 w39999", " ".join(words))], "k int, r string, h string")
     assert evaluate.word_error_rates(rows, "r", "h").first()["wer"] == pytest.approx((len(words) - 2) / 3)
+
+
+def test_checkpoint_retention_orders(spark, folder):
+    rows = __spark_entry__.queries()["checkpoint_retention_orders"](spark, folder).collect()
+    assert {x["step"] for x in rows} == set(range(700))
+    assert {x["step"] for x in rows if x["kept"]} == {0, 695, 696, 697, 698, 699}

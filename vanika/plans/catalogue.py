@@ -497,6 +497,15 @@ def checkpoint_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.keep_checkpoints(steps.union(others).distinct(), 5)
 
 
+@_query("""WITH n AS (SELECT o_orderkey AS step, 'ckpt_step_' || lpad(o_orderkey::VARCHAR, 8, '0') || '.pt' AS name FROM orders UNION ALL SELECT 0, 'ckpt_step_00000000.pt')
+SELECT DISTINCT step, name, dense_rank() OVER (ORDER BY step DESC) <= 5 OR step = 0 AS kept FROM n""")
+def checkpoint_retention_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey").cast("string")
+    steps = _table(spark, sf_dir, "orders").select(F.concat(F.lit("ckpt_step_"), F.lpad(key, 8, "0"), F.lit(".pt")).alias("name"))
+    others = _rows(spark, [("ckpt_step_00000000.pt",), ("latest.pt",), ("best_model.pth",), ("junk.txt",)], "name string")
+    return evaluate.keep_checkpoints(steps.union(others).distinct(), 5)
+
+
 @_query("SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 200")
 def log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.log_tail(_table(spark, sf_dir, "events").select("event_id", "event_type", "ts"), 200, ["ts", "event_id"]).select("event_id", "event_type")
