@@ -392,6 +392,23 @@ def test_toxicity(spark, edge, empty):
     assert {x["score"] for x in toxicity.score(edge, labels.limit(0)).collect()} == {0.0}
 
 
+def test_rare_insult_is_a_term(spark):
+    # In 6 of 400 toxic documents and no clean one: 1.5%; beside it 1200 commoner terms without a stem in common.
+    common = ["".join(chr(97 + j // 26**k % 26) for k in range(3)) + "vkq" for j in range(1200)]
+    rows = [(" ".join([prose(5, k), "zorblax" if k < 6 else "", *common[k % 20 * 60 : k % 20 * 60 + 60]]), 1) for k in range(400)] + [(prose(5, k), 0) for k in range(4000)]
+    found = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic long"))
+    assert {"zorblax", *common} <= set(found)
+
+
+def test_variants_keep_all_that_is_near():
+    terms = ["idiot", "moron", "pathetic", "worthless", "scum", "clowns"]
+    lexicon = toxicity.Lexicon(dict.fromkeys(terms, 1.0))
+    some = ["".join(r.choices(list(r.choice(terms)) + ["a"], k=r.randint(1, 11))) for _ in range(3000)] + [t[:k] + t[k + 2 :] for t in terms for k in range(len(t))] + [t[:k] + "zy" + t[k:] for t in terms for k in range(len(t))]
+    kept = lexicon.share_variants(some)
+    assert all(k for w, k in zip(some, kept, strict=True) if any(toxicity.errors_allowed(t) and edits(w, t) <= toxicity.errors_allowed(t) for t in terms))
+    assert kept.mean() < 0.5
+
+
 def test_quotation_counts_for_less():
     lexicon = toxicity.Lexicon({"idiot": 5.0})
     plain, quoted = toxicity.Scorer(lexicon).features(pa.array(["they are an idiot here", 'they said "idiot" here']))

@@ -14,17 +14,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vanika.llm.common import blocks, crc_mod, cut, hash_spans, lower_latin, repeat_ranges, text_buffers, words
 
-#: Share of toxic training documents that a term must be in, and the least number of them.
-MIN_SHARE, MIN_COUNT = 0.02, 5
+#: Toxic training documents that a term must be in, however many there are.
+MIN_COUNT = 5
 #: The least log odds of a term, and of a stem.
 MIN_ODDS, MIN_STEM_ODDS = 2.5, 3.0
-#: Terms and stems that the lexicon keeps at most: those in most toxic documents.
-MAX_TERMS = 1000
+#: With more terms than this the letter filter, which looks at each of them, costs more than the variants that it saves.
+LETTER_TERMS = 64
 #: Labelled rows that the logistic model is fitted on at most, those whose hash is smallest.
 FIT_ROWS = 20_000
 #: Code points of the longest word that can be a term.
@@ -54,6 +55,15 @@ class Node:
     term: int = -1
 
 
+def variants(word: str, edits: int) -> set[str]:
+    """The word without up to so many of its characters. Words within so many edits of each other have one in common."""
+    out = last = {word}
+    for _ in range(edits):
+        last = {w[:k] + w[k + 1 :] for w in last for k in range(len(w))}
+        out = out | last
+    return out
+
+
 def errors_allowed(term: str) -> int:
     """Edits at which a word still matches: none for short terms, two for long ones."""
     return 0 if len(term) < 5 else 1 if len(term) < 8 else 2
@@ -75,6 +85,19 @@ class Lexicon:
             for c in t:
                 node = node.next.setdefault(c, Node())
             node.term = self.exact[t]
+        # Hashes of all terms' variants, ascending.
+        self.variants = np.unique(np.array([xxhash.xxh3_64_intdigest(v) for t in self.fuzzy for v in variants(t, errors_allowed(t))], np.uint64))
+        self.shortest = {k: min((len(t) for t in self.fuzzy if errors_allowed(t) == k), default=1 << 30) - k for k in (1, 2)}
+
+    def share_variants(self, some: list[str]) -> np.ndarray:
+        """Which words have a variant in common with a term: all within a term's edits, and few others."""
+        made = [variants(w, 2 if len(w) >= self.shortest[2] else 1) if len(w) >= min(self.shortest.values()) else () for w in some]
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(v) for vs in made for v in vs), np.uint64)
+        at = np.searchsorted(self.variants, hashes)
+        hit = np.zeros(len(hashes), bool)
+        inside = at < len(self.variants)
+        hit[inside] = self.variants[at[inside]] == hashes[inside]
+        return np.bincount(np.repeat(np.arange(len(some)), [len(vs) for vs in made])[hit], minlength=len(some)) > 0
 
     def near_some_term(self, letters: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """Which words may be within a term's edits: about as long, and without more of its letters missing than edits allowed."""
@@ -132,7 +155,7 @@ def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
     """Terms and stems by the log odds of their documents' labels; labelled: text, toxic.
 
     Words are counted once a document, over all labelled rows; the stems' counts are sums over their words. Only
-    the terms above the bounds, MAX_TERMS at most, go to the driver.
+    the terms above the bounds go to the driver.
     """
     total = labelled.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
     t, n = int(total["t"] or 0), int(total["n"])
@@ -145,10 +168,10 @@ def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
     stems = F.transform(F.sequence(F.lit(low), F.least(F.length("word"), F.lit(high))), lambda k: F.concat(F.substring("word", F.lit(1), k), F.lit("*")))
     terms = counts.select(F.explode(F.concat(F.array("word"), stems)).alias("term"), "t", "n").groupBy("term").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.count("*").alias("forms"))
     odds = F.log((F.col("t") + 0.5) / (t + 1.0)) - F.log((F.col("n") - F.col("t") + 0.5) / (n - t + 1.0))
-    terms = terms.filter(F.col("t") >= max(MIN_COUNT, MIN_SHARE * t)).withColumn("odds", odds)
+    terms = terms.filter(F.col("t") >= MIN_COUNT).withColumn("odds", odds)
     is_stem = F.col("term").endswith("*")
     terms = terms.filter(F.when(is_stem, (F.col("odds") > MIN_STEM_ODDS) & (F.col("forms") > 2)).otherwise(F.col("odds") > MIN_ODDS))
-    found = {r["term"]: r["odds"] for r in terms.orderBy(F.desc("t"), "term").limit(MAX_TERMS).collect()}
+    found = {r["term"]: r["odds"] for r in terms.collect()}
     # A stem stands for what begins with it.
     kept: dict[str, float] = {}
     for term in sorted(found, key=lambda x: (not x.endswith("*"), len(x), x)):
@@ -195,8 +218,13 @@ class Scorer:
             own = low[repeat_ranges(first, size)]
             letters = np.bitwise_or.reduceat(_LETTER[own], at)
             points = np.add.reduceat((own & 0xC0) != 0x80, at, dtype=np.int64)
-            near_one = self.lexicon.near_some_term(letters, points).tolist()
-            found = [self.lexicon.match(low[s : s + k].tobytes().decode(errors="replace").lower().strip("'"), near) if k <= 4 * MAX_WORD else (-1, 0) for s, k, near in zip(first.tolist(), size.tolist(), near_one, strict=True)]
+            near_one = (size <= 4 * MAX_WORD) & (self.lexicon.near_some_term(letters, points) if len(self.lexicon.fuzzy) <= LETTER_TERMS else True)
+            text = [low[s : s + k].tobytes().decode(errors="replace").lower().strip("'") if k <= 4 * MAX_WORD else "" for s, k in zip(first.tolist(), size.tolist(), strict=True)]
+            near_one &= np.array([len(w) <= MAX_WORD + 2 for w in text])  # no term is within two edits of a longer one
+            for i in range(0, len(text), 4096):
+                some = i + np.flatnonzero(near_one[i : i + 4096])
+                near_one[some] = self.lexicon.share_variants([text[k] for k in some.tolist()])
+            found = [self.lexicon.match(w, near) if w else (-1, 0) for w, near in zip(text, near_one.tolist(), strict=True)]
             at = place[new]
             self.known = np.insert(self.known, at, unique[new])
             self.term = np.insert(self.term, at, [t for t, _ in found])
