@@ -329,6 +329,28 @@ def test_similar(spark, edge, empty):
     assert simhash.keep_one(edge).columns == edge.columns
 
 
+def test_similar_in_large_buckets(spark):
+    # 400 texts share a passage, so their buckets are large; only 60 planted pairs are alike.
+    own = random.Random(9)
+    passage = " ".join(own.choices(WORDS, k=200))
+    docs = []
+    for k in range(340):
+        mine = own.choices(WORDS, k=56)
+        docs.append((k, f"{passage} {' '.join(mine)}"))
+        if k < 60:
+            docs.append((1000 + k, f"{passage} {' '.join(mine[:28] + own.choices(WORDS, k=28))}"))
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, t in docs for w in [t.split()]}
+    bands = {d: simhash.band_fingerprints(np.unique(simhash.shingle_hashes(t.encode(), 5))) for d, t in docs}
+    want = {d: d for d, _ in docs}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and (np.bitwise_count(bands[a] ^ bands[b]) <= simhash.BUDGET).sum() >= simhash.SHARED:
+            assert b == 1000 + a
+            want[b] = a
+    assert len(set(want.values())) < 350 and Counter(x[b] for x in bands.values() for b in range(1)).most_common(1)[0][1] > simhash.PAIRS
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar(spark.createDataFrame(docs, SCHEMA).repartition(4)).collect()}
+    assert got == want
+
+
 # --- 7 secrets
 
 

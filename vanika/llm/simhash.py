@@ -271,8 +271,10 @@ def _same(text: bytes) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(text.lower().split()))
 
 
-#: In similar(), a bucket of up to so many documents has all its pairs checked.
+#: In similar(), the pairs of a bucket of up to so many texts are rows; a larger one is checked block by block.
 PAIRS = 64
+#: Texts of a block, about.
+BLOCK = 256
 
 
 def similar(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -281,9 +283,9 @@ def similar(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFram
     One 64-bit SimHash doesn't tell a similarity of 0.8 from none: such pairs differ in 4 to 14 bits. So the fingerprints here
     are banded: each is the SimHash of a few shingles chosen by minwise orders, equal or nearly so for similar texts. The
     same texts (as words, ASCII case aside) are one from the first shuffle on. Of each bucket of nearly equal fingerprints
-    of a band, found by the trie self-join, all pairs that share SHARED bands are checked if it has PAIRS texts or fewer; of a larger bucket, every document
-    with its two most central ones (those with most neighbours over all bands) and with the next in the order of
-    their bands. The check is exact, on whole shingle sets.
+    of a band, found by the trie self-join, all pairs that share SHARED bands are checked. In a bucket of over PAIRS texts, every one is checked first
+    with the two most central ones (those with most neighbours over all bands) and with the next in the order of
+    their bands; then all pairs that this has not joined, in blocks(). The check is exact, on whole shingle sets.
     Null or blank texts are copies of each other. component_id: the smallest doc_id of the group (nulls don't count).
     """
 
@@ -308,36 +310,48 @@ def similar(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFram
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     marks = cut(rows.mapInArrow(each, "doc_id long, same binary, bands array<long>"), "bands")
     texts = cut(marks.groupBy("same").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")).withColumn("text_id", F.xxhash64("same")), "texts")
-    pairs = cut(candidate_pairs(texts.select("text_id", "bands")), "pairs")
-    # Shingle sets are made again, of one document of each text in some pair: all sets together would be larger than the texts.
-    named = pairs.select("a").union(pairs.select("b")).distinct().toDF("text_id")
-    some = texts.join(named, "text_id", "left_semi").select("first").distinct()
-    sets = rows.join(some, rows["doc_id"].eqNullSafe(some["first"]), "left_semi").mapInArrow(shingles, "same binary, shingles binary")
-    sets = sets.withColumn("text_id", F.xxhash64("same")).join(named, "text_id", "left_semi").groupBy("text_id").agg(F.first("shingles").alias("shingles"))
-    sets = cut(sets, "sets")
+    banded = band_buckets(texts.select("text_id", "bands"))
+    pairs = cut(candidate_pairs(texts.select("text_id", "bands"), banded), "pairs")
+
+    def sets_of(named: DataFrame) -> DataFrame:
+        """text_id and shingles of the named text_ids. Sets are made again, of one document of each: all sets together would be larger than the texts."""
+        some = texts.join(named, "text_id", "left_semi").select("first").distinct()
+        sets = rows.join(some, rows["doc_id"].eqNullSafe(some["first"]), "left_semi").mapInArrow(shingles, "same binary, shingles binary")
+        sets = sets.withColumn("text_id", F.xxhash64("same")).join(named, "text_id", "left_semi").groupBy("text_id").agg(F.first("shingles").alias("shingles"))
+        return cut(sets, "sets")
+
+    sets = sets_of(pairs.select("a").union(pairs.select("b")).distinct().toDF("text_id"))
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                if min(len(x), len(y)) < threshold * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common >= threshold * (len(x) + len(y) - common))
+                keep.append(alike(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), threshold))
             yield pa.record_batch({"u": batch.column("a"), "v": batch.column("b")}).filter(pa.array(keep, pa.bool_()))
 
     label = components(both.select("a", "b", "sa", "sb").mapInArrow(check, "u long, v long"))
+    cells = open_cells(banded, label)
+    if cells is not None:
+        sets = sets_of(cells.select("text_id").distinct())
+        more = block_edges(cells.join(sets, "text_id"), threshold)
+        label = components(label.toDF("u", "v").union(more))
     known = texts.select("text_id", "same", "first").join(label.withColumnRenamed("u", "text_id"), "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
     known = known.join(least, "root").select("same", "component_id")
     return marks.select("doc_id", "same").join(known, "same").select("doc_id", "component_id")
 
 
-def candidate_pairs(texts: DataFrame) -> DataFrame:
-    """a < b, distinct: the pairs of text_id that similar() checks."""
+def alike(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
+    """Two sets, ascending, of a Jaccard similarity of threshold or more."""
+    if min(len(x), len(y)) < threshold * max(len(x), len(y)):
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common >= threshold * (len(x) + len(y) - common)
+
+
+def band_buckets(texts: DataFrame) -> DataFrame:
+    """text_id, band, fp, n: the bucket of each text in each band, named by the least fingerprint it links to, and how many texts are in it (if more than one)."""
     rows = texts.select("text_id", F.posexplode("bands").alias("band", "fp"))
     # Nearly equal fingerprints of all bands are found in one join: chance pairs across bands are as rare as within one.
     fps = cut(rows.groupBy("fp").agg(F.count("*").alias("copies")), "band_fps")
@@ -345,13 +359,21 @@ def candidate_pairs(texts: DataFrame) -> DataFrame:
     rows = rows.join(linked, "fp", "left").select("text_id", "band", F.coalesce("root", "fp").alias("fp"))
     rows = cut(rows.distinct(), "band_rows")
     sizes = rows.groupBy("band", "fp").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = cut(rows.join(sizes, ["band", "fp"]), "band_sizes")
+    return cut(rows.join(sizes, ["band", "fp"]), "band_sizes")
+
+
+def candidate_pairs(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """a < b, distinct: the pairs of text_id that similar() checks first; rows: their band_buckets()."""
     few, many = rows.filter(F.col("n") <= PAIRS), rows.filter(F.col("n") > PAIRS)
     lists = few.groupBy("band", "fp").agg(F.sort_array(F.collect_list("text_id")).alias("ids"))
     pairs = lists.select(F.posexplode("ids").alias("k", "a"), "ids").select("a", F.explode(F.slice("ids", F.col("k") + 2, F.lit(PAIRS))).alias("b"))
-    pairs = pairs.groupBy("a", "b").count().filter(F.col("count") >= SHARED).select("a", "b")
+    pairs = pairs.groupBy("a", "b").count()
     if many.isEmpty():
-        return pairs
+        return pairs.filter(F.col("count") >= SHARED).select("a", "b")
+    # Large buckets that both are in count too.
+    large = many.groupBy("text_id").agg(F.collect_list(F.struct("band", "fp")).alias("large"))
+    pairs = pairs.join(large.toDF("a", "la"), "a", "left").join(large.toDF("b", "lb"), "b", "left")
+    pairs = pairs.filter(F.col("count") + F.coalesce(F.size(F.array_intersect("la", "lb")), F.lit(0)) >= SHARED).select("a", "b")
     central = many.groupBy("text_id").agg(F.sum("n").alias("weight"))
     many = many.join(central, "text_id")
     heads = many.groupBy("band", "fp").agg(F.max(F.struct("weight", "text_id")).alias("top"), F.min("text_id").alias("low"))
@@ -372,6 +394,85 @@ def candidate_pairs(texts: DataFrame) -> DataFrame:
     return pairs.union(more).distinct()
 
 
+def open_cells(rows: DataFrame, label: DataFrame) -> DataFrame | None:
+    """cell, side, band, text_id, root, own: the blocks of large buckets that have to be checked with each other; None: none have to.
+
+    rows: band_buckets(); label (u, root): what is joined already. Each large bucket is dealt into blocks of about BLOCK texts: a group of
+    joined texts that is larger has blocks of its own, so that they are not checked with each other. A cell is two blocks, or one with itself (side 0 only).
+    own: the text's bucket in each band, as an array of structs.
+    """
+    many = rows.filter(F.col("n") > PAIRS).join(label.withColumnRenamed("u", "text_id"), "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
+    groups = cut(many.groupBy("band", "fp", "root").agg(F.count("*").alias("g"), F.first("n").alias("n")).filter("g < n"), "groups")
+    if groups.isEmpty():
+        return None
+    many = many.drop("n").join(groups, ["band", "fp", "root"])
+    alone = F.col("g") > BLOCK
+    place = F.when(alone, F.pmod(F.xxhash64("text_id"), F.ceil(F.col("g") / BLOCK))).otherwise(F.pmod(F.xxhash64("root"), F.ceil(F.col("n") / BLOCK)))
+    many = many.select("text_id", "band", "fp", "root", F.xxhash64("band", "fp", F.when(alone, F.col("root")), place).alias("block"), F.when(alone, F.col("root")).alias("only"))
+    many = cut(many, "blocks")
+    each = many.select("band", "fp", "block", "only").distinct()
+    pairs = each.toDF("band", "fp", "x", "ox").join(each.toDF("band", "fp", "y", "oy"), ["band", "fp"]).filter("x <= y AND NOT coalesce(ox = oy, false)")
+    pairs = pairs.select("x", "y", F.xxhash64("x", "y").alias("cell"))
+    sides = pairs.select("cell", F.lit(0).alias("side"), F.col("x").alias("block")).union(pairs.filter("x <> y").select("cell", F.lit(1), "y"))
+    own = rows.join(many.select("text_id").distinct(), "text_id", "left_semi").groupBy("text_id").agg(F.collect_list(F.struct("band", "fp")).alias("own"))
+    return cut(sides.join(many.drop("fp", "only"), "block").drop("block").join(own, "text_id"), "cells")
+
+
+def block_edges(cells: DataFrame, threshold: float) -> DataFrame:
+    """u, v: joins of the texts in each cell (open_cells() with shingles) that are alike; a row for a text at most, not for a pair."""
+
+    def joined(rows: list[dict]) -> pa.RecordBatch:
+        n, band = len(rows), rows[0]["band"]
+        side = np.array([x["side"] for x in rows])
+        root = np.array([x["root"] for x in rows])
+        sets = [np.frombuffer(x["shingles"], "<u8") for x in rows]
+        size = np.array([len(x) for x in sets])
+        own, known = np.zeros((n, BANDS), np.int64), np.zeros((n, BANDS), bool)
+        for k, x in enumerate(rows):
+            for o in x["own"]:
+                own[k, o["band"]], known[k, o["band"]] = o["fp"], True
+        label = np.arange(n)
+        for r in np.unique(root):
+            label[root == r] = np.flatnonzero(root == r)[0]
+        start = label.copy()
+        one_block = not side.any()
+        for i in range(n):
+            if side[i] and not one_block:
+                continue
+            j = np.arange(i + 1, n) if one_block else np.flatnonzero(side)
+            shared = (own[j] == own[i]) & known[j] & known[i]
+            # Of several buckets that a pair shares, the first checks it.
+            j = j[(shared.sum(axis=1) >= SHARED) & (shared.argmax(axis=1) == band) & (np.minimum(size[j], size[i]) >= threshold * np.maximum(size[j], size[i]))]
+            if not len(j):
+                continue
+            j = j[label[j] != label[i]]
+            if not len(j):
+                continue
+            # How many of the set's shingles each of the others has.
+            common = np.bincount(np.repeat(np.arange(len(j)), size[j])[np.isin(np.concatenate([sets[k] for k in j]), sets[i])], minlength=len(j))
+            for k in j[common >= threshold * (size[i] + size[j] - common)].tolist():
+                if label[k] != label[i]:
+                    label[label == label[k]] = label[i]
+        ids = np.array([x["text_id"] for x in rows])
+        # From each group joined before, one edge to what it is in now.
+        first = np.flatnonzero((start == np.arange(n)) & (label != start))
+        return pa.record_batch({"u": ids[first], "v": ids[label[first]]})
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and held[0]["cell"] != row["cell"]:
+                    yield joined(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield joined(held)
+
+    dealt = cells.repartition(parts(cells.sparkSession), "cell").sortWithinPartitions("cell", "side", "text_id")
+    return dealt.mapInArrow(each, "u long, v long")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without those whose group has a smaller doc_id, columns as they are. Rows of one doc_id stay or go together; null doc_ids stay."""
     gone = similar(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
