@@ -1,6 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest. DataFrame operations only.
 
-A candidate is a run of characters that keys are made of, with a digit in it. Its features are its length, changes of character class, variety,
+A candidate is a value after an assignment or a word such as password, what begins with a known prefix of keys, or any long run of characters that keys are
+made of, with a digit in it. Its features are its length, changes of character class, variety,
 coverage by dictionary words, path signs and the words around it. The forest is trained on labelled findings that SQL makes
 from a range of numbers; its trees become one expression, so texts are scored where they are read and nothing is shuffled.
 """
@@ -13,11 +14,21 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters of keys, and the length of the shortest candidate.
+#: Characters of keys, and the length of the shortest run that is a candidate wherever it stands.
 MIN_CHARS = 16
 _KEY = "A-Za-z0-9+/_=\\-"
-#: Each run is looked at once, from its start.
-CANDIDATE = f"(?<![{_KEY}])(?=[A-Za-z+/_=\\-]*+[0-9])[{_KEY}]{{{MIN_CHARS},}}+"
+#: What keys of known services begin with.
+PREFIX = "AKIA|ASIA|gh[pousr]_|sk-|sk_live_|xox[bp]-|AIza|eyJ|glpat-"
+#: A value of any length and signs, up to a blank, quotation mark, bracket or the next assignment; a full stop after it isn't part of it.
+_ENDS = "\\s\"'`<>(){}\\[\\],;=:"
+_VALUE = f"(?!//)[^{_ENDS}]*[^{_ENDS}.?]={{0,2}}"
+_ASSIGNED = "(?<=[=:]\\s{0,3}[\"'`]?)(?<![=:][=:])"
+_SAID = "(?<=[\\s\"'`])(?<=(?i:token|secret|password|passwd|pwd|key|auth|bearer|credential|credentials)[\"'`]?\\s{1,2}(?:is\\s)?[\"'`]?)"
+#: Each run is looked at once, from its start; an equals sign is part of it only at its end.
+_BARE = "A-Za-z0-9+/_\\-"
+_PADDED = f"(?:={{1,2}}+(?![{_BARE}]))?"
+_RUN = f"(?<![{_KEY}])(?=[A-Za-z+/_\\-]*+[0-9])[{_BARE}]{{{MIN_CHARS},}}+{_PADDED}"
+CANDIDATE = f"(?<=[=:\\s\"'`])(?:{_ASSIGNED}|{_SAID}){_VALUE}|(?<![{_KEY}])(?:{PREFIX})[{_BARE}]++{_PADDED}|{_RUN}"
 #: Code points of context on both sides.
 CONTEXT = 40
 #: Labelled findings that the forest is trained on, its trees, their depth and the least rows of a leaf.
@@ -33,7 +44,7 @@ DICTIONARY = "access account action admin album android apple application archiv
 FOR = "token|secret|passw(?:or)?d|pwd|api[_ -]?key|apikey|access[_ -]?key|auth|bearer|credential|private[_ -]?key|key"
 AGAINST = "commit|sha-?1|sha-?256|md5|hash|checksum|digest|revision|uuid|guid|etag|card|order|invoice|isbn|serial|phone|fingerprint|file|path|image|src|href|url"
 
-FEATURES = ("chars", "changes", "distinct", "digits", "upper", "lower", "hexadecimal", "dictionary", "slashes", "separators", "looks_path", "uuid_form", "prefix", "said_for", "said_against", "assigned", "quoted")
+FEATURES = ("chars", "changes", "distinct", "digits", "upper", "lower", "hexadecimal", "dictionary", "slashes", "separators", "looks_path", "uuid_form", "prefix", "said_for", "said_against", "assigned", "quoted", "symbols")
 
 
 def features(before: Column, found: Column, after: Column) -> Column:
@@ -65,10 +76,11 @@ def features(before: Column, found: Column, after: Column) -> Column:
         "separators": share("[_-]"),
         "looks_path": F.greatest(has(F.right(before, F.lit(2)), r"[./~\\]$"), has(after, r"^\.(?:[a-z]{2,4})\b")),
         "uuid_form": has(low, "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"),
-        "prefix": has(found, "^(?:AKIA|ASIA|gh[pousr]_|sk-|sk_live_|xox[bp]-|AIza|eyJ|glpat-)"),
+        "prefix": has(found, f"^(?:{PREFIX})"),
         "said_for": has(near, FOR),
         "said_against": has(near, f"(?:^|[^a-z])(?:{AGAINST})(?:[^a-z]|$)"),
         "assigned": has(near, "[=:]\\s*[\"']?$"),
+        "symbols": share(f"[^{_KEY}.]"),
         "quoted": has(F.concat(F.right(before, F.lit(1)), F.left(after, F.lit(1))), "^[\"'`]{2}$"),
     }
     return F.struct(*(F.coalesce(made[f].cast("double"), F.lit(0.0)).alias(f) for f in FEATURES))
@@ -81,7 +93,6 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING) -> DataFrame:
 
     hexed = F.sha1(F.col("id").cast("string").cast("binary"))
     hexed64 = F.sha2(F.col("id").cast("string").cast("binary"), 256)
-    kind = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(16))
     turn = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(6)).cast("int")
     digits = F.regexp_replace(hexed64, "[a-f]", "")
     plain = F.regexp_replace(cased(1), "[+/=]", "")
@@ -102,7 +113,24 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING) -> DataFrame:
         (pick("use ", "", "with ", "and ", 'x = "', "new "), F.concat(F.lit("sk-"), F.substring(plain, 1, 40))),
         (pick('token = "', "secret=", 'apikey: "', "bearer ", 'auth = "', "password "), cased(2)),
     ]
+    letters = F.upper(F.regexp_replace(F.concat(cased(3), cased(4)), "[^A-Za-z]", ""))
+    given = ('password = "', "passwd: ", "pwd=", "secret: ", 'password="', "password is ")
+    secrets += [
+        (pick("aws ", 'key = "', "id: ", "", "use ", 'access_key="'), F.concat(F.lit("AKIA"), F.substring(letters, 1, 16))),
+        (pick(*given), F.concat_ws("-", word(3), word(4), word(5), word(6))),
+        (pick(*given), F.concat(word(3), F.substring(digits, 1, 1), word(4))),
+        (pick(*given), F.concat(word(3), F.substring(digits, 1, 3))),
+        (pick(*given), F.concat(F.substring(plain, 1, 5), F.element_at(F.array(*map(F.lit, "!&@#$%")), turn + 1), F.substring(plain, 6, 4), F.lit("!"))),
+        (pick(*given), F.concat(word(3), word(4), word(5))),
+    ]
     others = [
+        (pick("password ", "the key ", "a token ", "secret ", "auth ", "bearer "), word(3)),
+        (pick("password: ", "token=", 'secret = "', "key: ", "auth: ", "pwd="), F.element_at(F.array(*map(F.lit, "none null true false required string text optional yes no unknown empty".split())), (F.pmod(F.xxhash64("id", F.lit(7)), F.lit(12)) + 1).cast("int"))),
+        (pick("note: ", "size = ", "color: ", 'type="', "x = ", "name: "), word(3)),
+        (pick("note: ", "width = ", "port: ", 'id="', "at 10:", "total: "), F.substring(digits, 1, 3)),
+        (pick("note: ", "kind = ", "content: ", 'type="', "title: ", "name: "), F.concat_ws("-", word(3), word(4))),
+        (pick("use ", "file: ", "load = ", 'src="', "path: ", "open "), F.concat_ws(".", word(3), F.concat(word(4), F.lit("()")))),
+        (pick("the ", "use ", "", "with ", "a ", "our "), F.concat(F.lit("sk-"), word(3))),
         (pick("commit ", "sha1 ", "revision ", "checksum: ", "hash ", "md5 "), hexed),
         (pick("id ", "uuid: ", "guid ", "", "the ", "request "), F.concat_ws("-", F.substring(hexed, 1, 8), F.substring(hexed, 9, 4), F.substring(hexed, 13, 4), F.substring(hexed, 17, 4), F.substring(hexed, 21, 12))),
         (pick("in /", "./", "see /", "href=/", "file /", "path: /"), F.concat_ws("/", word(3), word(4), F.concat(word(5), F.lit("2")), word(6))),
@@ -112,6 +140,7 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING) -> DataFrame:
         (pick("the ", "in ", "", "table ", "column ", "of "), F.concat_ws("_", word(3), word(4), word(5), F.substring(digits, 1, 3))),
         (pick("digest ", "etag: ", "fingerprint ", "sha256 ", "checksum ", "hash: "), hexed64),
     ]
+    kind = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(len(secrets + others)))
     before, found = F.lit(None).cast("string"), F.lit(None).cast("string")
     for k, (b, x) in enumerate(secrets + others):
         before, found = F.when(kind == k, b).otherwise(before), F.when(kind == k, x).otherwise(found)
