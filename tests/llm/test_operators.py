@@ -159,7 +159,8 @@ def plain_winnow(t, k=winnow.GRAM, w=winnow.WINDOW):
 
 def test_winnowing(spark, edge, empty):
     got = winnow.fingerprint_with_edits(edge).collect()
-    order = sorted(((d, t or "") for d, t in EDGE), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    tie = dict(edge.selectExpr("coalesce(text, '')", "xxhash64(coalesce(text, ''))").collect())
+    order = sorted(((d, t or "") for d, t in EDGE), key=lambda x: (x[0] is not None, x[0] or 0, tie[x[1]]))
     want = Counter()
     for k, (d, t) in enumerate(order):
         after = order[(k + 1) % len(order)][1]
@@ -171,6 +172,20 @@ def test_winnowing(spark, edge, empty):
     assert one["near_next"] == 1.0 and one["edited_sha256"] == hashlib.sha256(b"abab").hexdigest()
 
 
+def test_one_doc_id_of_most_rows_is_split(spark):
+    docs = spark.createDataFrame([(7 if k % 3 else k, f"text {k}") for k in range(600)], SCHEMA)
+    ranged = winnow.with_next(docs).filter("NOT last").groupBy("range").count().collect()
+    assert len(ranged) == 4 and max(x["count"] for x in ranged) <= 250
+    tie = dict(docs.selectExpr("text", "xxhash64(text)").collect())
+    order = sorted(docs.collect(), key=lambda x: (x["doc_id"], tie[x["text"]]))
+    want = []
+    for k, x in enumerate(order):
+        t, after = x["text"], order[(k + 1) % len(order)]["text"]
+        half = len(t) // 2
+        want.append((x["doc_id"], hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()))
+    assert sorted((x["doc_id"], x["edited_sha256"]) for x in winnow.fingerprint_with_edits(docs).collect()) == sorted(want)
+
+
 def test_winnowing_finds_shared_passages():
     passage = "".join(r.choices("abcdefgh ", k=winnow.GRAM + winnow.WINDOW - 1))
     for _ in range(50):
@@ -301,10 +316,35 @@ def test_trie_join_loses_no_link(spark, bucket):
     assert all(got.get(s, 0) == sum(1 + w % 3 for w in values if w != v and (v ^ w).bit_count() <= 2) for s, v in signed.items())
 
 
-def test_trie_pairs_of_a_dense_group():
-    fp = np.arange(700, dtype=np.uint64)
-    i, j = simhash.trie_pairs(fp, np.array([0]), np.array([700]), 2)
-    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == [(a, b) for a, b in itertools.combinations(range(700), 2) if (a ^ b).bit_count() <= 2]
+def walked(fp, lo, hi, budget=2):
+    found = list(simhash.trie_pairs(fp, np.array(lo), np.array(hi), budget))
+    return sorted((a, b) for i, j in found for a, b in zip(i.tolist(), j.tolist(), strict=True))
+
+
+@pytest.mark.parametrize("frontier", [1 << 16, 8])
+def test_trie_pairs_of_a_dense_group(monkeypatch, frontier):
+    monkeypatch.setattr(simhash, "FRONTIER", frontier)
+    fp = np.arange(300, dtype=np.uint64)
+    assert walked(fp, [0, 100], [100, 300]) == [(a, b) for a, b in itertools.combinations(range(300), 2) if (a ^ b).bit_count() <= 2 and (a < 100) == (b < 100)]
+
+
+def test_the_trie_prunes_most_pairs(monkeypatch):
+    q = np.random.default_rng(1)
+    fp = np.unique(np.concatenate([v := q.integers(0, 1 << 63, 2000, dtype=np.uint64), v[:200] ^ np.uint64(1 << 40), v[:200] ^ np.uint64(1 << 60 | 1 << 3)]))
+    compared = 0
+    count = np.bitwise_count
+
+    def counting(x):
+        nonlocal compared
+        compared += len(x)
+        return count(x)
+
+    monkeypatch.setattr(np, "bitwise_count", counting)
+    got = walked(fp, [0], [len(fp)])
+    monkeypatch.undo()
+    assert len(got) >= 400 and got == [(a, b) for a in range(len(fp)) for b in (np.flatnonzero(np.bitwise_count(fp[a] ^ fp[a + 1 :]) <= 2) + a + 1).tolist()]
+    # Compared by value are few of all pairs: the others are pruned on the way down.
+    assert compared < 0.05 * len(fp) ** 2 / 2
 
 
 def test_components(spark):
@@ -329,26 +369,56 @@ def test_similar(spark, edge, empty):
     assert simhash.keep_one(edge).columns == edge.columns
 
 
-def test_similar_in_large_buckets(spark):
-    # 400 texts share a passage, so their buckets are large; only 60 planted pairs are alike.
+def plain_similar(docs):
+    sets = {}
+    for d, t in docs:
+        w = (t or "").encode().lower().split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {()}
+    ids = sorted(sets)
+    top = plain_components(len(ids), lambda i, j: len(sets[ids[i]] & sets[ids[j]]) >= 0.8 * len(sets[ids[i]] | sets[ids[j]]))
+    return {d: ids[k] for d, k in zip(ids, top, strict=True)}
+
+
+@pytest.mark.parametrize("block,shingles", [(simhash.BLOCK, simhash.BLOCK_SHINGLES), (8, 4000)])
+def test_similar_in_large_buckets(spark, monkeypatch, block, shingles):
+    # 400 texts share a passage, so their buckets are large; planted pairs, a group of near copies and some chains are alike.
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", shingles)
     own = random.Random(9)
     passage = " ".join(own.choices(WORDS, k=200))
     docs = []
-    for k in range(340):
+    for k in range(200):
         mine = own.choices(WORDS, k=56)
         docs.append((k, f"{passage} {' '.join(mine)}"))
         if k < 60:
             docs.append((1000 + k, f"{passage} {' '.join(mine[:28] + own.choices(WORDS, k=28))}"))
-    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, t in docs for w in [t.split()]}
-    bands = {d: simhash.band_fingerprints(np.unique(simhash.shingle_hashes(t.encode(), 5))) for d, t in docs}
-    want = {d: d for d, _ in docs}
-    for a, b in itertools.combinations(sorted(sets), 2):
-        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and (np.bitwise_count(bands[a] ^ bands[b]) <= simhash.BUDGET).sum() >= simhash.SHARED:
-            assert b == 1000 + a
-            want[b] = a
-    assert len(set(want.values())) < 350 and Counter(x[b] for x in bands.values() for b in range(1)).most_common(1)[0][1] > simhash.PAIRS
+    base = own.choices(WORDS, k=300)
+    for k in range(150):
+        w = list(base)
+        for _ in range(own.randint(0, 8)):
+            w[own.randrange(300)] = "edit"
+        docs.append((2000 + k, " ".join(w)))
+    docs += [(3000 + k, " ".join(base[k * 20 :] + own.choices(WORDS, k=k * 20))) for k in range(6)]
     got = {x["doc_id"]: x["component_id"] for x in simhash.similar(spark.createDataFrame(docs, SCHEMA).repartition(4)).collect()}
-    assert got == want
+    assert got == plain_similar(docs) and len(set(got.values())) < 350
+
+
+def test_shingles_of_blocks_are_those_of_texts():
+    texts = ["", "a", "A b", "a b c d e", "a b c d e f", "f e d c b a " * 3, " ", "x y z w", "a b  c\td e"]
+    s = simhash.Shingled(pa.array(texts), 5)
+    for t, text in enumerate(texts):
+        w = text.lower().split()
+        one = simhash.Shingled(pa.array([text]), 5)
+        assert len(s.set_of(t)) == len({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else ()) and s.set_of(t).tolist() == one.set_of(0).tolist() and s.text_id[t] == one.text_id[0]
+    assert s.text_id[0] == s.text_id[6] and s.text_id[3] == s.text_id[8] and len(set(s.text_id.tolist())) == 7
+
+
+def test_links_over_several_buckets_are_one_bucket(spark):
+    # A and B, B and C are nearly equal, each pair in another group of bits: all three are one bucket.
+    a = 5 << 50 | 3 << 20 | 9
+    fps = [a, a ^ (1 << 2 | 1 << 40), a ^ (1 << 2 | 1 << 40) ^ (1 << 25 | 1 << 61)]
+    rows = spark.createDataFrame([(k, 9, [x] * simhash.BANDS) for k, x in enumerate(fps)], "text_id long, size int, bands array<long>")
+    assert {x["n"] for x in simhash.band_buckets(rows).collect()} == {3}
 
 
 # --- 7 secrets

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import atexit
 import bisect
+import itertools
 import re
 import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,27 +33,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see. Only a local session may do without it."""
+    """The folder of spark.checkpoint.dir, which all executors see; where that is unset, a folder in the warehouse."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if where:
-        return where.rstrip("/")
-    if not (spark.sparkContext.master or "").startswith("local["):
-        raise ValueError("spark.checkpoint.dir is unset; a cluster needs a folder that all executors share")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="vanika-"))
-        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
-    return _own_dir[0]
+    if not where:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if not (spark.sparkContext.master or "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset; a cluster needs a folder that all executors share")
+        where = f"{warehouse.rstrip('/')}/vanika-tables"
+        if not _own_dir:  # of a local session: what is left there goes with it
+            _own_dir.append(where)
+            atexit.register(shutil.rmtree, re.sub("^file:/*", "/", where), ignore_errors=True)
+    return where.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch while a table is written: what a Python worker holds of its input at once.
+BATCH_BYTES = 8 << 20
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """df as a table in the shared folder: its lineage ends there, so a lost executor costs no recomputation."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    path, before = new_path(spark, name), spark.conf.get(key)
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that cut() made. Nothing that is still to be run may read them."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A key with more than this share of all rows is hot; there are at most as many hot keys as its inverse.
+HOT_SHARE = 1 / 1000
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, copies: str, n: int) -> DataFrame:
+    """rows (n of them) with the one row that facts has for each key; facts: key, copies (of the key in rows), and others.
+
+    Keys with more than HOT_SHARE of all rows are few, whatever the rows are, so their facts go to all tasks; the others meet in a shuffle join.
+    """
+    few = facts.filter(F.col(copies) > n * HOT_SHARE).drop(copies)
+    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(facts.filter(F.col(copies) <= n * HOT_SHARE).drop(copies), key)
+    return rows.join(F.broadcast(few), key).unionByName(rest)
 
 
 def parts(spark: SparkSession) -> int:
@@ -66,25 +100,32 @@ def crc_mod(key: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("null")).cast("binary")) % n
 
 
-def id_bounds(docs: DataFrame, key: str, n: int) -> list[int]:
-    """At most n - 1 ascending cuts that split the keys of all rows into ranges of about equal counts."""
+def range_bounds(rows: DataFrame, key: str, tie: str, n: int) -> list[tuple[int, int]]:
+    """At most n - 1 ascending (key, tie) that split all rows, null keys aside, into ranges of about equal counts.
+
+    tie is a hash (a long) that tells rows of one key apart: a key with several ranges' rows is split by equal shares of the hash's values.
+    """
     share = [i / n for i in range(1, n)]
-    found = docs.agg(F.percentile_approx(key, share, 10_000).alias("q")).first()["q"] if share else None
-    return sorted(set(found or []))
+    found = rows.agg(F.percentile_approx(key, share, max(10_000, 20 * n)).alias("q")).first()["q"] if share else None
+    out = []
+    for value, same in itertools.groupby(found or []):
+        k = len(list(same))
+        out += [(value, -(1 << 63))] if k == 1 else [(value, -(1 << 63) + (i << 64) // k) for i in range(k)]
+    return out
 
 
-def range_of(key: str, bounds: list[int]) -> Column:
-    """The number of the range that a key falls in (0 for null): how many bounds are at or below it."""
-    if not bounds:
-        return F.lit(0)
+def range_of(key: str, tie: str, bounds: list[tuple[int, int]]) -> Column:
+    """The number of the range that a row falls in (0 for a null key): how many bounds are at or below it."""
     # The bounds are sorted: a binary search as nested CASEs, all inside generated code.
     def search(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(F.col(key) >= F.lit(bounds[mid]), search(mid + 1, hi)).otherwise(search(lo, mid))
+        value, least = bounds[mid]
+        at_or_above = F.col(key) >= F.lit(value) if least == -(1 << 63) else (F.col(key) > F.lit(value)) | ((F.col(key) == F.lit(value)) & (F.col(tie) >= F.lit(least)))
+        return F.when(at_or_above, search(mid + 1, hi)).otherwise(search(lo, mid))
 
-    return search(0, len(bounds))
+    return search(0, len(bounds)).cast("int")
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

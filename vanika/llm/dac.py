@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vanika.llm.common import blocks, encoder, id_bounds, new_path, parts
+from vanika.llm.common import blocks, encoder, new_path, parts, range_bounds, range_of
 
 _MAGIC = b"DAC1"
 _RANK_BITS = 512
@@ -119,11 +119,13 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) -> No
 
     tokenizer: path of a byte-level tokenizers file, which every executor must have. Texts are encoded where they
     are read; their ids are then dealt into ranges of doc_id of about equal counts and sorted there. A
-    null text is empty; null doc_ids come first; rows of the same doc_id follow one another by their ids. Other columns are ignored.
+    null text is empty; null doc_ids come first; rows of the same doc_id follow one another by a hash of their text, over several ranges if they are many. Other columns are ignored.
     No documents: an empty folder of files.
     """
     spark = docs.sparkSession
-    bounds = np.array(id_bounds(docs, "doc_id", parts(spark)), np.int64)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    bounds = range_bounds(rows, "doc_id", "tie", parts(spark))
+    rows = rows.withColumn("range", range_of("doc_id", "tie", bounds))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lib = encoder(tokenizer, True)
@@ -134,11 +136,8 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) -> No
                 ids = np.insert(ids, ends, end_id).astype("<u4")
                 at = [0, *(ends + np.arange(1, len(n) + 1)).tolist()]
                 narrow = ids.astype("<u2") if not len(ids) or ids.max() < 1 << 16 else None
-                keys = b.column("doc_id")
-                rows = [(narrow if narrow is not None else ids)[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)]
-                ranges = np.searchsorted(bounds, np.array(keys.fill_null(0)), "right")
-                ranges[np.array(keys.is_null())] = 0
-                yield pa.record_batch({"range": ranges.astype(np.int32), "doc_id": keys, "n": np.diff(at), "ids": pa.array(rows, pa.binary())})
+                coded = [(narrow if narrow is not None else ids)[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)]
+                yield pa.record_batch({"range": b.column("range"), "doc_id": b.column("doc_id"), "tie": b.column("tie"), "n": np.diff(at), "ids": pa.array(coded, pa.binary())})
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, first, keys, held, size = None, 0, [], [], 0
@@ -161,9 +160,8 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) -> No
         if keys:
             yield done()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    coded = rows.mapInArrow(encode, "range int, doc_id long, n long, ids binary")
-    ranged = coded.repartition(parts(spark), "range").sortWithinPartitions("range", "doc_id", "ids")
+    coded = rows.mapInArrow(encode, "range int, doc_id long, tie long, n long, ids binary")
+    ranged = coded.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "doc_id", "tie", "ids")
     files = ranged.mapInArrow(segments, "range int, first long, n_ids long, data binary")
     files.write.option("compression", "zstd").partitionBy("range").parquet(path)
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -11,13 +11,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vanika.llm.common import blocks, cut, mix, parts, text_buffers
+from vanika.llm.common import LOWER, blocks, cut, drop, hash_spans, join_hot, mix, parts, repeat_ranges, text_buffers, words
 
 #: The hash of a shingle is XXH64 with this seed.
 SEED = 42
 #: Differing bits at which two fingerprints still link.
 BUDGET = 2
-#: A bucket with more distinct fingerprints than this is dealt out again by more of their bits.
+#: Twice the distinct fingerprints that a bucket should have; one with eight times as many is dealt out again by more of their bits.
 BUCKET = 4096
 _TOP = np.uint64(1 << 63)
 
@@ -59,47 +59,49 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(each, "doc_id long, fp long")
 
 
-def trie_pairs(fp: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i < j) of values within budget differing bits, for each range lo:hi of ascending distinct values.
+#: Pairs of trie nodes that are held at once; more of them are walked part by part.
+FRONTIER = 1 << 16
+#: Two nodes with no more pairs of values than this are compared value by value.
+SMALL = 4
+
+
+def trie_pairs(fp: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i < j) of values within budget differing bits, for each range lo:hi of ascending distinct values; in parts.
 
     A node of the binary trie over a range is a sub-range whose values share their first bits. Pairs of nodes go down one
-    bit at a time, all ranges at once; a pair's errors grow where its two sides take different children, and a
-    pair over the budget is dropped. Pairs of small nodes are compared value by value.
+    bit at a time, many at once; a pair's errors grow where its two sides take different children, and a
+    pair over the budget is dropped. Pairs of SMALL nodes are compared value by value. What is held is bounded by FRONTIER, not by the pairs found.
     """
+    zeros: dict[int, np.ndarray] = {}
     a0, a1 = lo.astype(np.int64), hi.astype(np.int64)
-    b0, b1, err = a0.copy(), a1.copy(), np.zeros(len(lo), np.int8)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def compare(small: np.ndarray) -> None:
-        na, nb = (a1 - a0)[small], (b1 - b0)[small]
-        pair = np.repeat(np.arange(len(na)), na * nb)
-        within = np.arange(len(pair)) - np.repeat(np.cumsum(na * nb) - na * nb, na * nb)
-        i, j = a0[small][pair] + within // nb[pair], b0[small][pair] + within % nb[pair]
-        keep = (i < j) & (np.bitwise_count(fp[i] ^ fp[j]) <= budget)
-        found.append((i[keep], j[keep]))
-
-    for bit in range(63, -2, -1):
-        small = (a1 - a0) * (b1 - b0) <= 16
-        if bit < 0:
-            small[:] = True
+    stack = [(63, a0, a1, a0.copy(), a1.copy(), np.zeros(len(a0), np.int8))]
+    while stack:
+        bit, a0, a1, b0, b1, err = stack.pop()
+        if len(a0) > FRONTIER:
+            half = len(a0) // 2
+            stack += [(bit, *(x[half:] for x in (a0, a1, b0, b1, err))), (bit, *(x[:half] for x in (a0, a1, b0, b1, err)))]
+            continue
+        small = (a1 - a0) * (b1 - b0) <= SMALL if bit >= 0 else np.ones(len(a0), bool)
         if small.any():
-            compare(np.flatnonzero(small))
-            big = ~small
-            a0, a1, b0, b1, err = a0[big], a1[big], b0[big], b1[big], err[big]
+            na, nb = (a1 - a0)[small], (b1 - b0)[small]
+            pair = np.repeat(np.arange(len(na)), na * nb)
+            within = np.arange(len(pair)) - np.repeat(np.cumsum(na * nb) - na * nb, na * nb)
+            i, j = a0[small][pair] + within // nb[pair], b0[small][pair] + within % nb[pair]
+            keep = (i < j) & (np.bitwise_count(fp[i] ^ fp[j]) <= budget)
+            if keep.any():
+                yield i[keep], j[keep]
+            a0, a1, b0, b1, err = (x[~small] for x in (a0, a1, b0, b1, err))
         if not len(a0):
-            break
-        zeros = np.concatenate([[0], np.cumsum((fp >> np.uint64(bit)) & np.uint64(1) == 0)])
-        am, bm = a0 + zeros[a1] - zeros[a0], b0 + zeros[b1] - zeros[b0]
-        own = a0 == b0
-        sides = [(a0, am, b0, bm, err), (am, a1, bm, b1, err), (a0, am, bm, b1, err + 1)]
-        other = ~own  # a node with itself has its two children as one pair
-        sides.append((am[other], a1[other], b0[other], bm[other], err[other] + 1))
+            continue
+        if bit not in zeros:
+            zeros[bit] = np.concatenate([[0], np.cumsum((fp >> np.uint64(bit)) & np.uint64(1) == 0)])
+        z = zeros[bit]
+        am, bm = a0 + z[a1] - z[a0], b0 + z[b1] - z[b0]
+        other = a0 != b0  # a node with itself has its two children as one pair
+        sides = [(a0, am, b0, bm, err), (am, a1, bm, b1, err), (a0, am, bm, b1, err + 1), (am[other], a1[other], b0[other], bm[other], err[other] + 1)]
         a0, a1, b0, b1, err = (np.concatenate(x) for x in zip(*sides, strict=True))
         live = (a1 > a0) & (b1 > b0) & (err <= budget) & ~((a0 == b0) & (a1 - a0 == 1))
-        a0, a1, b0, b1, err = a0[live], a1[live], b0[live], b1[live], err[live]
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+        stack.append((bit - 1, a0[live], a1[live], b0[live], b1[live], err[live]))
 
 
 def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -114,63 +116,55 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return label
 
 
-_CHOSEN = list(combinations(range(4), 2))
+#: Fingerprints that differ in two bits or fewer agree in one of three groups of their bits, whatever the groups are.
+GROUPS = 3
 
 
-def _keys(value: str, width: int) -> Column:
-    """For each two of the value's four blocks of so many bits: which two, and their bits.
+def _group_width(n: int, bucket: int) -> int:
+    """Bits of a group, so that n values of one bucket each make buckets of about half the given size."""
+    return min(63 // GROUPS, max(1, math.ceil(math.log2(max(2.0, 2 * n / bucket)))))
 
-    Values that differ in two bits or fewer agree in two of four blocks.
-    """
-    mask = (1 << width) - 1
-    block = [F.shiftrightunsigned(value, width * k).bitwiseAND(F.lit(mask)) for k in range(4)]
-    return F.array(*(F.shiftleft(F.lit(c).cast("long"), 2 * width) + F.shiftleft(block[i], width) + block[j] for c, (i, j) in enumerate(_CHOSEN)))
 
+def _group(value: Column, width: int, g: int) -> Column:
+    return F.shiftrightunsigned(value, width * g).bitwiseAND(F.lit((1 << width) - 1))
 
-def _first_choice(x: np.ndarray, width: int) -> np.ndarray:
-    """The first two of four blocks in which x has no bit."""
-    mask = np.uint64((1 << width) - 1)
-    free = [(x >> np.uint64(width * k)) & mask == 0 for k in range(4)]
-    return np.argmax(np.stack([free[i] & free[j] for i, j in _CHOSEN]), axis=0)
 
+def _rest(value: Column, width: int, g: int) -> Column:
+    """The bits outside group g, moved together."""
+    return value.bitwiseAND(F.lit((1 << width * g) - 1)).bitwiseOR(F.shiftleft(F.shiftrightunsigned(value, width * (g + 1)), width * g))
 
-def _rest(x: np.ndarray, choice: np.ndarray) -> np.ndarray:
-    """The 32 bits of x outside the two blocks of the choice."""
-    out = np.zeros(len(x), np.uint64)
-    for c, chosen in enumerate(_CHOSEN):
-        i, j = (k for k in range(4) if k not in chosen)
-        part = ((x >> np.uint64(16 * i)) & np.uint64(0xFFFF)) << np.uint64(16) | (x >> np.uint64(16 * j)) & np.uint64(0xFFFF)
-        out[choice == c] = part[choice == c]
-    return out
 
+def _first_group(x: np.ndarray, width: int) -> np.ndarray:
+    """The first group in which x has no bit."""
+    mask = np.uint64((1 << width) - 1)
+    return np.argmax(np.stack([(x >> np.uint64(width * g)) & mask == 0 for g in range(GROUPS)]), axis=0)
 
-def _rest_column() -> Column:
-    out = F.lit(None).cast("long")
-    choice = F.shiftrightunsigned("key", 32)
-    for c, chosen in enumerate(_CHOSEN):
-        i, j = (k for k in range(4) if k not in chosen)
-        part = F.shiftleft(F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)), 16) + F.shiftrightunsigned("fp", 16 * j).bitwiseAND(F.lit(0xFFFF))
-        out = F.when(choice == c, part).otherwise(out)
-    return out
+
+def _rest_bits(x: np.ndarray, width: int, group: np.ndarray) -> np.ndarray:
+    low = np.uint64(width) * group.astype(np.uint64)
+    return x & ((np.uint64(1) << low) - np.uint64(1)) | (x >> (low + np.uint64(width))) << low
 
 
 def link(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """fp, root, links: each fingerprint's root in some bucket, and the copies of others that it links with there.
 
-    fps: distinct fp, with their copies. Fingerprints meet in six buckets, one for each
-    two of their four 16-bit blocks, so all that differ in two bits or fewer meet. A bucket of more than
-    bucket fingerprints is dealt out again by two of the four bytes that are left, into six buckets each; those
-    have 65,536 distinct fingerprints at most, whatever the input. In a bucket, trie_pairs() finds
-    the pairs; a task gives back a row for each fingerprint, never the pairs.
+    fps: distinct fp, with their copies. Fingerprints meet in three buckets, one for each of three disjoint groups of their bits, so all that differ
+    in two bits or fewer meet. The groups' width follows from the count, so that a bucket holds about half of bucket fingerprints. One with eight times bucket
+    is dealt out again by three groups of the bits that are left. In a bucket, trie_pairs() finds the pairs; a
+    task gives back a row for each fingerprint, never the pairs.
     """
     spark = fps.sparkSession
-    rows = fps.select("fp", "copies", F.explode(_keys("fp", 16)).alias("key"))
-    hot = rows.groupBy("key").count().filter(F.col("count") > bucket).select("key")
+    width = _group_width(fps.count(), bucket)
+    inner = min(16, (64 - width) // GROUPS)
+    keys = F.array(*(F.struct((F.lit(g << width) + _group(F.col("fp"), width, g)).cast("long").alias("key"), _rest(F.col("fp"), width, g).alias("rest")) for g in range(GROUPS)))
+    rows = fps.select("fp", "copies", F.explode(keys).alias("k")).select("fp", "copies", "k.key", "k.rest")
+    hot = rows.groupBy("key").count().filter(F.col("count") > 8 * bucket).select("key")
     if hot.isEmpty():
         rows = rows.withColumn("sub", F.lit(0).cast("long"))
-    else:
-        rows = rows.join(hot.withColumn("hot", F.lit(True)), "key", "left").withColumn("rest", _rest_column())
-        rows = rows.withColumn("sub", F.explode(F.when(F.col("hot"), F.transform(_keys("rest", 8), lambda x: x + 1)).otherwise(F.array(F.lit(0).cast("long"))))).drop("hot", "rest")
+    else:  # a bucket of so many is one of n / bucket at most
+        subs = F.array(*((F.lit(1 + (g << inner)) + _group(F.col("rest"), inner, g)).cast("long") for g in range(GROUPS)))
+        rows = rows.join(hot.withColumn("hot", F.lit(True)), "key", "left")
+        rows = rows.withColumn("sub", F.explode(F.when(F.col("hot"), subs).otherwise(F.array(F.lit(0).cast("long")))))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = [np.empty(0, np.int64)] * 4
@@ -179,14 +173,15 @@ def link(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
             u = fp.view(np.uint64) ^ _TOP  # ascending as the signed values are
             at = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (sub[1:] != sub[:-1])) + 1, [len(key)]])
             more = np.diff(at) > 1
-            i, j = trie_pairs(u, at[:-1][more], at[1:][more], BUDGET)
-            label = roots(len(u), i, j)
-            x = u[i] ^ u[j]
-            # A pair that several buckets hold counts in the first of them.
-            first = _first_choice(x, 16) == key[i] >> 32
-            deep = np.flatnonzero(first & (sub[i] > 0))
-            first[deep] = _first_choice(_rest(x[deep], key[i[deep]] >> 32), 8) == (sub[i[deep]] - 1) >> 16
-            links = np.bincount(i[first], copies[j[first]], len(u)) + np.bincount(j[first], copies[i[first]], len(u))
+            label, links = np.arange(len(u)), np.zeros(len(u))
+            for i, j in trie_pairs(u, at[:-1][more], at[1:][more], BUDGET):
+                label = roots(len(u), label[i], label[j])[label]
+                x, group = u[i] ^ u[j], key[i] >> width
+                # A pair that several buckets hold counts in the first of them.
+                first = _first_group(x, width) == group
+                deep = np.flatnonzero(first & (sub[i] > 0))
+                first[deep] = _first_group(_rest_bits(x[deep], width, group[deep]), inner) == (sub[i[deep]] - 1) >> inner
+                links += np.bincount(i[first], copies[j[first]], len(u)) + np.bincount(j[first], copies[i[first]], len(u))
             out = np.flatnonzero((label != np.arange(len(u))) | (links > 0))
             return pa.record_batch({"fp": fp[out], "root": fp[label[out]], "links": links[out].astype(np.int64)})
 
@@ -213,14 +208,18 @@ def components(edges: DataFrame) -> DataFrame:
     the last has a row for each node only. Null ends and loops are ignored; no edges: no rows.
     """
     edges = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    if edges.isEmpty():
+        return edges.toDF("u", "root")
     before = None
     while True:
+        last = edges
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct()
         edges = cut(small, "edges")
+        drop(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             return edges.toDF("u", "root")
@@ -243,38 +242,67 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     links = linked.groupBy("fp").agg(F.sum("links").alias("links"))
     known = fps.join(label.withColumnRenamed("u", "fp"), "fp", "left").join(links, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = known.join(least, "root").select("fp", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    known = known.join(least, "root").select("fp", "copies", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return marks.join(known, "fp").select("doc_id", hexed, "component_id", "n_links")
+    return join_hot(marks, known, "fp", "copies", marks.count()).select("doc_id", hexed, "component_id", "n_links")
 
 
 #: Bands of the text's own fingerprints in similar(), and shingles that each is made of.
 BANDS, ROWS = 16, 4
 _ODD = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+_31 = np.uint64(31)
+
+
+class Shingled:
+    """The shingles (of so many words) of a block of texts, as hashes: where each text's begin, and how many it has."""
+
+    def __init__(self, column: pa.Array, k: int) -> None:
+        data, offs = text_buffers(column)
+        low = LOWER[data]
+        starts, lens, per = words(low, offs)
+        h = hash_spans(low, starts, lens)
+        first = np.cumsum(per) - per
+        within = np.arange(len(h)) - np.repeat(first, per)
+        # The text as a sequence of words: a sum of its words' hashes, each mixed with its place.
+        placed = np.concatenate([mix(h ^ mix(within.astype(np.uint64))), [np.uint64(0)]])
+        sums = np.add.reduceat(placed, np.minimum(first, len(h))) if len(per) else np.empty(0, np.uint64)
+        self.text_id = mix(np.where(per > 0, sums, np.uint64(0)) + per.astype(np.uint64)).view(np.int64)
+        # A text of fewer words is one shingle: the words that it lacks are zeros.
+        n = np.where(per > 0, np.maximum(per - k + 1, 1), 0)
+        at = repeat_ranges(first, n)
+        left = np.repeat(per, n) - (at - np.repeat(first, n))
+        out = mix(h[at])
+        for d in range(1, k):
+            ok = left > d
+            out = mix(out + np.where(ok, h[np.minimum(at + d, len(h) - 1)] if len(h) else 0, np.uint64(0)))
+        self.hashes, self.n, self.first = out, n, np.cumsum(n) - n
+
+    def set_of(self, t: int) -> np.ndarray:
+        return np.unique(self.hashes[self.first[t] : self.first[t] + self.n[t]])
+
+
+def band_fingerprints(s: Shingled) -> np.ndarray:
+    """For each text BANDS SimHashes, each of the ROWS shingles that come first in ROWS orders of all its shingles; zeros for a text without any."""
+    some = np.flatnonzero(s.n)
+    least = np.empty((len(some), BANDS * ROWS), np.uint64)
+    if len(some):
+        for k, odd in enumerate(_ODD):
+            x = s.hashes * odd
+            x ^= x >> _31
+            least[:, k] = np.minimum.reduceat(x, s.first[some])
+    out = np.zeros((len(s.n), BANDS), np.uint64)
+    for i in range(0, len(some), 4096):
+        chosen = mix(least[i : i + 4096]).astype("<u8")
+        bits = np.unpackbits(chosen.view(np.uint8).reshape(-1, BANDS, ROWS, 8), axis=3, bitorder="little")
+        ones = bits.sum(axis=2, dtype=np.uint8)
+        out[some[i : i + 4096]] = np.packbits(2 * ones > ROWS, axis=2, bitorder="little").view("<u8")[:, :, 0]
+    return out
 
 
-def band_fingerprints(hashes: np.ndarray) -> np.ndarray:
-    """BANDS SimHashes, each of the ROWS shingles that come first in ROWS orders of all shingles."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), 4096):
-        x = hashes[i : i + 4096, None] * _ODD
-        least = np.minimum(least, (x ^ (x >> np.uint64(31))).min(axis=0))
-    return np.array([simhash(mix(x)) for x in least.reshape(BANDS, ROWS)], np.uint64)
-
-
-#: Bands that a pair of a small bucket has to share to be checked. At a similarity of 0.8, 6.5 of 16 are shared on average, fewer than two in 3 of 1000 pairs.
-SHARED = 2
-
-
-def _same(text: bytes) -> bytes:
-    """Equal for texts of the same words, ASCII case aside."""
-    return xxhash.xxh3_128_digest(b" ".join(text.lower().split()))
-
-
-#: In similar(), the pairs of a bucket of up to so many texts are rows; a larger one is checked block by block.
-PAIRS = 64
-#: Texts of a block, about.
-BLOCK = 256
+#: Texts of a block at most, and shingles of its texts together: what a task compares with another block at once.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+#: Texts whose counts of shingles are more than a class apart can't be alike.
+SIZE_STEP = 1.25
 
 
 def similar(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -282,194 +310,169 @@ def similar(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFram
 
     One 64-bit SimHash doesn't tell a similarity of 0.8 from none: such pairs differ in 4 to 14 bits. So the fingerprints here
     are banded: each is the SimHash of a few shingles chosen by minwise orders, equal or nearly so for similar texts. The
-    same texts (as words, ASCII case aside) are one from the first shuffle on. Of each bucket of nearly equal fingerprints
-    of a band, found by the trie self-join, all pairs that share SHARED bands are checked. In a bucket of over PAIRS texts, every one is checked first
-    with the two most central ones (those with most neighbours over all bands) and with the next in the order of
-    their bands; then all pairs that this has not joined, in blocks(). The check is exact, on whole shingle sets.
-    Null or blank texts are copies of each other. component_id: the smallest doc_id of the group (nulls don't count).
+    same texts (as words, ASCII case aside) are one from the first shuffle on. The trie self-join puts nearly equal fingerprints of a band in one bucket;
+    texts of a bucket are candidates of each other. Candidates that hang together and are few meet in one task, all with all. Where they are many, each
+    is first compared with central texts of its largest bucket; then all pairs of each bucket that this has not joined, block by block (open_cells()). Every comparison is exact,
+    on whole shingle sets. A similarity of 0.8 leaves 2 of 10,000 pairs without a common band; no other pair is lost.
+    Null or blank texts are copies of each other. component_id: the smallest doc_id of the group (nulls don't count). Texts are told apart by 64 bits of hash.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in blocks(batch):
-                data, offs = text_buffers(b.column("text"))
-                raw, at = data.tobytes(), offs.tolist()
-                exact = [_same(raw[i:j]) for i, j in zip(at, at[1:], strict=False)]
-                bands = [band_fingerprints(np.unique(shingle_hashes(raw[i:j], words))).view(np.int64).tolist() for i, j in zip(at, at[1:], strict=False)]
-                yield pa.record_batch({"doc_id": b.column("doc_id"), "same": pa.array(exact, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64()))})
+            for b in blocks(batch, limit=2 << 20):
+                s = Shingled(b.column("text"), words)
+                bands = pa.array(band_fingerprints(s).view(np.int64).ravel())
+                yield pa.record_batch({"doc_id": b.column("doc_id"), "text_id": s.text_id, "size": s.n, "bands": pa.ListArray.from_arrays(np.arange(0, BANDS * len(s.n) + 1, BANDS, dtype=np.int32), bands)})
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in blocks(batch):
-                data, offs = text_buffers(b.column("text"))
-                raw, at = data.tobytes(), offs.tolist()
-                exact = [_same(raw[i:j]) for i, j in zip(at, at[1:], strict=False)]
-                sets = [np.unique(shingle_hashes(raw[i:j], words)).tobytes() for i, j in zip(at, at[1:], strict=False)]
-                yield pa.record_batch({"same": pa.array(exact, pa.binary()), "shingles": pa.array(sets, pa.binary())})
+            for b in blocks(batch, limit=2 << 20):
+                s = Shingled(b.column("text"), words)
+                yield pa.record_batch({"text_id": s.text_id, "shingles": pa.array([s.set_of(t).tobytes() for t in range(len(s.n))], pa.binary())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    marks = cut(rows.mapInArrow(each, "doc_id long, same binary, bands array<long>"), "bands")
-    texts = cut(marks.groupBy("same").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")).withColumn("text_id", F.xxhash64("same")), "texts")
-    banded = band_buckets(texts.select("text_id", "bands"))
-    pairs = cut(candidate_pairs(texts.select("text_id", "bands"), banded), "pairs")
-
-    def sets_of(named: DataFrame) -> DataFrame:
-        """text_id and shingles of the named text_ids. Sets are made again, of one document of each: all sets together would be larger than the texts."""
-        some = texts.join(named, "text_id", "left_semi").select("first").distinct()
-        sets = rows.join(some, rows["doc_id"].eqNullSafe(some["first"]), "left_semi").mapInArrow(shingles, "same binary, shingles binary")
-        sets = sets.withColumn("text_id", F.xxhash64("same")).join(named, "text_id", "left_semi").groupBy("text_id").agg(F.first("shingles").alias("shingles"))
-        return cut(sets, "sets")
-
-    sets = sets_of(pairs.select("a").union(pairs.select("b")).distinct().toDF("text_id"))
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-                keep.append(alike(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), threshold))
-            yield pa.record_batch({"u": batch.column("a"), "v": batch.column("b")}).filter(pa.array(keep, pa.bool_()))
-
-    label = components(both.select("a", "b", "sa", "sb").mapInArrow(check, "u long, v long"))
-    cells = open_cells(banded, label)
+    marks = cut(rows.mapInArrow(each, "doc_id long, text_id long, size long, bands array<long>"), "bands")
+    texts = cut(marks.groupBy("text_id").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")), "texts")
+    banded = band_buckets(texts)
+    heads = banded.groupBy("band", "fp").agg(F.min("text_id").alias("v"))
+    near = components(banded.join(heads, ["band", "fp"]).select(F.col("text_id").alias("u"), "v"))
+    near = near.union(near.select("root", "root").distinct()).toDF("text_id", "near")
+    near = cut(near.join(texts.select("text_id", "size"), "text_id"), "near")
+    groups = near.groupBy("near").agg(((F.count("*") <= BLOCK) & (F.sum("size") <= 2 * BLOCK_SHINGLES)).alias("few"))
+    near = cut(near.join(groups, "near"), "groups")
+
+    # Sets are made again, of one document of each text that has candidates: the sets of all texts would be larger than the texts.
+    some = texts.join(near, "text_id", "left_semi").select("first").distinct()
+    sets = rows.join(some, rows["doc_id"].eqNullSafe(some["first"]), "left_semi").mapInArrow(shingles, "text_id long, shingles binary")
+    sets = cut(sets.join(near, "text_id", "left_semi").dropDuplicates(["text_id"]), "sets")
+
+    few = near.filter("few").select(F.col("near").alias("cell"), F.lit(0).alias("side"), "text_id")
+    many = cut(banded.join(near.filter("NOT few").select("text_id", "size"), "text_id"), "many")
+    edges = cut(compare(few.union(star_cells(many)), sets, threshold), "alike")
+    label = components(edges)
+    cells = open_cells(many, label)
     if cells is not None:
-        sets = sets_of(cells.select("text_id").distinct())
-        more = block_edges(cells.join(sets, "text_id"), threshold)
-        label = components(label.toDF("u", "v").union(more))
-    known = texts.select("text_id", "same", "first").join(label.withColumnRenamed("u", "text_id"), "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
+        label = components(edges.union(compare(cells, sets, threshold)))
+    known = texts.select("text_id", "copies", "first").join(label.withColumnRenamed("u", "text_id"), "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = known.join(least, "root").select("same", "component_id")
-    return marks.select("doc_id", "same").join(known, "same").select("doc_id", "component_id")
-
-
-def alike(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
-    """Two sets, ascending, of a Jaccard similarity of threshold or more."""
-    if min(len(x), len(y)) < threshold * max(len(x), len(y)):
-        return False
-    common = len(np.intersect1d(x, y, assume_unique=True))
-    return common >= threshold * (len(x) + len(y) - common)
+    known = cut(known.join(least, "root").select("text_id", "copies", "component_id"), "known")
+    drop(banded, near, sets, many, edges, texts)
+    return join_hot(marks.select("doc_id", "text_id"), known, "text_id", "copies", marks.count()).select("doc_id", "component_id")
 
 
 def band_buckets(texts: DataFrame) -> DataFrame:
-    """text_id, band, fp, n: the bucket of each text in each band, named by the least fingerprint it links to, and how many texts are in it (if more than one)."""
-    rows = texts.select("text_id", F.posexplode("bands").alias("band", "fp"))
+    """text_id, band, fp, n: the bucket of each text in each band, named by the least fingerprint that links lead to, and how many texts are in it (if more than one)."""
+    rows = texts.filter("size > 0").select("text_id", F.posexplode("bands").alias("band", "fp"))
     # Nearly equal fingerprints of all bands are found in one join: chance pairs across bands are as rare as within one.
     fps = cut(rows.groupBy("fp").agg(F.count("*").alias("copies")), "band_fps")
-    linked = link(fps).filter("root <> fp").groupBy("fp").agg(F.min("root").alias("root"))
-    rows = rows.join(linked, "fp", "left").select("text_id", "band", F.coalesce("root", "fp").alias("fp"))
-    rows = cut(rows.distinct(), "band_rows")
+    linked = components(link(fps).select(F.col("fp").alias("u"), F.col("root").alias("v"))).withColumnRenamed("u", "fp")
+    rows = cut(rows.join(linked, "fp", "left").select("text_id", "band", F.coalesce("root", "fp").alias("fp")), "band_rows")
     sizes = rows.groupBy("band", "fp").agg(F.count("*").alias("n")).filter("n > 1")
-    return cut(rows.join(sizes, ["band", "fp"]), "band_sizes")
-
-
-def candidate_pairs(texts: DataFrame, rows: DataFrame) -> DataFrame:
-    """a < b, distinct: the pairs of text_id that similar() checks first; rows: their band_buckets()."""
-    few, many = rows.filter(F.col("n") <= PAIRS), rows.filter(F.col("n") > PAIRS)
-    lists = few.groupBy("band", "fp").agg(F.sort_array(F.collect_list("text_id")).alias("ids"))
-    pairs = lists.select(F.posexplode("ids").alias("k", "a"), "ids").select("a", F.explode(F.slice("ids", F.col("k") + 2, F.lit(PAIRS))).alias("b"))
-    pairs = pairs.groupBy("a", "b").count()
-    if many.isEmpty():
-        return pairs.filter(F.col("count") >= SHARED).select("a", "b")
-    # Large buckets that both are in count too.
-    large = many.groupBy("text_id").agg(F.collect_list(F.struct("band", "fp")).alias("large"))
-    pairs = pairs.join(large.toDF("a", "la"), "a", "left").join(large.toDF("b", "lb"), "b", "left")
-    pairs = pairs.filter(F.col("count") + F.coalesce(F.size(F.array_intersect("la", "lb")), F.lit(0)) >= SHARED).select("a", "b")
-    central = many.groupBy("text_id").agg(F.sum("n").alias("weight"))
-    many = many.join(central, "text_id")
-    heads = many.groupBy("band", "fp").agg(F.max(F.struct("weight", "text_id")).alias("top"), F.min("text_id").alias("low"))
-    stars = many.join(heads, ["band", "fp"]).select("text_id", F.explode(F.array("top.text_id", "low")).alias("other"))
-    # Neighbours in the order of the bands: one range-sorted sequence, cut at its partitions.
-    order = texts.join(many.select("text_id").distinct(), "text_id", "left_semi").select("text_id", F.array_join(F.col("bands").cast("array<string>"), ",").alias("o"))
-
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            ids = np.asarray(batch.column("text_id"))
-            prev = np.concatenate([ids[:1] if last is None else [last], ids[:-1]])
-            last = ids[-1] if len(ids) else last
-            yield pa.record_batch({"text_id": ids, "other": prev})
+    out = cut(rows.join(sizes, ["band", "fp"]), "band_sizes")
+    drop(fps, rows)
+    return out
 
-    near = order.repartitionByRange(parts(texts.sparkSession), "o").sortWithinPartitions("o").mapInArrow(chain, "text_id long, other long")
-    more = stars.union(near).filter("text_id <> other").select(F.least("text_id", "other").alias("a"), F.greatest("text_id", "other").alias("b"))
-    return pairs.union(more).distinct()
 
+def _parts_of(count: Column, shingles: Column) -> Column:
+    """Blocks for so many texts with so many shingles."""
+    return F.greatest(F.ceil(count / BLOCK), F.ceil(shingles / BLOCK_SHINGLES))
 
-def open_cells(rows: DataFrame, label: DataFrame) -> DataFrame | None:
-    """cell, side, band, text_id, root, own: the blocks of large buckets that have to be checked with each other; None: none have to.
 
-    rows: band_buckets(); label (u, root): what is joined already. Each large bucket is dealt into blocks of about BLOCK texts: a group of
-    joined texts that is larger has blocks of its own, so that they are not checked with each other. A cell is two blocks, or one with itself (side 0 only).
-    own: the text's bucket in each band, as an array of structs.
+def star_cells(many: DataFrame) -> DataFrame:
+    """cell, side, text_id: every text (side 1) with the two most central ones (side 0) of the largest bucket that it is in.
+
+    many: text_id, band, fp, n, size. Central are the text with most neighbours over all its buckets, and the one of the least text_id.
+    """
+    top = many.groupBy("text_id").agg(F.max(F.struct("n", "band", "fp")).alias("top"), F.sum("n").alias("weight"), F.first("size").alias("size")).select("text_id", "weight", "size", "top.band", "top.fp")
+    stars = top.groupBy("band", "fp").agg(F.max(F.struct("weight", "text_id")).alias("most"), F.min("text_id").alias("low"), _parts_of(F.count("*"), F.sum("size")).alias("k"))
+    own = top.join(stars, ["band", "fp"]).select("band", "fp", F.pmod("text_id", "k").alias("part"), F.lit(1).alias("side"), "text_id", "most.text_id", "low").toDF("band", "fp", "part", "side", "text_id", "most", "low")
+    heads = stars.select("band", "fp", "k", F.explode(F.array_distinct(F.array("most.text_id", "low"))).alias("text_id"))
+    heads = heads.select("band", "fp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("part"), F.lit(0).alias("side"), "text_id")
+    own = own.filter("text_id <> most AND text_id <> low").drop("most", "low")
+    return own.union(heads).select(F.xxhash64("band", "fp", "part").alias("cell"), "side", "text_id")
+
+
+def open_cells(many: DataFrame, label: DataFrame) -> DataFrame | None:
+    """cell, side, text_id: the blocks of large buckets that have to be compared with each other; None: none have to.
+
+    many: text_id, band, fp, n, size; label (u, root): what is joined already. A bucket whose texts are not all joined is dealt into blocks by
+    size class, each of BLOCK texts and BLOCK_SHINGLES shingles at most; joined texts that are more have blocks of their own, which are not compared with
+    each other. A cell is two blocks of the same or of neighbouring classes, or one with itself (side 0 only).
     """
-    many = rows.filter(F.col("n") > PAIRS).join(label.withColumnRenamed("u", "text_id"), "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
-    groups = cut(many.groupBy("band", "fp", "root").agg(F.count("*").alias("g"), F.first("n").alias("n")).filter("g < n"), "groups")
-    if groups.isEmpty():
+    rows = many.join(label.withColumnRenamed("u", "text_id"), "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
+    groups = rows.groupBy("band", "fp", "root").agg(F.count("*").alias("g"), F.first("n").alias("n")).filter("g < n")
+    rows = cut(rows.drop("n").join(groups.drop("n"), ["band", "fp", "root"]), "open")
+    if rows.isEmpty():
         return None
-    many = many.drop("n").join(groups, ["band", "fp", "root"])
-    alone = F.col("g") > BLOCK
-    place = F.when(alone, F.pmod(F.xxhash64("text_id"), F.ceil(F.col("g") / BLOCK))).otherwise(F.pmod(F.xxhash64("root"), F.ceil(F.col("n") / BLOCK)))
-    many = many.select("text_id", "band", "fp", "root", F.xxhash64("band", "fp", F.when(alone, F.col("root")), place).alias("block"), F.when(alone, F.col("root")).alias("only"))
-    many = cut(many, "blocks")
-    each = many.select("band", "fp", "block", "only").distinct()
-    pairs = each.toDF("band", "fp", "x", "ox").join(each.toDF("band", "fp", "y", "oy"), ["band", "fp"]).filter("x <= y AND NOT coalesce(ox = oy, false)")
+    rows = rows.withColumn("only", F.when(F.col("g") > BLOCK, F.col("root"))).withColumn("class", F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / math.log(SIZE_STEP)))
+    key = ["band", "fp", "only", "class"]
+    dealt = rows.groupBy(*key).agg(_parts_of(F.count("*"), F.sum("size")).alias("k")).toDF("b", "f", "o", "c", "k")
+    rows = rows.join(dealt, (F.col("band") == F.col("b")) & (F.col("fp") == F.col("f")) & F.col("only").eqNullSafe(F.col("o")) & (F.col("class") == F.col("c")))
+    rows = rows.withColumn("block", F.xxhash64("band", "fp", F.col("only").isNull(), "only", "class", F.pmod("text_id", "k")))
+    rows = cut(rows.select("text_id", "band", "fp", "only", "class", "block"), "blocks")
+    each = rows.select("band", "fp", "block", "only", "class").distinct()
+    pairs = each.toDF("band", "fp", "x", "ox", "cx").join(each.toDF("band", "fp", "y", "oy", "cy"), ["band", "fp"]).filter("x <= y AND abs(cx - cy) <= 1 AND NOT coalesce(ox = oy, false)")
     pairs = pairs.select("x", "y", F.xxhash64("x", "y").alias("cell"))
     sides = pairs.select("cell", F.lit(0).alias("side"), F.col("x").alias("block")).union(pairs.filter("x <> y").select("cell", F.lit(1), "y"))
-    own = rows.join(many.select("text_id").distinct(), "text_id", "left_semi").groupBy("text_id").agg(F.collect_list(F.struct("band", "fp")).alias("own"))
-    return cut(sides.join(many.drop("fp", "only"), "block").drop("block").join(own, "text_id"), "cells")
-
-
-def block_edges(cells: DataFrame, threshold: float) -> DataFrame:
-    """u, v: joins of the texts in each cell (open_cells() with shingles) that are alike; a row for a text at most, not for a pair."""
-
-    def joined(rows: list[dict]) -> pa.RecordBatch:
-        n, band = len(rows), rows[0]["band"]
-        side = np.array([x["side"] for x in rows])
-        root = np.array([x["root"] for x in rows])
-        sets = [np.frombuffer(x["shingles"], "<u8") for x in rows]
-        size = np.array([len(x) for x in sets])
-        own, known = np.zeros((n, BANDS), np.int64), np.zeros((n, BANDS), bool)
-        for k, x in enumerate(rows):
-            for o in x["own"]:
-                own[k, o["band"]], known[k, o["band"]] = o["fp"], True
-        label = np.arange(n)
-        for r in np.unique(root):
-            label[root == r] = np.flatnonzero(root == r)[0]
-        start = label.copy()
-        one_block = not side.any()
-        for i in range(n):
-            if side[i] and not one_block:
-                continue
-            j = np.arange(i + 1, n) if one_block else np.flatnonzero(side)
-            shared = (own[j] == own[i]) & known[j] & known[i]
-            # Of several buckets that a pair shares, the first checks it.
-            j = j[(shared.sum(axis=1) >= SHARED) & (shared.argmax(axis=1) == band) & (np.minimum(size[j], size[i]) >= threshold * np.maximum(size[j], size[i]))]
-            if not len(j):
-                continue
-            j = j[label[j] != label[i]]
-            if not len(j):
-                continue
-            # How many of the set's shingles each of the others has.
-            common = np.bincount(np.repeat(np.arange(len(j)), size[j])[np.isin(np.concatenate([sets[k] for k in j]), sets[i])], minlength=len(j))
-            for k in j[common >= threshold * (size[i] + size[j] - common)].tolist():
-                if label[k] != label[i]:
-                    label[label == label[k]] = label[i]
-        ids = np.array([x["text_id"] for x in rows])
-        # From each group joined before, one edge to what it is in now.
-        first = np.flatnonzero((start == np.arange(n)) & (label != start))
-        return pa.record_batch({"u": ids[first], "v": ids[label[first]]})
+    return sides.join(rows.select("block", "text_id"), "block").select("cell", "side", "text_id")
+
+
+#: Shingles whose columns are made at once.
+COLUMNS = 4096
+
+
+def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many values the sets (ascending) at left and those at right have in common, as a table of left by right: products of 0/1 tables, some columns at a time."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    new = np.concatenate([[True], flat[1:] != flat[:-1]])
+    start = np.flatnonzero(new)
+    shared = np.repeat(np.diff(start, append=len(flat)) > 1, np.diff(start, append=len(flat)))
+    column = np.cumsum(new & shared) - 1
+    column, owner = column[shared], owner[shared]
+    edges = np.searchsorted(column, np.arange(0, (int(column[-1]) + 1 if len(column) else 0) + COLUMNS, COLUMNS))
+    same = len(left) == len(right) and np.array_equal(left, right)
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if a == b:
+            continue
+        table = np.zeros((len(sets), int(column[b - 1] - column[a]) + 1), np.float32)
+        table[owner[a:b], column[a:b] - column[a]] = 1.0
+        x = table if len(left) == len(sets) else table[left]
+        out += x @ (x if same else table[right]).T
+    return out
+
+
+def compare(cells: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """u, v: joins of the texts that are alike in each cell (cell, side, text_id): those of side 0 with those of side 1, or, if that has none, with each other. A row for a text at most, not for a pair."""
+
+    def joined(ids: list[int], sides: list[int], own: list[np.ndarray]) -> pa.RecordBatch:
+        side, size = np.array(sides), np.array([len(x) for x in own], np.float64)
+        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if any(sides) and not all(sides) else (np.arange(len(ids)),) * 2
+        common = common_counts(own, left, right)
+        i, j = np.nonzero(common >= threshold * (size[left][:, None] + size[right] - common) - 1e-9)
+        label = roots(len(ids), left[i], right[j])
+        out = np.flatnonzero(label != np.arange(len(ids)))
+        names = np.array(ids, np.int64)
+        return pa.record_batch({"u": names[out], "v": names[label[out]]})
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        now, ids, sides, own = None, [], [], []
         for batch in batches:
-            for row in batch.to_pylist():
-                if held and held[0]["cell"] != row["cell"]:
-                    yield joined(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield joined(held)
-
-    dealt = cells.repartition(parts(cells.sparkSession), "cell").sortWithinPartitions("cell", "side", "text_id")
+            for cell, side, text_id, data in zip(*(batch.column(c).to_pylist() for c in ("cell", "side", "text_id")), batch.column("shingles"), strict=True):
+                if cell != now:
+                    if len(ids) > 1:
+                        yield joined(ids, sides, own)
+                    now, ids, sides, own = cell, [], [], []
+                ids.append(text_id)
+                sides.append(side)
+                own.append(np.frombuffer(data.as_buffer(), "<u8").copy())
+        if len(ids) > 1:
+            yield joined(ids, sides, own)
+
+    dealt = cells.join(sets, "text_id").repartition(parts(cells.sparkSession), "cell").sortWithinPartitions("cell", "side", "text_id")
     return dealt.mapInArrow(each, "u long, v long")
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vanika.llm.common import id_bounds, mix, parts, range_of
+from vanika.llm.common import mix, parts, range_bounds, range_of
 
 #: Code points of a gram, and grams of a window: texts that share a passage of GRAM + WINDOW - 1 code points share a hash.
 GRAM, WINDOW = 20, 30
@@ -98,26 +98,26 @@ def to_text(hashes: np.ndarray, positions: np.ndarray) -> str:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text and last for each row, sorted by doc_id in each of contiguous ranges, each range with the row that follows it.
+    """doc_id, text, range and last for each row, sorted by doc_id in each of contiguous ranges, each range with the row that follows it.
 
-    range: rows of one range are in one task, in order. The row after a range's last is there
-    once more, with last = true: it is the first of the next range, and the very first after the last range. Only the
-    ranges' smallest doc_ids go through the driver.
+    Rows of one range are in one task, in order: by doc_id (nulls first), a hash of the text, the text. The row after a range's last is there
+    once more, with last = true: it is the first of the next range, and the very first after the last range. A doc_id of many rows is split over
+    ranges by the hash. Only the ranges' first keys go through the driver.
     """
-    n = parts(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("range", range_of("doc_id", id_bounds(docs, "doc_id", n)))
-    # A null doc_id comes before all others, in range 0.
-    heads = sorted((r["range"], r["none"], r["head"]) for r in rows.groupBy("range").agg(F.min("doc_id").alias("head"), F.max(F.col("doc_id").isNull()).alias("none")).collect())
-    where, before = F.array("range"), None
-    for k, (number, none, head) in enumerate(heads):
-        is_head = F.col("doc_id").isNull() if none else F.col("doc_id") == F.lit(head)
-        at = F.when(is_head, F.array(F.col("range"), F.lit(-1 - heads[k - 1][0])))
-        before = at if before is None and k == 0 else F.when(F.col("range") == number, at).otherwise(before)
-    where = F.coalesce(before, where) if before is not None else where
-    rows = rows.withColumn("range", F.explode(where))
-    rows = rows.withColumn("last", F.col("range") < 0).withColumn("range", F.when(F.col("range") < 0, -1 - F.col("range")).otherwise(F.col("range")))
-    return rows.repartition(n, "range").sortWithinPartitions("range", "last", "doc_id", "text")
+    spark = docs.sparkSession
+    n = parts(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    bounds = range_bounds(rows, "doc_id", "tie", n)
+    rows = rows.withColumn("range", range_of("doc_id", "tie", bounds))
+    key = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "tie")
+    heads = sorted(tuple(r) for r in rows.groupBy("range").agg(F.min(key).alias("k")).select("range", "k.doc_id", "k.tie").collect())
+    if not heads:
+        return rows.withColumn("last", F.lit(False))
+    ends = spark.createDataFrame([(*h, heads[k - 1][0]) for k, h in enumerate(heads)], "r int, d long, t long, before int")
+    first = rows.join(F.broadcast(ends), (F.col("range") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")))
+    first = first.select("before", "doc_id", "text", "tie").dropDuplicates(["before"])
+    both = rows.withColumn("last", F.lit(False)).unionByName(first.withColumnRenamed("before", "range").withColumn("last", F.lit(True)))
+    return both.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "last", "doc_id", "tie", "text")
 
 
 def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
@@ -125,18 +125,15 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
 
     The edited text is the text with its last floor(n_chars / 2) code points replaced by as many first ones (or all) of the next
     document by doc_id; after the last comes the first. Texts are shuffled once, into ranges
-    of doc_id. A null text is empty; a null doc_id comes first; rows of one doc_id follow each other by text. A single
-    row is its own next. Other columns are ignored.
+    of doc_id. A null text is empty; a null doc_id comes first; rows of one doc_id follow each other by a hash of their text, repeated rows too. A single
+    row is its own next; no rows: no rows. A very long text is one row's work. Other columns are ignored.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
-        done = None
         for batch in batches:
             out = []
             for number, last, key, text in zip(*(batch.column(c).to_pylist() for c in ("range", "last", "doc_id", "text")), strict=True):
-                if number == done:
-                    continue  # rows that share the next range's first doc_id
                 hashes, positions = winnow(text)
                 if held is not None:
                     _, own_key, own, own_hashes, own_print = held
@@ -145,7 +142,7 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
                     edited_hashes, edited_positions = winnow(edited)
                     out.append((own_key, len(own), hashlib.sha256(edited.encode()).hexdigest(), own_print, to_text(edited_hashes, edited_positions), likeness(own_hashes, edited_hashes), likeness(own_hashes, hashes)))
                 if last:
-                    held, done = None, number
+                    held = None
                 else:
                     held = (number, key, text, hashes, to_text(hashes, positions))
             if out:
