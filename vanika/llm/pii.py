@@ -1,7 +1,7 @@
 """Personal data: base patterns, and a semi-Markov conditional random field over what looks like it.
 
 A text is looked at only around anchors (digits and at-signs): the words near them form
-windows, and the field labels each window. A segment is up to MAX_WORDS words of one type, or one other word. Features look
+windows, however long, and the field labels each window. A segment is up to MAX_WORDS words of one type, or one other word. Features look
 at a whole span: its shape, digit groups, checksum, bounds and neighbours. The best segmentation is found by dynamic
 programming over ends, span lengths and types together; training follows the gradient of the
 log likelihood, with the same recursion in log space.
@@ -28,10 +28,6 @@ MAX_WORDS = {"email": 5, "ip": 1, "card": 5, "phone": 5}
 _LONGEST = max(MAX_WORDS.values())
 #: Words of context on both sides of an anchor.
 CONTEXT = 3
-#: Words that a window is labelled at once; a longer run of anchors is labelled in parts.
-WINDOW_WORDS = 400
-#: Code points of a word that features look at; longer words are no personal data.
-WORD_CHARS = 64
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -53,7 +49,7 @@ def luhn(digits: str) -> bool:
 
 
 def _octets(text: str) -> bool:
-    return all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in text.split("."))
+    return all(len(x) <= 3 and int(x or "0") <= 255 for x in (part.lstrip("0") for part in text.split(".")))
 
 
 def base_spans(text: str) -> list[Span]:
@@ -91,7 +87,8 @@ def join_spans(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-_WORD = re.compile(r"\S+")
+#: Words end at blanks, and after signs that separate fields.
+_WORD = re.compile(r"[^\s,;|]++[,;|]*+|[,;|]++")
 _CORE = re.compile(r"[A-Za-z0-9+(](?:.*[A-Za-z0-9)])?")
 _GROUPS = re.compile(r"[0-9]+")
 #: An address that is spelled out somewhere; only then is the word "at" an anchor.
@@ -107,7 +104,7 @@ def _windows(text: str) -> Iterator[list[re.Match]]:
     before: list[re.Match] = []
     since = CONTEXT + 1
     for m in _WORD.finditer(text):
-        word = m.group() if m.end() - m.start() <= WORD_CHARS else ""
+        word = m.group()
         anchor = "@" in word or _DIGIT.search(word) is not None or (said and word in ("at", "(at)", "[at]"))
         if anchor:
             if not run:
@@ -121,9 +118,6 @@ def _windows(text: str) -> Iterator[list[re.Match]]:
                 yield run
                 run = []
         before = [*before[-CONTEXT:], m]
-        if len(run) >= WINDOW_WORDS:
-            yield run
-            run = []
     if run:
         yield run
 
@@ -190,14 +184,17 @@ def _allowed(kind: str, words: list[str], i: int, j: int) -> bool:
 Segment = tuple[int, int, str]
 
 
+def _ending(words: list[str], j: int) -> list[tuple[int, str]]:
+    """Candidate segments that end before word j: their first words and kinds."""
+    out = [(j - 1, "other")]
+    for i in range(max(0, j - _LONGEST), j):
+        out += [(i, k) for k in KINDS if _allowed(k, words, i, j)]
+    return out
+
+
 def _lattice(words: list[str]) -> list[Segment]:
     """All candidate segments."""
-    out = []
-    for i in range(len(words)):
-        out.append((i, i + 1, "other"))
-        for j in range(i + 1, min(i + _LONGEST, len(words)) + 1):
-            out += [(i, j, k) for k in KINDS if _allowed(k, words, i, j)]
-    return out
+    return [(i, j, k) for j in range(1, len(words) + 1) for i, k in _ending(words, j)]
 
 
 class SemiCrf:
@@ -213,14 +210,12 @@ class SemiCrf:
     def best(self, words: list[str]) -> list[Segment]:
         """The best segmentation, by dynamic programming over ends: linear in the words, as spans are bounded."""
         n = len(words)
-        into: list[list[tuple[int, str, float]]] = [[] for _ in range(n + 1)]
-        for i, j, kind in _lattice(words):
-            into[j].append((i, kind, self._score(_features(kind, words, i, j))))
         top, back = [0.0] + [-math.inf] * n, [(0, "")] * (n + 1)
         for j in range(1, n + 1):
-            for i, kind, s in into[j]:
-                if top[i] + s > top[j]:
-                    top[j], back[j] = top[i] + s, (i, kind)
+            for i, kind in _ending(words, j):
+                s = top[i] + self._score(_features(kind, words, i, j))
+                if s > top[j]:
+                    top[j], back[j] = s, (i, kind)
         out, j = [], n
         while j:
             i, kind = back[j]
@@ -239,21 +234,7 @@ class SemiCrf:
             lattices.append((len(words), [(i, j, _features(k, words, i, j)) for i, j, k in lattice], [_features(k, words, i, j) for i, j, k in gold]))
         for _ in range(rounds):
             for n, segments, gold in lattices:
-                scores = [sum([weights[f] for f in features]) for _, _, features in segments]
-                fore, aft = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
-                for (i, j, _), s in sorted(zip(segments, scores, strict=True), key=lambda x: x[0][1]):
-                    fore[j] = _logadd(fore[j], fore[i] + s)
-                for (i, j, _), s in sorted(zip(segments, scores, strict=True), key=lambda x: -x[0][0]):
-                    aft[i] = _logadd(aft[i], aft[j] + s)
-                change: dict[str, float] = defaultdict(float)
-                for features in gold:
-                    for f in features:
-                        change[f] += 1.0
-                for (i, j, features), s in zip(segments, scores, strict=True):
-                    p = math.exp(fore[i] + s + aft[j] - fore[n])
-                    for f in features:
-                        change[f] -= p
-                for f, g in change.items():
+                for f, g in gradient(n, segments, gold, weights)[0].items():
                     if abs(g) > 1e-6:
                         g -= decay * weights[f]
                         squares[f] += g * g
@@ -261,6 +242,25 @@ class SemiCrf:
         return cls(dict(weights))
 
 
+def gradient(n: int, segments: list[tuple[int, int, list[str]]], gold: list[list[str]], weights: dict[str, float]) -> tuple[dict[str, float], float]:
+    """The log likelihood's gradient by feature, and the log likelihood, of the gold segments' features among all segmentations of n words."""
+    scores = [sum([weights[f] for f in features]) for _, _, features in segments]
+    fore, aft = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+    for (i, j, _), s in sorted(zip(segments, scores, strict=True), key=lambda x: x[0][1]):
+        fore[j] = _logadd(fore[j], fore[i] + s)
+    for (i, j, _), s in sorted(zip(segments, scores, strict=True), key=lambda x: -x[0][0]):
+        aft[i] = _logadd(aft[i], aft[j] + s)
+    change: dict[str, float] = defaultdict(float)
+    for features in gold:
+        for f in features:
+            change[f] += 1.0
+    for (i, j, features), s in zip(segments, scores, strict=True):
+        p = math.exp(fore[i] + s + aft[j] - fore[n])
+        for f in features:
+            change[f] -= p
+    return change, sum(weights[f] for features in gold for f in features) - fore[n]
+
+
 def _logadd(a: float, b: float) -> float:
     if a < b:
         a, b = b, a
@@ -305,19 +305,27 @@ def made_sentences(n: int = TRAINING, seed: int = 7) -> list[tuple[list[str], li
         return ".".join(str(r.randint(1, 255)) for _ in range(4))
 
     made = {"email": email, "ip": ip, "card": card, "phone": phone, "other": other}
+    def table() -> str:
+        """Numbers in columns, and names with digits in them."""
+        form = r.choice(["{0}", "{0}", "{0}.{1}", "20{1}{1}-0{1}-1{1}", "{2}{0}{2}", "{0}%", "{1}:{0}", "{0};", "{0},"])
+        k = r.randint(1, 5)
+        return " ".join(form.format(number(r.choice([k, k, k, r.randint(1, 5)])), number(1), r.choice("vxnk")) for _ in range(r.randint(5, 14)))
+
     out = []
-    for _ in range(n):
+    for at in range(n):
         words: list[str] = []
         gold: list[Segment] = []
 
         def add(text: str, kind: str, words: list[str] = words, gold: list[Segment] = gold) -> None:
-            new = text.split()
+            new = _WORD.findall(text)
             if kind == "other":
                 gold.extend((len(words) + k, len(words) + k + 1, "other") for k in range(len(new)))
             else:
                 gold.append((len(words), len(words) + len(new), kind))
             words.extend(new)
 
+        if at % 5 == 0:
+            add(table(), "other")
         for _ in range(r.randint(1, 3)):
             for _ in range(r.randint(0, 3)):
                 add(word(), "other")
@@ -341,7 +349,7 @@ def all_spans(text: str, base: list[Span], field: SemiCrf) -> list[Span]:
     """The base spans, and those that the field finds where no base span is, by start, then kind."""
     out = list(base)
     for run in _windows(text):
-        words = [m.group() if m.end() - m.start() <= WORD_CHARS else "-" * WORD_CHARS for m in run]
+        words = [m.group() for m in run]
         for i, j, kind in field.best(words):
             if kind == "other":
                 continue
@@ -358,7 +366,8 @@ def find(docs: DataFrame) -> DataFrame:
     """A row per document (doc_id, text): counts of base spans by kind, base_sha256, spans, and n_added by the field.
 
     Whole texts are scanned where they are read; nothing is shuffled. A null or empty text has no spans;
-    repeated rows and null doc_ids are kept; other columns are ignored; no rows: no rows.
+    repeated rows and null doc_ids are kept; other columns are ignored; no rows: no rows. A very long text, and a run of
+    numbers of any length, is labelled as one: the work is in proportion to it.
     """
     field = trained()
 

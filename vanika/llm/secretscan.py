@@ -9,6 +9,7 @@ from a range of numbers; its trees become one expression, so texts are scored wh
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -207,30 +208,51 @@ def vote(trees: list[Tree], x: Column) -> Column:
     return total / len(trees)
 
 
+#: Candidates whose places are summed along together; the sums of such runs are summed in turn.
+RUN = 256
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once, however often body uses it: a projection of its own could be merged into body."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _sums_before(values: Column) -> Column:
+    """For each of an array of integers the sum of those before it; runs of RUN are summed along, then the runs' totals, so that no long array is copied for each value."""
+    def along(some: Column) -> Column:
+        seed = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(some, seed, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(RUN)), lambda i: F.slice(values, i, F.lit(RUN)))
+
+    def with_totals(rs: Column) -> Column:
+        totals = F.transform(rs, lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b))
+        return _let(along(totals), lambda base: F.flatten(F.transform(rs, lambda x, k: F.transform(along(x), lambda y: y + F.get(base, k)))))
+
+    return _let(runs, with_totals)
+
+
 def _scored(docs: DataFrame) -> DataFrame:
-    """docs with _pieces, the texts between candidates, and _found: candidate, start and score of each."""
+    """docs with _found: pieces, the texts between candidates, and rows, the candidate, start and score of each; null where there is no candidate."""
     trees = forest(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
-    some = text.rlike(CANDIDATE)
-    docs = docs.withColumn("_pieces", F.when(some, F.split(text, CANDIDATE, -1)))
-    docs = docs.withColumn("_names", F.when(some, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))))
-    # Where each candidate starts: the lengths of all pieces and candidates before it, summed along.
-    widths = F.zip_with(F.slice("_pieces", F.lit(1), F.size("_names")), "_names", lambda p, c: F.struct(F.length(p).alias("p"), F.length(c).alias("c")))
-    seed = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    starts = F.aggregate(widths, seed, lambda s, w: F.struct((s["at"] + w["p"] + w["c"]).alias("at"), F.concat(s["starts"], F.array(s["at"] + w["p"])).alias("starts")), lambda s: s["starts"])
-    docs = docs.withColumn("_starts", starts)
-    rows = F.transform("_names", lambda c, k: F.struct(c.alias("found"), F.element_at("_starts", k + 1).alias("start"), features(F.element_at("_pieces", k + 1), c, F.element_at("_pieces", k + 2)).alias("x")))
-    docs = docs.withColumn("_rows", rows)
-    return docs.withColumn("_found", F.transform("_rows", lambda r: F.struct(r["found"].alias("found"), r["start"].alias("start"), vote(trees, r["x"]).alias("score"))))
+
+    def rows(pieces: Column, names: Column) -> Column:
+        widths = F.zip_with(pieces, names, lambda p, c: (F.length(p) + F.coalesce(F.length(c), F.lit(0))).cast("long"))
+        scored = F.transform(names, lambda c, k: features(F.get(pieces, k), c, F.get(pieces, k + 1)))
+        return _let(_sums_before(widths), lambda before: F.zip_with(names, F.transform(scored, lambda x, k: F.struct((F.get(before, k) + F.length(F.get(pieces, k))).alias("start"), vote(trees, x).alias("score"))), lambda c, s: F.struct(c.alias("found"), s["start"].alias("start"), s["score"].alias("score"))))
+
+    found = _let(F.split(text, CANDIDATE, -1), lambda pieces: _let(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda names: F.struct(pieces.alias("pieces"), rows(pieces, names).alias("rows"))))
+    return docs.withColumn("_found", F.when(text.rlike(CANDIDATE), found))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, start, end, sha256, score, secret of every candidate in every document (doc_id, text); start and end in code points, end exclusive.
 
     The candidate itself isn't returned, only its hash. A null or empty text has none; repeated rows give repeated rows; null doc_ids
-    are kept; other columns are ignored.
+    are kept; other columns are ignored. A very long text with very many candidates is the work of one row, in proportion to its length.
     """
-    rows = _scored(docs.select("doc_id", "text")).filter("_pieces IS NOT NULL").select("doc_id", F.explode("_found").alias("f"))
+    rows = _scored(docs.select("doc_id", "text")).filter("_found IS NOT NULL").select("doc_id", F.explode("_found.rows").alias("f"))
     n = F.length("f.found")
     return rows.select("doc_id", F.col("f.start").cast("long").alias("start"), (F.col("f.start") + n).cast("long").alias("end"), F.sha2(F.col("f.found").cast("binary"), 256).alias("sha256"), F.col("f.score").alias("score"), (F.col("f.score") >= THRESHOLD).alias("secret"))
 
@@ -238,8 +260,8 @@ def scan(docs: DataFrame) -> DataFrame:
 def masked(docs: DataFrame) -> DataFrame:
     """The documents with MASK for each secret in text, and n_chars of what is left; others, and other columns, as they are."""
     columns = docs.columns
-    kept = F.zip_with("_pieces", "_found", lambda p, f: F.concat(F.coalesce(p, F.lit("")), F.when(f["score"] >= THRESHOLD, F.lit(MASK)).otherwise(F.coalesce(f["found"], F.lit("")))))
-    rows = _scored(docs).withColumn("_text", F.when(F.col("_pieces").isNotNull(), F.array_join(kept, "")))
+    kept = F.zip_with("_found.pieces", "_found.rows", lambda p, f: F.concat(F.coalesce(p, F.lit("")), F.when(f["score"] >= THRESHOLD, F.lit(MASK)).otherwise(F.coalesce(f["found"], F.lit("")))))
+    rows = _scored(docs).withColumn("_text", F.when(F.col("_found").isNotNull(), F.array_join(kept, "")))
     out = {"text": F.coalesce("_text", "text")}
     if "n_chars" in columns:
         out["n_chars"] = F.when(F.col("_text").isNotNull(), F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
