@@ -610,6 +610,63 @@ def test_prose_is_no_secret(spark):
 # --- 8 toxicity
 
 
+def plain_features(lexicon, t):
+    """Words by a regular expression, terms by comparing with each, context by the whole text."""
+    low = t.lower()
+    found = [m for m in re.finditer(r"(?:[^\W_]|[@$'])+", low)]
+    found = [(m.start() + len(m.group()) - len(m.group().lstrip("'")), m.group().strip("'")) for m in found if m.group().strip("'")]
+    exact = fuzzy = weight = top = 0.0
+    quoted = addressed = hits = 0
+    terms = set()
+    names = list(lexicon)
+    for at, w in found:
+        best, e = -1, 0
+        if w in lexicon:
+            best = names.index(w)
+        elif stems := [k for k, x in enumerate(names) if x.endswith("*") and w.startswith(x[:-1])]:
+            best = min(stems, key=lambda k: len(names[k]))
+        else:
+            close = [(edits(w, x), k) for k, x in enumerate(names) if not x.endswith("*") and abs(len(x) - len(w)) <= 2]
+            close = [(d, k) for d, k in close if d <= toxicity.errors_allowed(names[k])]
+            if close:
+                e, best = min(close)
+        if best < 0:
+            continue
+        hits += 1
+        factor = 1.0
+        before, after = low[max(0, at - toxicity.CONTEXT_CHARS) : at], low[at + len(w) :][: toxicity.CONTEXT_CHARS]
+        if toxicity.in_quotes(before, after):
+            factor, quoted = factor * toxicity.QUOTED, quoted + 1
+        if toxicity.near(before, after, toxicity.ADDRESS):
+            factor, addressed = factor * toxicity.ADDRESSED, addressed + 1
+        terms.add(best)
+        x = lexicon[names[best]] / (1 + e)
+        exact, fuzzy = exact + factor * (not e), fuzzy + factor * bool(e)
+        weight, top = weight + x * factor, max(top, x * factor)
+    n = len(found)
+    return np.log1p([exact, fuzzy, weight, len(terms), 100 * (exact + 0.5 * fuzzy) / max(1, n), top, quoted, addressed, weight / max(1, hits)]) if hits else np.zeros(9)
+
+
+def test_scores_are_the_plain_ones():
+    lexicon = {"idiot": 3.0, "moronic": 2.5, "you're": 4.0, "scum*": 3.5, "blockhead": 2.0}
+    signs = ["idiot", "idiott", "idoit", "IDIOT", "moronic", "morronic", "you're", "scummy", "blokhead", "blckhed", "said", "you", " ", " ", " ", ", ", '"', "plain", "words", "'", "_", "-"]
+    scorer = toxicity.Scorer(toxicity.Lexicon(lexicon))
+    texts = ["".join(r.choices(signs, k=r.randint(0, 25))) for _ in range(400)]
+    assert np.allclose(scorer.features(pa.array(texts)), [plain_features(lexicon, t) for t in texts])
+
+
+@pytest.mark.parametrize("text", ["“idiot”", "«idiot»", "‘idiot’", "idiot—moron", "idiot…", "'idiot'", "（idiot）", "an idiot\u00a0here", "Idiot", "IDIOT!"])
+def test_signs_hide_no_term(text):
+    got = toxicity.Scorer(toxicity.Lexicon({"idiot": 3.0})).features(pa.array([text]))[0]
+    assert got[0] > 0 and got[1] == 0 and (got[6] > 0) == (text[0] in "“«‘")
+
+
+def test_words_are_counted_as_they_are_scored(spark):
+    texts = [(1, "You're an “idiot” — ‘idiot’"), (1, "IDIOT… you're"), (0, "élan ÉLAN 'tis d'accord"), (0, "Привет привет мир")]
+    got = {x["word"]: (x["t"], x["n"]) for b in toxicity._word_counts(iter([pa.record_batch({"toxic": pa.array([x for x, _ in texts], pa.int64()), "text": [t for _, t in texts]})])) for x in b.to_pylist()}
+    assert got == {"you're": (2, 2), "idiot": (2, 2), "élan": (0, 1), "tis": (0, 1), "d'accord": (0, 1), "привет": (0, 1), "мир": (0, 1)}
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

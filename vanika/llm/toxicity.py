@@ -32,9 +32,35 @@ FIT_ROWS = 20_000
 MAX_WORD = 40
 STEM_CHARS = (3, 10)
 
-#: Between words: ASCII signs other than those that stand for letters.
+#: Between words: ASCII signs other than those that stand for letters, and an apostrophe.
 _GAP = np.zeros(256, bool)
-_GAP[[c for c in range(128) if not (chr(c).isalnum() or chr(c) in "@$")]] = True
+_GAP[[c for c in range(128) if not (chr(c).isalnum() or chr(c) in "@$'")]] = True
+
+#: First bytes of other signs, with those of the bytes after them that are letters or digits: Latin-1, general punctuation, CJK signs, wide forms.
+_SIGNS = ((b"\xc2", b"\xaa\xb2\xb3\xb5\xb9\xba\xbc\xbd\xbe"), (b"\xe2\x80", b""), (b"\xe2\x81", b"\xb0\xb1" + bytes(range(0xB4, 0xBA)) + b"\xbf"), (b"\xe3\x80", b"\x85\x86\x87" + bytes(range(0xA1, 0xAA))), (b"\xef\xbc", bytes(range(0x90, 0x9A)) + bytes(range(0xA1, 0xBB))))
+
+
+def terms_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts with signs as blanks, and the starts, lengths and (by text) counts of their words, which have no apostrophe at an end."""
+    low = data.copy()
+    for head, letters in _SIGNS:
+        at = np.flatnonzero(data[: len(data) - len(head)] == head[0])
+        for k in range(1, len(head)):
+            at = at[data[at + k] == head[k]]
+        if len(at):
+            at = at[~np.isin(data[at + len(head)], np.frombuffer(letters, np.uint8))]
+            for k in range(len(head) + 1):
+                low[at + k] = 32
+    starts, lens, per = words(low, offs, _GAP)
+    text = np.repeat(np.arange(len(per)), per)
+    for last in (False, True):
+        while len(live := np.flatnonzero((lens > 0) & (low[np.where(last, starts + lens - 1, starts)] == 39) if len(starts) else [])):
+            lens[live] -= 1
+            if not last:
+                starts[live] += 1
+    keep = lens > 0
+    return low, starts[keep], lens[keep], np.bincount(text[keep], minlength=len(per))
+
 
 #: A bit for each letter.
 _LETTER = np.zeros(256, np.uint32)
@@ -151,6 +177,26 @@ def _root_of(bare: str, kept: dict[str, float], low: int, upto: int) -> bool:
     return any(bare[:k] + "*" in kept for k in range(low, upto))
 
 
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word, t, n: for each block of labelled texts its words of 3 to MAX_WORD code points, the toxic texts and the texts that hold them."""
+    for batch in batches:
+        for b in blocks(batch):
+            data, offs = text_buffers(b.column("text"))
+            low, starts, lens, per = terms_of(lower_latin(data), offs)
+            text = np.repeat(np.arange(len(per)), per)
+            short = np.flatnonzero((lens >= 3) & (lens <= 4 * MAX_WORD))
+            _, where, back = np.unique(hash_spans(low, starts[short], lens[short]), return_index=True, return_inverse=True)
+            found = [low[s : s + k].tobytes().decode(errors="replace").lower() for s, k in zip(starts[short[where]].tolist(), lens[short[where]].tolist(), strict=True)]
+            place = {w: k for k, w in enumerate(dict.fromkeys(found))}
+            names = list(place)
+            pair = np.unique(np.array([place[w] for w in found], np.int64)[back] * len(per) + text[short]) if found else np.empty(0, np.int64)
+            word, doc = pair // max(1, len(per)), pair % max(1, len(per))
+            n = np.bincount(word, minlength=len(names))
+            t = np.bincount(word, np.asarray(b.column("toxic"))[doc], len(names)).astype(np.int64)
+            keep = [3 <= len(w) <= MAX_WORD for w in names]
+            yield pa.record_batch({"word": pa.array(names, pa.string()), "t": t, "n": n}).filter(pa.array(keep, pa.bool_()))
+
+
 def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
     """Terms and stems by the log odds of their documents' labels; labelled: text, toxic.
 
@@ -161,9 +207,7 @@ def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
     t, n = int(total["t"] or 0), int(total["n"])
     if not 0 < t < n:
         return {}
-    word = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}@$']+"))).alias("word")
-    counts = labelled.select("toxic", word).groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-    counts = counts.filter(F.length("word").between(3, MAX_WORD))
+    counts = labelled.select("toxic", "text").mapInArrow(_word_counts, "word string, t long, n long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
     low, high = STEM_CHARS
     stems = F.transform(F.sequence(F.lit(low), F.least(F.length("word"), F.lit(high))), lambda k: F.concat(F.substring("word", F.lit(1), k), F.lit("*")))
     terms = counts.select(F.explode(F.concat(F.array("word"), stems)).alias("term"), "t", "n").groupBy("term").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.count("*").alias("forms"))
@@ -199,8 +243,8 @@ class Scorer:
     def features(self, column: pa.Array) -> np.ndarray:
         """A row of FEATURES numbers for each text."""
         data, offs = text_buffers(column)
-        low = lower_latin(data)
-        starts, lens, per = words(low, offs, _GAP)
+        written = lower_latin(data)
+        low, starts, lens, per = terms_of(written, offs)
         out = np.zeros((len(per), FEATURES))
         if not len(starts):
             return out
@@ -219,7 +263,7 @@ class Scorer:
             letters = np.bitwise_or.reduceat(_LETTER[own], at)
             points = np.add.reduceat((own & 0xC0) != 0x80, at, dtype=np.int64)
             near_one = (size <= 4 * MAX_WORD) & (self.lexicon.near_some_term(letters, points) if len(self.lexicon.fuzzy) <= LETTER_TERMS else True)
-            text = [low[s : s + k].tobytes().decode(errors="replace").lower().strip("'") if k <= 4 * MAX_WORD else "" for s, k in zip(first.tolist(), size.tolist(), strict=True)]
+            text = [low[s : s + k].tobytes().decode(errors="replace").lower() if k <= 4 * MAX_WORD else "" for s, k in zip(first.tolist(), size.tolist(), strict=True)]
             near_one &= np.array([len(w) <= MAX_WORD + 2 for w in text])  # no term is within two edits of a longer one
             for i in range(0, len(text), 4096):
                 some = i + np.flatnonzero(near_one[i : i + 4096])
@@ -241,8 +285,8 @@ class Scorer:
             for i in own.tolist():
                 s, e = int(starts[i]), int(starts[i] + lens[i])
                 k, factor = int(term[i]), 1.0
-                before = low[max(a, s - CONTEXT_CHARS) : s].tobytes().decode(errors="ignore")
-                after = low[e : min(b, e + CONTEXT_CHARS)].tobytes().decode(errors="ignore")
+                before = written[max(a, s - CONTEXT_CHARS) : s].tobytes().decode(errors="ignore")
+                after = written[e : min(b, e + CONTEXT_CHARS)].tobytes().decode(errors="ignore")
                 if in_quotes(before, after):
                     factor *= QUOTED
                     quoted += 1
@@ -265,9 +309,9 @@ class Scorer:
 
 def in_quotes(before: str, after: str) -> bool:
     """The word is inside quotation marks that open and close near it, or a word of reporting is just before it."""
-    opened = max(before.rfind(q) for q in '"“«„')
-    closed = before.rfind("”")
-    if opened > closed and any(q in after for q in '"”»“') and (before.count('"') % 2 == 1 or '"' not in before):
+    opened = max(before.rfind(q) for q in '"“«„‘')
+    closed = max(before.rfind(q) for q in "”»")
+    if opened > closed and any(q in after for q in '"”»“’') and (before.count('"') % 2 == 1 or '"' not in before):
         return True
     return near(before[-24:], "", REPORTING)
 
@@ -336,7 +380,8 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, thr
 
     Labels (doc_id, toxic) are learned from rows whose crc32(doc_id as text) mod folds is not held, and only text goes into a
     score. Of several labels of a document the largest counts; null ones don't. A null text is empty. Without labels of both kinds in
-    the training rows every score is 0. A null doc_id can't have a label. Repeated rows are scored each; other columns are ignored.
+    the training rows every score is 0. A null doc_id can't have a label. Repeated rows are scored each; other columns are ignored. A very
+    long text is scored whole, a block of its own.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     train = crc_mod("doc_id", folds) != held
