@@ -14,11 +14,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vanika.llm.common import blocks, crc_mod, cut, hash_spans, lower_latin, repeat_ranges, text_buffers, words
+from vanika.llm.common import blocks, crc_mod, cut, hash_spans, lower_latin, mix, repeat_ranges, text_buffers, words
 
 #: Toxic training documents that a term must be in, however many there are.
 MIN_COUNT = 5
@@ -81,13 +80,34 @@ class Node:
     term: int = -1
 
 
-def variants(word: str, edits: int) -> set[str]:
-    """The word without up to so many of its characters. Words within so many edits of each other have one in common."""
-    out = last = {word}
-    for _ in range(edits):
-        last = {w[:k] + w[k + 1 :] for w in last for k in range(len(w))}
-        out = out | last
-    return out
+_PRIME = np.uint64(0x100000001B3 * 2 + 1)
+_BACK, _BACK2 = (np.uint64(pow(int(_PRIME), -k, 1 << 64)) for k in (1, 2))
+
+
+def variant_hashes(some: list[str], edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each word without up to so many (two at most) of its characters, and the word's place. Words within so many edits of each other have one in common.
+
+    A hash is a sum of characters times powers; without a character, what follows it moves down one power. Words of one length are done together.
+    """
+    size = np.array([len(w) for w in some])
+    hashes, owner = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for n in np.unique(size).tolist():
+        own = np.flatnonzero(size == n)
+        points = np.frombuffer("".join([some[k] for k in own.tolist()]).encode("utf-32-le"), "<u4").reshape(len(own), n).astype(np.uint64)
+        powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(0, n - 1), _PRIME)]))[:n]
+        sums = np.zeros((len(own), n + 1), np.uint64)
+        np.cumsum(mix(points + np.uint64(1)) * powers, axis=1, out=sums[:, 1:])
+        total = sums[:, -1:]
+        made = [total]
+        if edits > 0 and n > 0:
+            made.append(sums[:, :-1] + (total - sums[:, 1:]) * _BACK)
+        if edits > 1 and n > 1:
+            j, k = np.triu_indices(n, 1)
+            made.append(sums[:, j] + (sums[:, k] - sums[:, j + 1]) * _BACK + (total - sums[:, k + 1]) * _BACK2)
+        for gone, x in enumerate(made):
+            hashes.append(mix(x + np.uint64(n - gone)).ravel())
+            owner.append(np.repeat(own, x.shape[1]))
+    return np.concatenate(hashes), np.concatenate(owner)
 
 
 def errors_allowed(term: str) -> int:
@@ -103,27 +123,33 @@ class Lexicon:
         self.exact = {t: k for k, t in enumerate(weights) if not t.endswith("*")}
         self.stems = {t[:-1]: k for k, t in enumerate(weights) if t.endswith("*")}
         self.stem_lens = sorted({len(s) for s in self.stems})
-        # A trie for each number of edits allowed.
-        self.roots = {1: Node(), 2: Node()}
+        # A trie for each length, as only terms about as long as a word can be near it.
+        self.roots: dict[int, Node] = {}
         self.fuzzy = [t for t in self.exact if errors_allowed(t)]
         for t in self.fuzzy:
-            node = self.roots[errors_allowed(t)]
+            node = self.roots.setdefault(len(t), Node())
             for c in t:
                 node = node.next.setdefault(c, Node())
             node.term = self.exact[t]
-        # Hashes of all terms' variants, ascending.
-        self.variants = np.unique(np.array([xxhash.xxh3_64_intdigest(v) for t in self.fuzzy for v in variants(t, errors_allowed(t))], np.uint64))
+        # Hashes of all terms' variants, ascending, and marks of their first bits.
+        self.variants = np.unique(np.concatenate([variant_hashes([t for t in self.fuzzy if errors_allowed(t) == k], k)[0] for k in (1, 2)]))
+        self.marks = np.zeros(1 << 20, bool)
+        self.marks[self.variants >> np.uint64(44)] = True
         self.shortest = {k: min((len(t) for t in self.fuzzy if errors_allowed(t) == k), default=1 << 30) - k for k in (1, 2)}
 
     def share_variants(self, some: list[str]) -> np.ndarray:
         """Which words have a variant in common with a term: all within a term's edits, and few others."""
-        made = [variants(w, 2 if len(w) >= self.shortest[2] else 1) if len(w) >= min(self.shortest.values()) else () for w in some]
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(v) for vs in made for v in vs), np.uint64)
-        at = np.searchsorted(self.variants, hashes)
-        hit = np.zeros(len(hashes), bool)
-        inside = at < len(self.variants)
-        hit[inside] = self.variants[at[inside]] == hashes[inside]
-        return np.bincount(np.repeat(np.arange(len(some)), [len(vs) for vs in made])[hit], minlength=len(some)) > 0
+        out = np.zeros(len(some), bool)
+        size = np.array([len(w) for w in some], np.int64)
+        for edits, which in ((2, size >= self.shortest[2]), (1, (size >= self.shortest[1]) & (size < self.shortest[2]))):
+            own = np.flatnonzero(which)
+            for i in range(0, len(own), 1024):
+                part = own[i : i + 1024]
+                hashes, owner = variant_hashes([some[k] for k in part.tolist()], edits)
+                live = np.flatnonzero(self.marks[hashes >> np.uint64(44)])
+                at = np.minimum(np.searchsorted(self.variants, hashes[live]), max(0, len(self.variants) - 1))
+                out[part[owner[live[self.variants[at] == hashes[live]]]]] = True
+        return out
 
     def near_some_term(self, letters: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """Which words may be within a term's edits: about as long, and without more of its letters missing than edits allowed."""
@@ -144,33 +170,49 @@ class Lexicon:
         return self.nearest(word) if near else (-1, 0)
 
     def nearest(self, word: str) -> tuple[int, int]:
-        """The closest term within its allowed edits: the word's Levenshtein automaton walks the trie.
+        """The closest term within its allowed edits, of equally close ones the first; (-1, 0): none."""
+        term, edits = self.nearest_of([word])
+        return int(term[0]), int(edits[0])
+
+    def nearest_of(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """nearest() of each word, of MAX_WORD + 2 characters at most: the words' Levenshtein automata walk the trie together.
 
-        The automaton's states after some letters of a term are bit sets, one for each count of errors so far: bit i means that
-        i letters of the word are used. Branches without any state are left.
+        An automaton's states after some letters of a term are bit sets, one for each count of errors so far: bit i means that
+        i letters of the word are used. At each branch only words with any state left go on.
         """
-        n = len(word)
-        letters: dict[str, int] = {}
-        for i, c in enumerate(word):
-            letters[c] = letters.get(c, 0) | 1 << i
-        full = (1 << (n + 1)) - 1
-        best, edits = -1, 3
-        for allowed, root in self.roots.items():
-            stack = [(root, 1, 0b11, 0b111)]
+        n = np.array([len(w) for w in some], np.uint64)
+        best, edits = np.full(len(some), -1), np.full(len(some), 3)
+        points = np.zeros((len(some), int(n.max(initial=0))), np.uint32)
+        for k, w in enumerate(some):
+            points[k, : len(w)] = np.frombuffer(w.encode("utf-32-le"), "<u4")
+        places = _ONE << np.arange(points.shape[1], dtype=np.uint64)
+        letters: dict[str, np.ndarray] = {}
+        full = (_ONE << (n + _ONE)) - _ONE
+        for size, root in self.roots.items():
+            allowed = errors_allowed("x" * size)
+            live = np.flatnonzero(np.abs(n.astype(np.int64) - size) <= allowed)
+            stack = [(root, live, np.full(len(live), 1, np.uint64), np.full(len(live), 3, np.uint64), np.full(len(live), 7, np.uint64))] if len(live) else []
             while stack:
-                node, r0, r1, r2 = stack.pop()
+                node, live, r0, r1, r2 = stack.pop()
                 if node.term >= 0:
-                    e = 0 if r0 >> n & 1 else 1 if r1 >> n & 1 else 2 if r2 >> n & 1 else 3
-                    if e < edits and e <= allowed:
-                        best, edits = node.term, e
+                    end = n[live]
+                    e = np.where(r0 >> end & _ONE, 0, np.where(r1 >> end & _ONE, 1, np.where((r2 >> end & _ONE) & np.uint64(allowed > 1), 2, 3)))
+                    better = (e <= allowed) & ((e < edits[live]) | (e == edits[live]) & (node.term < best[live]))
+                    best[live[better]], edits[live[better]] = node.term, e[better]
                 for c, child in node.next.items():
-                    m = letters.get(c, 0)
-                    s0 = (r0 & m) << 1
-                    s1 = ((r1 & m) << 1 | r0 | r0 << 1 | s0 << 1) & full
-                    s2 = ((r2 & m) << 1 | r1 | r1 << 1 | s1 << 1) & full if allowed > 1 else 0
-                    if s1 or s2:
-                        stack.append((child, s0, s1, s2))
-        return (best, edits) if best >= 0 else (-1, 0)
+                    if c not in letters:
+                        letters[c] = (points == ord(c)) @ places
+                    m, top = letters[c][live], full[live]
+                    s0 = (r0 & m) << _ONE
+                    s1 = ((r1 & m) << _ONE | r0 | r0 << _ONE | s0 << _ONE) & top
+                    s2 = ((r2 & m) << _ONE | r1 | r1 << _ONE | s1 << _ONE) & top if allowed > 1 else np.zeros_like(s1)
+                    on = (s1 | s2) > 0
+                    if on.any():
+                        stack.append((child, live[on], s0[on], s1[on], s2[on]))
+        return best, np.where(best >= 0, edits, 0)
+
+
+_ONE = np.uint64(1)
 
 
 def _root_of(bare: str, kept: dict[str, float], low: int, upto: int) -> bool:
@@ -265,14 +307,16 @@ class Scorer:
             near_one = (size <= 4 * MAX_WORD) & (self.lexicon.near_some_term(letters, points) if len(self.lexicon.fuzzy) <= LETTER_TERMS else True)
             text = [low[s : s + k].tobytes().decode(errors="replace").lower() if k <= 4 * MAX_WORD else "" for s, k in zip(first.tolist(), size.tolist(), strict=True)]
             near_one &= np.array([len(w) <= MAX_WORD + 2 for w in text])  # no term is within two edits of a longer one
-            for i in range(0, len(text), 4096):
-                some = i + np.flatnonzero(near_one[i : i + 4096])
-                near_one[some] = self.lexicon.share_variants([text[k] for k in some.tolist()])
-            found = [self.lexicon.match(w, near) if w else (-1, 0) for w, near in zip(text, near_one.tolist(), strict=True)]
+            term = np.array([self.lexicon.match(w, False)[0] if w else -1 for w in text])
+            errors = np.zeros(len(term), np.int64)
+            some = np.flatnonzero(near_one & (term < 0))
+            some = some[self.lexicon.share_variants([text[k] for k in some.tolist()])]
+            if len(some):
+                term[some], errors[some] = self.lexicon.nearest_of([text[k] for k in some.tolist()])
             at = place[new]
             self.known = np.insert(self.known, at, unique[new])
-            self.term = np.insert(self.term, at, [t for t, _ in found])
-            self.edits = np.insert(self.edits, at, [e for _, e in found])
+            self.term = np.insert(self.term, at, term)
+            self.edits = np.insert(self.edits, at, errors)
             place = np.searchsorted(self.known, unique)
         term, edits = self.term[place][back], self.edits[place][back]
         hits = np.flatnonzero(term >= 0)
