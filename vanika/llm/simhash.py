@@ -208,10 +208,7 @@ def components(edges: DataFrame) -> DataFrame:
     the last has a row for each node only. Null ends and loops are ignored; no edges: no rows.
     """
     edges = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    if edges.isEmpty():
-        return edges.toDF("u", "root")
-    before = None
-    while True:
+    while not _stars(edges):
         last = edges
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -220,10 +217,12 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct()
         edges = cut(small, "edges")
         drop(last)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == before:
-            return edges.toDF("u", "root")
-        before = now
+    return edges.toDF("u", "root")
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Every u hangs on one v only, and no v on anything."""
+    return edges.groupBy("u").count().filter("count > 1").isEmpty() and edges.select(F.col("v").alias("u")).join(edges, "u", "left_semi").isEmpty()
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -361,12 +360,14 @@ def similar(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFram
 
 
 def band_buckets(texts: DataFrame) -> DataFrame:
-    """text_id, band, fp, n: the bucket of each text in each band, named by the least fingerprint that links lead to, and how many texts are in it (if more than one)."""
+    """text_id, band, fp, n: the bucket of each text in each band, named by a fingerprint that it links to, and how many texts are in it (if more than one)."""
     rows = texts.filter("size > 0").select("text_id", F.posexplode("bands").alias("band", "fp"))
     # Nearly equal fingerprints of all bands are found in one join: chance pairs across bands are as rare as within one.
     fps = cut(rows.groupBy("fp").agg(F.count("*").alias("copies")), "band_fps")
-    linked = components(link(fps).select(F.col("fp").alias("u"), F.col("root").alias("v"))).withColumnRenamed("u", "fp")
-    rows = cut(rows.join(linked, "fp", "left").select("text_id", "band", F.coalesce("root", "fp").alias("fp")), "band_rows")
+    linked = link(fps).filter("root <> fp").select("fp", "root").distinct()
+    # A fingerprint is in its own bucket, and in that of each root it has in some bucket of the join.
+    more = rows.join(linked, "fp").select("text_id", "band", F.col("root").alias("fp"))
+    rows = cut(rows.select("text_id", "band", "fp").union(more).distinct(), "band_rows")
     sizes = rows.groupBy("band", "fp").agg(F.count("*").alias("n")).filter("n > 1")
     out = cut(rows.join(sizes, ["band", "fp"]), "band_sizes")
     drop(fps, rows)
