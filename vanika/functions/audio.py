@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 EPSILON = 1e-12
 
 
-def frame_rms(samples: Column, frame: int) -> Column:
+def frame_rms(samples: Column, frame: int | Column) -> Column:
     """Root mean square of each whole frame; what is left at the end is dropped."""
+    frame = F.lit(frame) if isinstance(frame, int) else frame
     n = F.floor(F.size(samples) / frame).cast("int")
     frames = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
     def rms(i: Column) -> Column:
-        total = F.aggregate(F.slice(samples, i * frame + 1, F.lit(frame)), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+        total = F.aggregate(F.slice(samples, i * frame + 1, frame), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
         return F.sqrt(total / frame + EPSILON)
 
     return F.transform(frames, rms)
@@ -44,8 +45,13 @@ def silence_ratio(samples: Column, threshold_db: float = -40.0, frame: int = 204
 
 def trim_silence(samples: Column, rate: int, pad_ms: int = 50, threshold_db: float = -40.0) -> Column:
     """Samples from the first to the last voiced 10 ms frame, with padding; all of them if no frame is voiced."""
-    frame = max(1, rate // 100)
-    pad = int(pad_ms * rate / 1000)
+    return trim_silence_at(samples, F.lit(rate), pad_ms, threshold_db)
+
+
+def trim_silence_at(samples: Column, rate: Column, pad_ms: int = 50, threshold_db: float = -40.0) -> Column:
+    """trim_silence() of samples that each have their own rate."""
+    frame = F.greatest(F.lit(1), F.floor(rate / 100).cast("int"))
+    pad = F.floor(F.lit(pad_ms) * rate / 1000).cast("int")
     voiced = F.transform(frame_rms(samples, frame), lambda r: _db(r) > threshold_db)
     first = F.array_position(voiced, True).cast("int") - 1
     last = F.size(voiced) - F.array_position(F.reverse(voiced), True).cast("int")

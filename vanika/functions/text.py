@@ -174,19 +174,23 @@ def expand_integers(text: Column) -> Column:
     return _let(text, lambda t: F.when(t.rlike(_D), replace_matches(t, f"{_LEFT}{_D}+{_RIGHT}", spell_digits)).otherwise(t))
 
 
-_LATIN_UNITS = "|".join([*(k for k in LATIN if len(k) > 1), "[a-z]"])
+def _by_rule(low: Column) -> Column:
+    """Lower-case Latin letters by rule: first the units of two letters, in the table's order, then what one letter stands for."""
+    for unit, sign in LATIN.items():
+        if len(unit) > 1 or len(sign) > 1:
+            low = F.replace(low, F.lit(unit), F.lit(sign))
+    single = {k: v for k, v in LATIN.items() if len(k) == len(v) == 1}
+    return F.translate(low, "".join(single), "".join(single.values()))
 
 
-def transliterate(text: Column, dictionary: Column | None = None) -> Column:
-    """Each run of Latin letters by the dictionary (map of lower-case words) if it has it, else by rule."""
-    rules = F.create_map(*(F.lit(x) for pair in LATIN.items() for x in pair))
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-    def word(w: Column) -> Column:
-        low = F.lower(w)
-        ruled = F.array_join(F.transform(F.regexp_extract_all(low, F.lit(f"({_LATIN_UNITS})"), F.lit(1)), lambda u: rules[u]), "")
-        return F.when(~w.rlike("^[A-Za-z]"), w).otherwise(ruled if dictionary is None else F.coalesce(F.try_element_at(dictionary, low), ruled))
 
-    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("([A-Za-z]+|[^A-Za-z]+)"), F.lit(1)), word), "")
+def transliterate(text: Column, dictionary: Column | None = None) -> Column:
+    """Each run of Latin letters by the dictionary (map of lower-case words) if it has it, else by rule."""
+    if dictionary is None:
+        return _by_rule(F.translate(text, _CAPITALS, _CAPITALS.lower()))
+    return replace_matches(text, "[A-Za-z]+", lambda w: F.coalesce(F.try_element_at(dictionary, F.lower(w)), _by_rule(F.lower(w))))
 
 
 SCHWA_PATTERN = "([{c}{v}][{c}{v}{m}{h}]*[{c}])((?:[{v}][{v}{m}{h}]*)?)([^{c}{v}{m}{h}]|$)".format(c=CONSONANTS, v=VOWELS, m=VOWEL_SIGNS, h=HALANT)

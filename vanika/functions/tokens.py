@@ -13,7 +13,8 @@ RESERVED = ["<pad>", "<bos>", "<eos>", "<unk>", "<sp>"]
 PUNCTUATION = list(" !?,.-:;।'\"")
 PAD, BOS, EOS, UNK, SPACE = range(5)
 DEVANAGARI = [chr(c) for c in range(0x900, 0x980)]
-TOKEN = r"(?Us)(<[a-z_]+>|\s+|.)"
+#: Blanks and written-out blanks in a row are one token.
+TOKEN = r"(?Us)((?:<sp>|\s)+|<[a-z_]+>|.)"
 
 
 def seed_vocabulary() -> list[str]:
@@ -23,7 +24,7 @@ def seed_vocabulary() -> list[str]:
 
 def split_tokens(text: Column) -> Column:
     """Tokens in angle brackets, runs of white space as <sp>, else single characters."""
-    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1)), lambda t: F.when(t.rlike(r"(?U)^\s"), RESERVED[SPACE]).otherwise(t))
+    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1)), lambda t: F.when(t.rlike(r"(?U)^(?:<sp>|\s)"), RESERVED[SPACE]).otherwise(t))
 
 
 def fit(texts: DataFrame, vocabulary: list[str] | None = None, column: str = "text") -> DataFrame:
@@ -69,8 +70,15 @@ def missing_characters(texts: DataFrame, allowed: list[str], column: str = "text
     return chars.join(F.broadcast(known), "token", "left_anti")
 
 
-def missing_report(missing: DataFrame, first: int = 20) -> DataFrame:
-    """One row: the number of missing characters, and the first of them in order with how many more there are."""
+def shown(token: Column) -> Column:
+    """A character as 'c'(U+XXXX); a quotation mark or a control sign as Python writes it."""
+    code = F.ascii(token)
+    plain = F.when(token == "'", F.lit('"\'"')).when(token == "\\", F.lit("'\\\\'")).when(code.isin(9, 10, 13), F.concat(F.lit("'"), F.element_at(F.create_map(*map(F.lit, (9, "\\t", 10, "\\n", 13, "\\r"))), code), F.lit("'")))
+    return F.concat(F.coalesce(plain, F.concat(F.lit("'"), token, F.lit("'"))), F.format_string("(U+%04X)", code))
+
+
+def missing_report(missing: DataFrame, first: int = 20, codes: bool = False) -> DataFrame:
+    """One row: the number of missing characters, and the first of them in order with how many more there are; with codes as shown()."""
     found = missing.agg(F.count("*").alias("n"), F.sort_array(F.collect_list("token")).alias("all"))
     more = F.when(F.col("n") > first, F.concat(F.lit(" (+"), F.col("n") - first, F.lit(" more)"))).otherwise("")
-    return found.select("n", F.concat(F.array_join(F.slice("all", 1, first), " "), more).alias("report"))
+    return found.select("n", F.concat((F.array_join(F.transform(F.slice("all", 1, first), shown), ", ") if codes else F.array_join(F.slice("all", 1, first), " ")), more).alias("report"))

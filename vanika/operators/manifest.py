@@ -31,12 +31,18 @@ def rank(rows: DataFrame, key: str, name: str = "ord") -> DataFrame:
     """rows with their place (from 0) in the order of the key, counted range by range: no task sees all rows."""
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # The cuts are fixed here, so that a later evaluation ranks alike.
-    bounds = sorted(set(rows.agg(F.percentile_approx(F.col(key), [i / n for i in range(1, n)], 10_000).alias("q")).first()["q"] or [])) if rows.schema[key].dataType.typeName() in ("long", "integer", "double") else []
-    part = F.lit(0)
-    for b in bounds:
-        part = part + (F.coalesce(F.col(key) >= F.lit(b), F.lit(False))).cast("int")
-    rows = rows.withColumn("_part", part)
+    # Cuts of any type, from keys that a hash chooses: they only say which task counts a row. They are fixed here, so that a later evaluation ranks alike.
+    every = max(1, rows.count() // (200 * n))
+    keys = sorted(r[0] for r in rows.filter(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(every)) == 0)).select(key).distinct().collect())
+    bounds = sorted({keys[len(keys) * i // n] for i in range(1, n)}) if keys else []
+
+    def part_of(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(key) >= F.lit(bounds[mid]), part_of(mid + 1, hi)).otherwise(part_of(lo, mid))
+
+    rows = rows.withColumn("_part", part_of(0, len(bounds)))
     sizes = {r["_part"]: r["count"] for r in rows.groupBy("_part").count().collect()}
     base, at = [], 0
     for p in range(len(bounds) + 1):
@@ -70,14 +76,46 @@ def existing_clips(clips: DataFrame, files: DataFrame) -> DataFrame:
     return clips
 
 
+def register(urls: DataFrame, transcripts: DataFrame, known: DataFrame) -> DataFrame:
+    """ord, url, transcript_path, id of the sources that known (id, url) lacks: the n-th URL (ord, url) has the n-th transcript (ord, path)."""
+    return assign_ids(new_sources(zip_sources(urls, transcripts), known), known).select("ord", "url", "transcript_path", "id")
+
+
+def at_stage(sources: DataFrame, flag: str) -> DataFrame:
+    """The sources that the stage before has done; null counts as not done."""
+    return sources.filter(F.coalesce(F.col(flag), F.lit(False)))
+
+
+def of_sources(rows: DataFrame, sources: DataFrame, flag: str) -> DataFrame:
+    """Rows (source_id, ...) of the sources (id, ...) that the flag holds for."""
+    return rows.join(at_stage(sources, flag).select(F.col("id").alias("source_id")).distinct(), "source_id", "left_semi")
+
+
+def outcomes(rows: DataFrame, names: list[str], column: str = "outcome") -> DataFrame:
+    """One row: how many rows have each outcome, and all of them."""
+    return rows.agg(*(F.count_if(F.col(column) == n).alias(n) for n in names), F.count("*").alias("total"))
+
+
+def fetched(sources: DataFrame, files: DataFrame) -> DataFrame:
+    """sources (id, ...) with there: a file (id, length) of theirs exists and isn't empty."""
+    whole = files.filter("length > 0").select("id").distinct().withColumn("there", F.lit(True))
+    return sources.join(whole, "id", "left").withColumn("there", F.coalesce("there", F.lit(False)))
+
+
+def by_id(rows: DataFrame, key: str, value: object) -> DataFrame:
+    """The row of one id, if there is one."""
+    return rows.filter(F.col(key) == F.lit(value))
+
+
 def pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows without output yet."""
     return rows.join(done.select(key), key, "left_anti")
 
 
-def stage_rollup(sources: DataFrame, flags: list[str]) -> DataFrame:
-    """One row: sources, and how many have each flag; null counts as false."""
-    return sources.agg(F.count("*").alias("sources"), *(F.count_if(F.coalesce(f, F.lit(False))).alias(f) for f in flags))
+def stage_rollup(sources: DataFrame, flags: list[str], exported: bool | None = None) -> DataFrame:
+    """One row: sources, how many have each flag (null counts as false), and, if given, whether an engine is exported."""
+    engine = [] if exported is None else [F.lit(exported).alias("engine_exported")]
+    return sources.agg(F.count("*").alias("sources"), *engine, *(F.count_if(F.coalesce(f, F.lit(False))).alias(f) for f in flags))
 
 
 def clip_id(source_id: Column, index: Column) -> Column:

@@ -40,10 +40,11 @@ def bypass(clips: DataFrame) -> DataFrame:
     return clips.withColumns({"snr_db": F.lit(0.0), "silence_ratio": F.lit(0.0), "whisper_cer": F.lit(None).cast("double"), "passed": F.lit(True), "reason": F.lit("qc_skipped")})
 
 
-def summary(clips: DataFrame) -> DataFrame:
-    """One row: total, passed, and failures by reason."""
+def summary(clips: DataFrame, count_unreadable: bool = False) -> DataFrame:
+    """One row: total, passed, and failures by reason; with count_unreadable also the clips without a duration, which have no reason."""
     reasons = ("duration", "snr", "silence", "cer")
-    return clips.agg(F.count("*").alias("total"), F.count_if("passed").alias("passed"), *(F.count_if(F.startswith("reason", F.lit(f"{r} "))).alias(f"failed_{r}") for r in reasons))
+    unreadable = [F.lit(0).cast("long").alias("unreadable")] if "duration" not in clips.columns else [F.count_if(F.col("duration").isNull()).alias("unreadable")]
+    return clips.agg(F.count("*").alias("total"), F.count_if("passed").alias("passed"), *(unreadable if count_unreadable else []), *(F.count_if(F.startswith("reason", F.lit(f"{r} "))).alias(f"failed_{r}") for r in reasons))
 
 
 def split_of(key: Column, val_percent: float = 4.0, test_percent: float = 1.0) -> Column:
@@ -58,6 +59,12 @@ def split_summary(rows: DataFrame, duration: str = "duration") -> DataFrame:
     return rows.groupBy("split").agg(F.count("*").alias("n"), F.round(F.sum(duration) / 3600, 2).alias("hours"))
 
 
+def training_totals(rows: DataFrame, words: DataFrame, duration: str = "duration") -> DataFrame:
+    """One row: rows of each split and of all, hours, and how many words there are."""
+    found = rows.agg(*(F.count_if(F.col("split") == p).alias(p) for p in ("train", "val", "test")), F.count("*").alias("total"), F.round(F.sum(duration) / 3600, 2).alias("hours"))
+    return found.crossJoin(words.agg(F.count("*").alias("vocab_size")))  # two single rows
+
+
 def vocabulary(rows: DataFrame, column: str) -> DataFrame:
     """token: distinct words between white space."""
     words = F.explode(F.split(F.coalesce(F.col(column), F.lit("")), r"(?U)\s+"))
@@ -75,6 +82,21 @@ def within_seconds(rows: DataFrame, low: float, high: float, column: str = "dura
     return rows.filter(F.col(column).between(low, high))
 
 
+def loadable(rows: DataFrame, low: float = 1.0, high: float = 10.0, column: str = "duration") -> DataFrame:
+    """within_seconds(), or an error when it is read and nothing is left."""
+    kept = within_seconds(rows, low, high, column)
+    n = kept.agg(F.count("*").alias("_n"))
+    some = n.select(F.assert_true(F.col("_n") > 0, F.lit("no row has a duration in the bounds")).alias("_ok"))
+    return kept.crossJoin(F.broadcast(some)).filter("_ok IS NULL").drop("_ok")  # with one row
+
+
+def collate(rows: DataFrame, size: int, ord_column: str, arrays: dict[str, object]) -> DataFrame:
+    """rows with batch (ord div size) and, for each array column, its length (n_...) and the array padded with its own value to the batch's longest."""
+    for column, pad in arrays.items():
+        rows = batches(rows, size, ord_column, column, pad).withColumnRenamed("n_ids", f"n_{column}")
+    return rows
+
+
 def batches(rows: DataFrame, size: int, ord_column: str, ids: str, pad: int) -> DataFrame:
     """rows with batch (ord div size), n_ids and ids padded to the batch's longest."""
     from vanika.functions.audio import pad_to

@@ -525,6 +525,8 @@ def stretch_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from vanika.plans import projects  # noqa: F401  (adds its own)
+
     return dict(_QUERIES)
 
 
@@ -534,4 +536,5 @@ def whole_queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SOURCES = "sources array<struct<id:string,url:string,transcript_path:string,audio_path:string,duration_sec:double,status:struct<downloaded:boolean,aligned:boolean,segmented:boolean,qc_passed:boolean>,error:string>>"
@@ -18,6 +18,18 @@ SPLIT = "audio_path string, raw_text string, processed_text string, duration dou
 TEST_SET = "items array<struct<id:string,category:string,text:string>>"
 
 
+def fixed(column: str, digits: int) -> Column:
+    """A number with so many decimals as text, rounded by its exact binary value, a tie to the even one; null: empty."""
+    x, c = F.col(column).cast("double"), float(2 * 10**digits)
+    n = F.rint(x * c)  # an odd one: x is near a tie, and the side follows from a product in two exact parts
+    split = x * 134217729.0
+    high = split - (split - x)
+    side = (high * c - n) + (x - high) * c
+    up, down = (n + 1) / 2, (n - 1) / 2
+    whole = F.when(F.pmod(n, F.lit(2.0)) == 0, n / 2).when(side > 0, up).when(side < 0, down).when(F.pmod(down, F.lit(2.0)) == 0, down).otherwise(up)
+    return F.when(x.isNull(), "").otherwise(F.format_string(f"%.{digits}f", whole / float(10**digits)))
+
+
 def read_urls(spark: SparkSession, path: str) -> DataFrame:
     """ord, url: lines in order, blank ones and those that begin with # left out."""
     rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.replace("value", F.lit("\r\n"), F.lit("\n")), "\n")).alias("ord", "url"))
@@ -46,8 +58,8 @@ def write_manifest(sources: DataFrame, path: str) -> None:
 def write_qc_report(clips: DataFrame, path: str) -> None:
     """CSV with header: fixed decimals, passed as 0 or 1, a null rate empty."""
     rows = clips.select(
-        "clip_id", "source_id", *(F.format_string(f"%.{n}f", F.col(c)).alias(c) for c, n in (("duration", 3), ("snr_db", 2), ("silence_ratio", 3))),
-        F.when(F.col("whisper_cer").isNotNull(), F.format_string("%.4f", "whisper_cer")).alias("whisper_cer"), F.col("passed").cast("int").alias("passed"), "reason",
+        "clip_id", "source_id", *(fixed(c, n).alias(c) for c, n in (("duration", 3), ("snr_db", 2), ("silence_ratio", 3))),
+        fixed("whisper_cer", 4).alias("whisper_cer"), F.col("passed").cast("int").alias("passed"), "reason",
     )
     rows.write.csv(path, header=True, nullValue="", emptyValue="", escape='"')
 
@@ -59,7 +71,7 @@ def read_qc_report(spark: SparkSession, path: str, only_passed: bool = True) ->
 
 def write_splits(rows: DataFrame, path: str) -> None:
     """Pipe-separated files with header, a folder for each split."""
-    rows.withColumn("duration", F.format_string("%.3f", "duration")).write.partitionBy("split").csv(path, header=True, sep="|", escape='"', emptyValue="")
+    rows.withColumn("duration", fixed("duration", 3)).write.partitionBy("split").csv(path, header=True, sep="|", escape='"', emptyValue="")
 
 
 def read_split(spark: SparkSession, path: str) -> DataFrame:
@@ -110,7 +122,10 @@ def read_wav(spark: SparkSession, path: str) -> DataFrame:
                 try:
                     with wave.open(io.BytesIO(content)) as w:
                         width, channels, rate = w.getsampwidth(), w.getnchannels(), w.getframerate()
-                        raw = np.frombuffer(w.readframes(w.getnframes()), {1: "u1", 2: "<i2", 4: "<i4"}[width]).astype(np.float64)
+                        frames = w.readframes(w.getnframes())
+                    if width == 3:  # the missing low byte is zero
+                        frames, width = np.pad(np.frombuffer(frames, np.uint8).reshape(-1, 3), ((0, 0), (1, 0))).tobytes(), 4
+                    raw = np.frombuffer(frames, {1: "u1", 2: "<i2", 4: "<i4"}[width]).astype(np.float64)
                     raw = (raw - 128) / 128 if width == 1 else raw / float(1 << (8 * width - 1))
                     samples = raw.reshape(-1, channels).mean(axis=1).astype(np.float32)
                 except (wave.Error, EOFError, KeyError, ValueError):

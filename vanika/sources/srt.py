@@ -26,16 +26,17 @@ def _strip(text: Column) -> Column:
 def parse(files: DataFrame) -> DataFrame:
     """path, ord, index, start_sec, end_sec, text, error: the cues of each file (path, value), in order.
 
-    Blocks lie between empty lines. A block needs two lines that aren't blank, one arrow and text. A missing number is the count of cues so far plus one. A file
-    with a time line of two arrows or more, or with a malformed stamp, is one row with an error.
+    Blocks lie between empty lines. A block needs two lines that aren't blank, one arrow and text. A missing number is the count of cues so far plus one; one that no
+    long holds is null. A block with a malformed stamp is left out; a file with a time line of two arrows or more is one row with an error.
     """
     text = _strip(F.replace(F.replace(F.regexp_replace("value", "^﻿", ""), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")))
     blocks = files.select("path", F.posexplode(F.split(text, "\n\n")).alias("ord", "block"))
     lines = F.filter(F.split("block", "\n"), lambda x: _strip(x) != "")
     rows = blocks.select("path", "ord", lines.alias("lines")).filter(F.size("lines") >= 2)
-    number = F.when(_strip(F.get("lines", F.lit(0))).rlike("^[+-]?[0-9]+$"), _strip(F.get("lines", F.lit(0))).cast("int"))
-    rows = rows.withColumn("number", number).withColumn("times", F.when(F.col("number").isNull(), F.get("lines", F.lit(0))).otherwise(F.get("lines", F.lit(1))))
-    rest = F.slice("lines", F.when(F.col("number").isNull(), 2).otherwise(3), F.size("lines"))
+    first = _strip(F.get("lines", F.lit(0)))
+    rows = rows.withColumn("numbered", first.rlike("^[+-]?[0-9]+$")).withColumn("number", F.when(F.col("numbered"), first.try_cast("long")))
+    rows = rows.withColumn("times", F.when(F.col("numbered"), F.get("lines", F.lit(1))).otherwise(F.get("lines", F.lit(0))))
+    rest = F.slice("lines", F.when(F.col("numbered"), 3).otherwise(2), F.size("lines"))
     rows = rows.filter(F.contains("times", F.lit("-->"))).withColumn("sides", F.split("times", "-->"))
     rows = rows.withColumn("text", F.array_join(F.transform(rest, _strip), " "))
     rows = rows.withColumn("start_sec", _seconds(F.get("sides", F.lit(0)))).withColumn("end_sec", _seconds(F.get("sides", F.lit(1))))
@@ -44,9 +45,9 @@ def parse(files: DataFrame) -> DataFrame:
     rows = rows.withColumn("error", F.min(F.when(F.size("sides") > 2, "two arrows")).over(by_file)).withColumn("own", broken)
     kept = rows.filter("error IS NULL AND own IS NULL AND text <> ''")
     before = Window.partitionBy("path").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    kept = kept.withColumn("index", F.coalesce("number", F.coalesce(F.count("ord").over(before), F.lit(0)) + 1).cast("int"))
+    kept = kept.withColumn("index", F.when(F.col("numbered"), F.col("number")).otherwise(F.coalesce(F.count("ord").over(before), F.lit(0)) + 1))
     errors = rows.filter("error IS NOT NULL").groupBy("path").agg(F.min("error").alias("error"))
-    empty = {"ord": "int", "index": "int", "start_sec": "double", "end_sec": "double", "text": "string"}
+    empty = {"ord": "int", "index": "long", "start_sec": "double", "end_sec": "double", "text": "string"}
     failed = errors.select("path", *(F.lit(None).cast(t).alias(c) for c, t in empty.items()), "error")
     return kept.select("path", "ord", "index", "start_sec", "end_sec", "text", "error").unionByName(failed)
 
