@@ -93,10 +93,11 @@ class Items:
     def place(self, df: np.ndarray, n: int) -> None:
         """idf of the vocabulary by the corpus's document frequencies, and the items' TF-IDF entries and answers."""
         self.idf = np.log((n + 1) / (df + 1)) + 0.05
-        self.entries, self.answers = [], []
+        self.entries, self.answers, self.counts = [], [], []
         for w in self.words:
             u, count = np.unique(w, return_counts=True)
             self.entries.append((u, count * self.idf[u]))
+            self.counts.append(list(zip(u.tolist(), count.tolist(), strict=True)))
             self.answers.append(u[np.argsort(-self.idf[u], kind="stable")[:ANSWER_WORDS]])
 
     def span(self, sketch: np.ndarray, n: int) -> None:
@@ -162,10 +163,15 @@ class Items:
             two = sums[:-1] + sums[1:]
             windows = two[:-2]
             windows += two[2:]
+            last, there = -1, frozenset()
             for k, i in zip(*(x.tolist() for x in np.nonzero(windows >= 1.0)), strict=True):
-                d = int(np.searchsorted(base, k + 3, "right")) - 1
-                item, a = int(own[i]), (k - int(base[d])) * step
-                if found.get((d, item), (0.0,))[0] < 1.0:
+                if k != last:
+                    last, d = k, int(np.searchsorted(base, k + 3, "right")) - 1
+                    a = (k - int(base[d])) * step
+                    there = frozenset(slots[first[d] + max(0, a - step) : min(first[d] + per[d], first[d] + a + size + step)].tolist())
+                item = int(own[i])
+                # A common subsequence has no words but those that both hold.
+                if found.get((d, item), (0.0,))[0] < 1.0 and sum([n for w, n in self.counts[item] if w in there]) >= PARAPHRASE * len(self.words[item]):
                     self._confirm(found, (d, item), slots[first[d] : first[d] + per[d]], a, size)
         return [(d, (self.ids[item], c, s, x, a)) for (d, item), (s, c, x, a) in sorted(found.items())]
 
