@@ -456,7 +456,9 @@ def test_the_trie_prunes_most_pairs(monkeypatch):
     assert compared < 0.05 * len(fp) ** 2 / 2
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [simhash.FEW_EDGES, 40])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW_EDGES", few)
     q = random.Random(9)
     edges = [(q.randrange(200), q.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)] + [(1, 1), (None, 3)]
     got = {x["u"]: x["root"] for x in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -512,13 +514,26 @@ def test_similar_in_large_buckets(spark, monkeypatch, block, shingles):
     assert got == plain_similar(docs) and len(set(got.values())) < 350
 
 
+def test_similar_counts_distinct_shingles(spark):
+    # A passage, and the same three times in a row: nearly the same sets from unlike counts, more than a block of them, and one line that all share.
+    own = random.Random(4)
+    line = " ".join(own.choices(WORDS, k=40))
+    docs = []
+    for k in range(160):
+        mine = " ".join(own.choices(WORDS, k=100))
+        docs += [(k, f"{line} {mine}"), (1000 + k, f"{line} {mine} " * 3)]
+    assert len(docs) > simhash.BLOCK
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar(spark.createDataFrame(docs, SCHEMA).repartition(4)).collect()}
+    assert got == plain_similar(docs) and len(set(got.values())) == 160
+
+
 def test_shingles_of_blocks_are_those_of_texts():
     texts = ["", "a", "A b", "a b c d e", "a b c d e f", "f e d c b a " * 3, " ", "x y z w", "a b  c\td e"]
     s = simhash.Shingled(pa.array(texts), 5)
     for t, text in enumerate(texts):
         w = text.lower().split()
         one = simhash.Shingled(pa.array([text]), 5)
-        assert len(s.set_of(t)) == len({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else ()) and s.set_of(t).tolist() == one.set_of(0).tolist() and s.text_id[t] == one.text_id[0]
+        assert s.distinct()[t] == len(s.set_of(t)) == len({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else ()) and s.set_of(t).tolist() == one.set_of(0).tolist() and s.text_id[t] == one.text_id[0]
     assert s.text_id[0] == s.text_id[6] and s.text_id[3] == s.text_id[8] and len(set(s.text_id.tolist())) == 7
 
 

@@ -39,8 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
         warehouse = spark.conf.get("spark.sql.warehouse.dir")
         if not (spark.sparkContext.master or "").startswith("local["):
             raise ValueError("spark.checkpoint.dir is unset; a cluster needs a folder that all executors share")
-        where = f"{warehouse.rstrip('/')}/vanika-tables"
-        if not _own_dir:  # of a local session: what is left there goes with it
+        where = f"{warehouse.rstrip('/')}/vanika-tables-{spark.sparkContext.applicationId}"
+        if where not in _own_dir:  # of a local session: what is left there goes with it
             _own_dir.append(where)
             atexit.register(shutil.rmtree, re.sub("^file:/*", "/", where), ignore_errors=True)
     return where.rstrip("/")

@@ -200,16 +200,26 @@ def link(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return dealt.mapInArrow(each, "fp long, root long, links long")
 
 
+#: So few edges are joined in one task (16 bytes each); more of them in rounds, until they are so few.
+FEW_EDGES = 1 << 18
+
+
 def components(edges: DataFrame) -> DataFrame:
     """u, root for every u that the edges (u, v: longs) join to a smaller one: root is the smallest of its component.
 
     Large stars and small stars take turns: each round hangs a node's larger, then its smaller neighbours
     on the smallest of them. A round is one table in the shared folder, and
-    the last has a row for each node only. Null ends and loops are ignored; no edges: no rows.
+    the last has a row for each node only. FEW_EDGES or fewer are joined in one task instead, with the same result. Null ends and loops are ignored; no edges: no rows.
     """
     edges = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    while not _stars(edges):
+    while True:
         last = edges
+        if edges.count() <= FEW_EDGES:
+            edges = cut(edges.coalesce(1).mapInArrow(_joined, "u long, v long"), "edges")
+            drop(last)
+            break
+        if _stars(edges):
+            break
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -220,6 +230,18 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.toDF("u", "root")
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of a few nodes as stars: each node that isn't the smallest of its component, and that."""
+    held = [(np.asarray(b.column("u")), np.asarray(b.column("v"))) for b in batches]
+    if not held:
+        return
+    u, v = (np.concatenate(x) for x in zip(*held, strict=True))
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    label = roots(len(names), at[: len(u)], at[len(u) :])
+    out = np.flatnonzero(label != np.arange(len(names)))
+    yield pa.record_batch({"u": names[out], "v": names[label[out]]})
+
+
 def _stars(edges: DataFrame) -> bool:
     """Every u hangs on one v only, and no v on anything."""
     return edges.groupBy("u").count().filter("count > 1").isEmpty() and edges.select(F.col("v").alias("u")).join(edges, "u", "left_semi").isEmpty()
@@ -279,6 +301,15 @@ class Shingled:
     def set_of(self, t: int) -> np.ndarray:
         return np.unique(self.hashes[self.first[t] : self.first[t] + self.n[t]])
 
+    def distinct(self) -> np.ndarray:
+        """How many different shingles each text has."""
+        owner = np.repeat(np.arange(len(self.n)), self.n)
+        order = np.lexsort((self.hashes, owner))
+        h, owner = self.hashes[order], owner[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+        return np.bincount(owner[new], minlength=len(self.n))
+
 
 def band_fingerprints(s: Shingled) -> np.ndarray:
     """For each text BANDS SimHashes, each of the ROWS shingles that come first in ROWS orders of all its shingles; zeros for a text without any."""
@@ -300,8 +331,8 @@ def band_fingerprints(s: Shingled) -> np.ndarray:
 
 #: Texts of a block at most, and shingles of its texts together: what a task compares with another block at once.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
-#: Texts whose counts of shingles are more than a class apart can't be alike.
-SIZE_STEP = 1.25
+#: A class of sizes spans a little more than two alike texts can differ by, so texts that are more than a class apart can't be alike.
+SLACK = 1.01
 
 
 def similar(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -312,7 +343,7 @@ def similar(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFram
     same texts (as words, ASCII case aside) are one from the first shuffle on. The trie self-join puts nearly equal fingerprints of a band in one bucket;
     texts of a bucket are candidates of each other. Candidates that hang together and are few meet in one task, all with all. Where they are many, each
     is first compared with central texts of its largest bucket; then all pairs of each bucket that this has not joined, block by block (open_cells()). Every comparison is exact,
-    on whole shingle sets. A similarity of 0.8 leaves 2 of 10,000 pairs without a common band; no other pair is lost.
+    on whole shingle sets, whose sizes are counts of distinct shingles. A similarity of 0.8 leaves 2 of 10,000 pairs without a common band; no other pair is lost.
     Null or blank texts are copies of each other. component_id: the smallest doc_id of the group (nulls don't count). Texts are told apart by 64 bits of hash.
     """
 
@@ -321,7 +352,7 @@ def similar(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFram
             for b in blocks(batch, limit=2 << 20):
                 s = Shingled(b.column("text"), words)
                 bands = pa.array(band_fingerprints(s).view(np.int64).ravel())
-                yield pa.record_batch({"doc_id": b.column("doc_id"), "text_id": s.text_id, "size": s.n, "bands": pa.ListArray.from_arrays(np.arange(0, BANDS * len(s.n) + 1, BANDS, dtype=np.int32), bands)})
+                yield pa.record_batch({"doc_id": b.column("doc_id"), "text_id": s.text_id, "size": s.distinct(), "bands": pa.ListArray.from_arrays(np.arange(0, BANDS * len(s.n) + 1, BANDS, dtype=np.int32), bands)})
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -349,7 +380,7 @@ def similar(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFram
     many = cut(banded.join(near.filter("NOT few").select("text_id", "size"), "text_id"), "many")
     edges = cut(compare(few.union(star_cells(many)), sets, threshold), "alike")
     label = components(edges)
-    cells = open_cells(many, label)
+    cells = open_cells(many, label, threshold)
     if cells is not None:
         label = components(edges.union(compare(cells, sets, threshold)))
     known = texts.select("text_id", "copies", "first").join(label.withColumnRenamed("u", "text_id"), "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
@@ -393,11 +424,11 @@ def star_cells(many: DataFrame) -> DataFrame:
     return own.union(heads).select(F.xxhash64("band", "fp", "part").alias("cell"), "side", "text_id")
 
 
-def open_cells(many: DataFrame, label: DataFrame) -> DataFrame | None:
+def open_cells(many: DataFrame, label: DataFrame, threshold: float) -> DataFrame | None:
     """cell, side, text_id: the blocks of large buckets that have to be compared with each other; None: none have to.
 
-    many: text_id, band, fp, n, size; label (u, root): what is joined already. A bucket whose texts are not all joined is dealt into blocks by
-    size class, each of BLOCK texts and BLOCK_SHINGLES shingles at most; joined texts that are more have blocks of their own, which are not compared with
+    many: text_id, band, fp, n, size (distinct shingles: sets that are alike by threshold have sizes of at least that ratio); label (u, root): what is joined
+    already. A bucket whose texts are not all joined is dealt into blocks by size class, each of BLOCK texts and BLOCK_SHINGLES shingles at most; joined texts that are more have blocks of their own, which are not compared with
     each other. A cell is two blocks of the same or of neighbouring classes, or one with itself (side 0 only).
     """
     rows = many.join(label.withColumnRenamed("u", "text_id"), "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
@@ -405,7 +436,7 @@ def open_cells(many: DataFrame, label: DataFrame) -> DataFrame | None:
     rows = cut(rows.drop("n").join(groups.drop("n"), ["band", "fp", "root"]), "open")
     if rows.isEmpty():
         return None
-    rows = rows.withColumn("only", F.when(F.col("g") > BLOCK, F.col("root"))).withColumn("class", F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / math.log(SIZE_STEP)))
+    rows = rows.withColumn("only", F.when(F.col("g") > BLOCK, F.col("root"))).withColumn("class", F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / math.log(SLACK / threshold)))
     key = ["band", "fp", "only", "class"]
     dealt = rows.groupBy(*key).agg(_parts_of(F.count("*"), F.sum("size")).alias("k")).toDF("b", "f", "o", "c", "k")
     rows = rows.join(dealt, (F.col("band") == F.col("b")) & (F.col("fp") == F.col("f")) & F.col("only").eqNullSafe(F.col("o")) & (F.col("class") == F.col("c")))
