@@ -3,21 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from vanika.llm.common import table
 
-#: Where the public tokenizers' files are.
-TOKENIZERS = Path("/opt/tokenizers")
-
-
 def tokenizer_path(name: str) -> str:
-    try:
-        import public_tokenizers
-    except ImportError:
-        return str(TOKENIZERS / name)
+    """Where a public tokenizer's file is."""
+    import public_tokenizers
+
     return public_tokenizers.path(name)
 
 
@@ -81,8 +75,26 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_read(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vanika.llm.tokencounts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vanika.llm.repair import damaged, repair_report
+
+    return repair_report(damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_quantile_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vanika.llm.quantiles import report, streams
+
+    return report(streams(spark, sf_dir), error=0.02, parts=4, least=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_pii, op3_winnowing, op4_tool_calls, op5_best_fit_packing, op6_simhash_near_dedup, op7_secret_scan, op8_toxicity, op9_language_model, op10_token_ids)}
+    return {f.__name__: f for f in (op1_decontamination, op2_pii, op3_winnowing, op4_tool_calls, op5_best_fit_packing, op6_simhash_near_dedup, op7_secret_scan, op8_toxicity, op9_language_model, op10_token_ids, op11_token_counts, op12_conversation_repair, op13_quantile_summaries)}
 
 
 def oracle_sql() -> dict[str, str]:
