@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from vanika.functions.similarity import cer, error_rate, rtf, wer
+from vanika.functions.similarity import cer, rtf, spread, wer
 
 # Categories in their order.
 CATEGORIES = ["narration", "dialogue", "numeric", "pronunciation", "long"]
@@ -37,29 +32,13 @@ def check_category(category: Column) -> Column:
 def metrics(items: DataFrame) -> DataFrame:
     """items (reference, hypothesis, generation_sec, duration_sec, ...) with cer, wer, rtf; without a hypothesis both rates are null."""
     known = F.col("hypothesis").isNotNull()
-    return items.withColumns({"cer": F.when(known, cer(F.col("reference"), F.col("hypothesis"), cased=False)), "wer": F.when(known, wer(F.col("reference"), F.col("hypothesis"))), "rtf": rtf(F.col("generation_sec"), F.col("duration_sec"))})
-
-
-#: Unicode's blanks, as (?U)\\s has them.
-_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+    return spread(items).withColumns({"cer": F.when(known, cer(F.col("reference"), F.col("hypothesis"), cased=False)), "wer": F.when(known, wer(F.col("reference"), F.col("hypothesis"))), "rtf": rtf(F.col("generation_sec"), F.col("duration_sec"))})
 
 
 def word_error_rates(rows: DataFrame, reference: str, hypothesis: str) -> DataFrame:
-    """rows with wer in place of the two texts. As similarity.wer(), for long texts: a pair may have a million distinct words, coded in one pass."""
-    kept = [c for c in rows.columns if c not in (reference, hypothesis)]
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            coded: list[list[str]] = [[], []]
-            for pair in zip(batch.column(reference).to_pylist(), batch.column(hypothesis).to_pylist(), strict=True):
-                known: dict[str, str] = {}
-                for out, text in zip(coded, pair, strict=True):
-                    # A character for each distinct word, past the surrogates too.
-                    out.append("".join(known.setdefault(w, chr(k if (k := 0x4E00 + len(known)) < 0xD800 else k + 0x800)) for w in _BLANKS.split(text or "") if w))
-            yield pa.record_batch({**{c: batch.column(c) for c in kept}, "_r": pa.array(coded[0], pa.string()), "_h": pa.array(coded[1], pa.string())})
-
-    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept), "_r string, _h string"])
-    return rows.mapInArrow(each, schema).select(*kept, error_rate(F.col("_r"), F.col("_h")).alias("wer"))
+    """rows with wer in place of the two texts, of any length and any number of distinct words; a null text is empty."""
+    kept = [c for c in rows.columns if c not in (reference, hypothesis, "wer")]
+    return rows.select(*kept, wer(F.col(reference), F.col(hypothesis)).alias("wer"))
 
 
 def report(rows: DataFrame, by: str = "category", columns: list[str] = METRICS) -> DataFrame:
@@ -92,17 +71,28 @@ def seeds(seed: Column, retries: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(retries)), lambda k: seed + k)
 
 
-def keep_checkpoints(listing: DataFrame, keep_last: int) -> DataFrame:
-    """step, name, kept of names ckpt_step_N.pt, others left out: the last ones, and step 0."""
+def checkpoints(listing: DataFrame) -> DataFrame:
+    """step, name of names ckpt_step_N.pt; others are left out."""
     step = F.regexp_extract("name", r"^ckpt_step_(\d+)\.pt$", 1)
-    rows = listing.select(F.nullif(step, F.lit("")).cast("long").alias("step"), "name").filter("step IS NOT NULL")
-    back = F.row_number().over(Window.orderBy(F.desc("step")))  # a folder's listing
-    return rows.withColumn("kept", (back <= keep_last) | (F.col("step") == 0))
+    return listing.select(F.nullif(step, F.lit("")).cast("long").alias("step"), "name").filter("step IS NOT NULL")
+
+
+def keep_checkpoints(listing: DataFrame, keep_last: int) -> DataFrame:
+    """step, name, kept of checkpoints(): the keep_last greatest steps, and step 0.
+
+    The least step that stays is found by a top-n of each partition's steps (one row, which meets all others), so the listing is never sorted as a whole. Names of one step
+    stay or go together.
+    """
+    rows = checkpoints(listing)
+    last = rows.select("step").distinct().orderBy(F.desc("step")).limit(max(1, keep_last))
+    least = F.broadcast(last.agg(F.min("step").alias("_least")))  # one row
+    kept = F.lit(False) if keep_last < 1 else F.col("step") >= F.col("_least")
+    return rows.crossJoin(least).select("step", "name", (kept | (F.col("step") == 0)).alias("kept"))
 
 
 def latest_checkpoint(listing: DataFrame) -> DataFrame:
-    rows = keep_checkpoints(listing, 1)
-    return rows.agg(F.max("step").alias("step"), F.max_by("name", "step").alias("name"))
+    """step, name of the greatest step: one aggregate."""
+    return checkpoints(listing).agg(F.max("step").alias("step"), F.max_by("name", "step").alias("name"))
 
 
 def log_tail(lines: DataFrame, n: int, order: list[str]) -> DataFrame:

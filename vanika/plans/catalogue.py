@@ -390,15 +390,29 @@ def _all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = max(1, items.count())
     items = items.withColumn("k", F.row_number().over(Window.orderBy("item_id", "r")) - 1)  # the benchmark is small
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("h"), F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(n)).alias("k"))
-    return docs.join(F.broadcast(items), "k").select("item_id", "doc_id", "r", "h")
+    return similarity.spread(docs).join(F.broadcast(items), "k").select("item_id", "doc_id", "r", "h")
 
 
-@_whole
+# DuckDB's distance is one of bytes, so the letters that the tables have beside ASCII become capitals, which lower-case texts don't have.
+_LETTERS = "äçèéêíñóöüß"
+_DEALT = "k AS (SELECT item_id, text AS r, row_number() OVER (ORDER BY item_id, text) - 1 AS k, count(*) OVER () AS n FROM benchmark), p AS (SELECT item_id, doc_id, r, coalesce(text, '') AS h FROM documents JOIN k ON ((coalesce(doc_id, 0) % n) + n) % n = k)"
+_CODED = f"translate(replace(replace(lower({{0}}), ' ', ''), chr(10), ''), '{_LETTERS}', 'ABCDEFGHIJK')"
+
+
+@_query(f"WITH {_DEALT}, b AS (SELECT item_id, doc_id, {_CODED.format('r')} AS r, {_CODED.format('h')} AS h FROM p) SELECT item_id, doc_id, round(levenshtein(r, h) / length(r)::DOUBLE, 9) AS cer FROM b")
 def cer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _all_pairs(spark, sf_dir).select("item_id", "doc_id", F.round(similarity.cer(F.col("r"), F.col("h"), cased=False), 9).alias("cer"))
 
 
-@_whole
+# A row of distances over all words of a document, for each word of its item in turn: what comes from the left is a running minimum. y: the places (bits) at which the item has the word.
+@_query(f"""WITH RECURSIVE {_DEALT}, w AS (SELECT row_number() OVER () AS p, item_id, doc_id, {_WORD_LIST.format('r')} AS a, {_WORD_LIST.format('h')} AS b FROM p),
+u AS (SELECT p, a, b[j] AS y, j FROM (SELECT *, unnest(range(1, len(b) + 1)) AS j FROM w)),
+e AS (SELECT p, 0::BIGINT AS j, len(a)::INT AS m, 0::HUGEINT AS y FROM w UNION ALL SELECT p, j, len(a), coalesce(list_sum(list_transform(range(len(a)), lambda i: CASE WHEN a[i + 1] = y THEN 1::HUGEINT << i::INT ELSE 0 END)), 0)::HUGEINT FROM u),
+f AS (SELECT p, 0 AS i, j, m, y, j AS d FROM e UNION ALL
+SELECT p, i + 1, j, m, y, (j + min(t - j) OVER (PARTITION BY p ORDER BY j ROWS UNBOUNDED PRECEDING))::BIGINT FROM
+(SELECT *, least(d + 1, coalesce(lag(d) OVER (PARTITION BY p ORDER BY j) + CASE WHEN (y >> i) % 2 = 1 THEN 0 ELSE 1 END, d + 1)) AS t FROM f WHERE i < m) g),
+l AS (SELECT p, arg_max(d, j) AS d, max(m) AS m FROM f WHERE i = m GROUP BY p)
+SELECT item_id, doc_id, round(d / m::DOUBLE, 9) AS wer FROM l JOIN w USING (p)""")
 def wer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.word_error_rates(_all_pairs(spark, sf_dir), "r", "h").select("item_id", "doc_id", F.round("wer", 9).alias("wer"))
 

@@ -149,9 +149,7 @@ def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("item_id"), F.col("source").alias("category"), plain.alias("reference"), (F.col("n_chars") / 16.0).alias("duration_sec"), (F.col("doc_id") % 2 == 0).alias("odd"), "n_chars")
     heard = F.when(F.col("odd"), F.concat("reference", F.lit(" xxxxx"))).otherwise(F.col("reference"))
     rows = rows.select("*", heard.alias("hypothesis"), ((0.25 + F.col("n_chars") % 8) * F.col("duration_sec")).alias("generation_sec"))
-    known = F.col("hypothesis").isNotNull()
-    rates = {"cer": F.when(known, similarity.cer(F.col("reference"), F.col("hypothesis"), cased=False)), "rtf": similarity.rtf(F.col("generation_sec"), F.col("duration_sec")), "utmos": F.lit(None).cast("double")}
-    return evaluate.word_error_rates(rows.withColumns(rates).select("item_id", "category", "cer", "utmos", "duration_sec", "rtf", "reference", "hypothesis"), "reference", "hypothesis")
+    return evaluate.metrics(rows).withColumn("utmos", F.lit(None).cast("double")).select("item_id", "category", "cer", "wer", "utmos", "duration_sec", "rtf")
 
 
 @_query(f"WITH {_EVAL} SELECT item_id, category, printf('%.4f', cer) AS cer, printf('%.4f', wer) AS wer, '' AS utmos, printf('%.3f', duration_sec) AS duration_sec, CASE WHEN rtf IS NULL THEN '' ELSE printf('%.3f', rtf) END AS rtf FROM e")
