@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vanika.functions.similarity import cer
 
 
-def waterfall(clips: DataFrame, min_sec: float = 1.5, max_sec: float = 15.0, min_snr: float = 20.0, max_silence: float = 0.4, max_cer: float = 0.25) -> DataFrame:
+def waterfall(clips: DataFrame, min_sec: float = 1.5, max_sec: float = 15.0, min_snr: float = 30.0, max_silence: float = 0.25, max_cer: float = 0.10) -> DataFrame:
     """clips (duration, snr_db, silence_ratio, and reference and hypothesis texts if there are any) with whisper_cer, passed, reason.
 
     The first check that fails gives the reason. Error rates are only computed for clips that pass the cheap checks: these are

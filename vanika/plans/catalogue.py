@@ -255,7 +255,7 @@ def _clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").select("doc_id", "quality")
     n = F.col("n_chars")
     clips = docs.join(labels, "doc_id", "left").select(F.col("doc_id").alias("clip_id"), F.col("source").alias("source_id"), ((n % 2000) / 100.0).alias("duration"), ((n % 700) / 10.0).alias("snr_db"), ((n % 97) / 97.0).alias("silence_ratio"), F.lit("abcd").alias("reference"), F.when(F.col("quality") == 0, "wxyz").when(F.col("quality") == 1, "abcd").alias("hypothesis"))
-    return quality.waterfall(clips)
+    return quality.waterfall(clips, min_snr=20.0, max_silence=0.4, max_cer=0.25)
 
 
 @_query(f"WITH {_CLIPS} SELECT clip_id, reason = 'ok' AS passed, reason, CASE WHEN reason IN ('ok', 'cer') THEN CASE quality WHEN 1 THEN 0.0 WHEN 0 THEN 1.0 END END AS whisper_cer FROM qc")

@@ -41,16 +41,17 @@ def measured(clips: DataFrame, frame: int = 2048) -> DataFrame:
     return made.withColumns({"duration": F.size("samples") / F.col("rate"), "snr_db": audio.snr_db(F.col("samples"), frame), "silence_ratio": audio.silence_ratio(F.col("samples"), frame=frame)})
 
 
-def training_set(sources: DataFrame, cues: DataFrame, words: DataFrame, sounds: DataFrame, heard: DataFrame | None = None, skip_qc: bool = False, frontend: Callable[[Column], Column] | None = None, frame: int = 2048, **bounds: float) -> DataFrame:
+def training_set(sources: DataFrame, cues: DataFrame, words: DataFrame, sounds: DataFrame, heard: DataFrame | None = None, skip_qc: bool = False, frontend: Callable[[Column], Column] | None = None, frame: int = 2048, min_sec: float = 1.5, max_sec: float = 15.0, min_snr: float = 30.0, max_silence: float = 0.25, max_cer: float = 0.05) -> DataFrame:
     """The training rows of the sources (id, aligned): their cues are snapped to words, cut into clips, filtered by quality (unless skip_qc) and written for speech.
 
-    heard: clip_id, hypothesis; without it no error rate is checked. frontend: the text's own, without prosody tokens unless given. One plan: nothing is stored between the steps.
+    heard: clip_id, hypothesis; without it no error rate is checked. frontend: the text's own, without prosody tokens unless given. The bounds are those of a new project; min_sec and max_sec
+    hold for cues and for clips. One plan: nothing is stored between the steps; project.Project keeps what each step has made.
     """
     own = manifest.of_sources(cues, sources, "aligned")
     snapped = align.snap(own.withColumn("ord", F.col("index")), words)
-    clips = measured(segment(snapped, sounds, bounds.get("least", 1.5), bounds.get("most", 15.0)), frame).withColumn("reference", F.col("text")).drop("samples")
+    clips = measured(segment(snapped, sounds, min_sec, max_sec), frame).withColumn("reference", F.col("text")).drop("samples")
     clips = clips.join(heard, "clip_id", "left") if heard is not None else clips.withColumn("hypothesis", F.lit(None).cast("string"))
-    judged = quality.bypass(clips) if skip_qc else quality.waterfall(clips)
+    judged = quality.bypass(clips) if skip_qc else quality.waterfall(clips, min_sec, max_sec, min_snr, max_silence, max_cer)
     spoken = (frontend or (lambda t: text.frontend(t, prosody=False)))(F.col("reference"))
     return quality.build_training_set(judged, spoken, F.concat_ws("/", "source_id", F.concat("clip_id", F.lit(".wav"))))
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from vanika.functions import similarity, tokens
+from vanika.functions import similarity, text, tokens
 from vanika.operators import evaluate, manifest, quality
 from vanika.plans import catalogue as base
-from vanika.plans import flows
-from vanika.sources import reports, srt
+from vanika.plans import flows, project
+from vanika.sources import reports, srt, store
 
 _query, _table = base._query, base._table
 
@@ -218,3 +219,63 @@ def interval_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     clip = audio.interval(F.col("embedding"), 8, (F.col("vec_id") % 5).cast("double"), F.lit(2.0))
     return _table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.transform(clip, lambda x: F.round(x * 1000).cast("int").cast("string")), " ").alias("samples"))
+
+
+_TWO_RUNS = f"""s AS (SELECT page_id AS p, url, 'src_' || lpad(page_id::VARCHAR, greatest(5, length(page_id::VARCHAR))::INT, '0') AS id, page_id % 3 <> 0 AS early, page_id % 5 <> 4 AND page_id IN (SELECT vec_id FROM embeddings) AS media FROM pages),
+c AS (SELECT conv_id AS p, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS index, turn * 0.5::DOUBLE AS st, turn * 0.5::DOUBLE + 0.25 * (length(text) % 24) AS en, regexp_replace(replace(text, chr(10), ' '), '^\\s+|\\s+$', '', 'g') AS text FROM conversations WHERE trim(text, E' \\n\\t') <> ''),
+w AS (SELECT conv_id AS p, turn AS word, turn * 0.5::DOUBLE + 0.125 AS ws, turn * 0.5::DOUBLE + 1.75 AS we FROM conversations WHERE turn % 2 = 0 AND conv_id % 3 <> 1),
+a AS (SELECT c.p, c.index, arg_min(ws, (abs(ws - st), word)) AS ns FROM c JOIN w USING (p) WHERE ws BETWEEN st - 1 AND en + 1 GROUP BY 1, 2),
+b AS (SELECT c.p, c.index, arg_min(we, (abs(we - en), word)) AS ne FROM c JOIN w USING (p) WHERE we BETWEEN st - 1 AND en + 1 GROUP BY 1, 2),
+j AS (SELECT c.p, c.index, c.text, coalesce(ns, st) AS x, coalesce(ne, en) AS y, en - st AS d FROM c LEFT JOIN a USING (p, index) LEFT JOIN b USING (p, index)),
+n AS (SELECT p, index, text, x, CASE WHEN y <= x THEN x + greatest(0.3, d) ELSE y END AS y FROM j),
+q AS (SELECT s.p, s.id, s.early, s.id || '_c' || lpad(index::VARCHAR, 6, '0') AS clip_id, n.text, index, y - x AS d, v.embedding[greatest(0, floor(x * 8))::INT + 1:(greatest(0, floor(x * 8)) + floor((y - x) * 8))::INT] AS w FROM n JOIN s USING (p) JOIN embeddings v ON v.vec_id = n.p WHERE s.media),
+v AS (SELECT *, list_transform(w, lambda z: 20 * log10(sqrt(z::DOUBLE * z::DOUBLE + 1e-12) + 1e-12) > -20) AS v FROM q),
+k AS (SELECT *, CASE WHEN list_contains(v, true) THEN w[list_position(v, true):len(v) - list_position(list_reverse(v), true) + 1] ELSE w END AS t FROM v),
+o AS (SELECT *, d BETWEEN 1.0 AND 4.0 AND len(t) >= 8 AS created FROM k),
+r AS (SELECT *, len(t) / 8.0::DOUBLE AS sec, list_sort(list_transform(range(len(t) // 8), lambda i: sqrt(list_sum(list_transform(t[i * 8 + 1:i * 8 + 8], lambda z: z::DOUBLE * z::DOUBLE)) / 8 + 1e-12))) AS rms FROM o WHERE created),
+m AS (SELECT *, CASE WHEN len(t) < 16 THEN 0.0 ELSE 20 * log10(list_avg(rms[-greatest(1, len(rms) // 10):]) / list_avg(rms[1:greatest(1, len(rms) // 10)])) END AS snr, len(list_filter(rms, lambda z: 20 * log10(z + 1e-12) < -40)) / len(rms)::DOUBLE AS quiet,
+  CASE WHEN p % 2 = 0 THEN 15.0::DOUBLE ELSE 0 END / length(replace(text, ' ', '')) AS cer FROM r),
+z AS (SELECT *, CASE WHEN sec < 1.0 OR sec > 4.0 THEN 'duration' WHEN snr < 0.75 THEN 'snr' WHEN quiet > 0.25 THEN 'silence' WHEN cer > 0.05 THEN 'cer' ELSE 'ok' END AS reason, {base._SPLIT.format('clip_id')} AS split FROM m)"""
+
+
+def _two_runs_sql() -> str:
+    """Every counter of both runs as a row: the second run skips what the first has done."""
+    has, said = "p IN (SELECT p FROM c)", "p IN (SELECT p FROM w)"
+    rows = []
+    for run, seen, new, old in ((1, "early", "early", "false"), (2, "true", "NOT early", "early")):
+        count = {
+            ("register", "added"): ("s", new), ("download", "downloaded"): ("s", f"media AND {new}"), ("download", "skipped"): ("s", f"media AND {old}"), ("download", "failed"): ("s", f"NOT media AND {seen}"), ("download", "total"): ("s", seen),
+            ("align", "aligned"): ("s", f"media AND {has} AND {new}"), ("align", "skipped"): ("s", f"media AND {has} AND {old}"), ("align", "failed"): ("s", f"media AND NOT {has} AND {seen}"), ("align", "fallback_used"): ("s", f"media AND {has} AND NOT {said} AND {new}"),
+            ("segment", "clips_created"): ("o", f"created AND {new}"), ("segment", "clips_skipped_existing"): ("o", f"created AND {old}"), ("segment", "clips_rejected"): ("o", f"NOT created AND {seen}"), ("segment", "sources_processed"): ("s", f"media AND {has} AND {seen}"),
+            ("qc", "total"): ("z", seen), ("qc", "passed"): ("z", f"reason = 'ok' AND {seen}"), **{("qc", f"failed_{x}"): ("z", f"reason = '{x}' AND {seen}") for x in ("duration", "snr", "silence", "cer")},
+            **{("dataset", x): ("z", f"reason = 'ok' AND split = '{x}' AND {seen}") for x in ("train", "val", "test")}, ("dataset", "total"): ("z", f"reason = 'ok' AND {seen}"),
+        }
+        rows += [f"SELECT {run} AS run, '{stage}' AS stage, '{outcome}' AS outcome, (SELECT count(*) FROM {where} WHERE {which})::DOUBLE AS n" for (stage, outcome), (where, which) in count.items()]
+        kept = f"FROM z WHERE reason = 'ok' AND {seen}"
+        rows.append(f"SELECT {run}, 'dataset', 'hours', coalesce((SELECT round(sum(sec) / 3600, 2) {kept}), 0)")
+        rows.append(f"SELECT {run}, 'dataset', 'vocab_size', (SELECT count(DISTINCT x) FROM (SELECT unnest(regexp_split_to_array(nfc_normalize(text), '\\s+')) AS x {kept}))")
+    return f"WITH {_TWO_RUNS} " + " UNION ALL ".join(rows)
+
+
+@_query(_two_runs_sql())
+def project_two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A project in two runs, with sources added between: conversations as transcripts of pages, embeddings as their sounds."""
+    def source(c: str) -> Column:
+        return F.concat(F.lit("src_"), F.format_string("%05d", c))
+
+    pages, turns = _table(spark, sf_dir, "pages"), _table(spark, sf_dir, "conversations")
+    start = F.col("turn") * 0.5
+    path = F.concat(F.lit("t/"), "conv_id", F.lit(".srt"))
+    cues = turns.filter(F.trim("text", F.lit(" \n\t")) != "").select(path.alias("path"), F.col("turn").alias("ord"), start.alias("start_sec"), (start + 0.25 * (F.length("text") % 24)).alias("end_sec"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
+    words = turns.filter("turn % 2 = 0 AND conv_id % 3 <> 1").select(source("conv_id").alias("source_id"), F.col("turn").alias("ord"), (start + 0.125).alias("start"), (start + 1.75).alias("end"))
+    sounds = _table(spark, sf_dir, "embeddings").filter("vec_id % 5 <> 4").select(source("vec_id").alias("source_id"), F.lit(8).alias("rate"), F.col("embedding").alias("samples"))
+    place = F.row_number().over(Window.partitionBy("path").orderBy("ord"))
+    heard = cues.select(F.regexp_extract("path", "[0-9]+", 0).cast("long").alias("conv"), place.alias("index"), "text")
+    heard = heard.select(manifest.clip_id(source("conv"), F.col("index")).alias("clip_id"), F.when(F.col("conv") % 2 == 0, F.concat("text", F.lit(" xxxxxxxxxxxxxxx"))).otherwise(F.col("text")).alias("hypothesis"))
+    settings = {"clip_min_seconds": 1.0, "clip_max_seconds": 4.0, "qc": {"min_snr_db": 0.75}}
+    own, runs = project.Project(spark, store.scratch(spark, "project"), settings, frame=8, threshold_db=-20.0), []
+    for chosen in (pages.filter("page_id % 3 <> 0"), pages):
+        urls = chosen.select(F.col("page_id").alias("ord"), "url")
+        added = own.register(urls, chosen.select(F.col("page_id").alias("ord"), F.concat(F.lit("t/"), "page_id", F.lit(".srt")).alias("path")))
+        runs.append({"register": {"added": added}} | own.run(sounds, srt.format_files(cues), words, heard, frontend=text.normalize))
+    return project.counted(spark, runs)
