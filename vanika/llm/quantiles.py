@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vanika.llm.common import crc_mod, cut, table
+from vanika.llm.common import crc_mod, cut, drop, table
 
 #: Bits of a digit: a prefix has at most 2 ** DIGIT children, so no join here has more rows of a key on either side.
 DIGIT = 8
@@ -29,6 +30,27 @@ def _meet(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return left.hint("merge").join(right.hint("merge"), on)
 
 
+def _heavy(n: str, error: float) -> Column:
+    """Whether a prefix of two values can be lighter than the error's share of n rows; if not, every value is a point by itself."""
+    return F.col(n) * (error / 2) >= 2
+
+
+def marked(counts: DataFrame, whole: Column) -> DataFrame:
+    """counts (k, x, c) with n, the rows of the group, and most, those of the largest group of the same whole.
+
+    A group of most rows is one key here: adaptive execution splits its side of the sorted join.
+    """
+    sums = counts.groupBy("k").agg(F.sum("c").alias("n")).withColumn("whole", whole)
+    sums = _meet(sums, sums.groupBy("whole").agg(F.max("n").alias("most")), ["whole"]).drop("whole")
+    return cut(_meet(counts, sums, ["k"]), "marked")
+
+
+def values_as_points(marks: DataFrame) -> DataFrame:
+    """k, lo, hi, c, rank, n: the points of groups (k, x, c, n) that are so small that all prefixes of several values are split."""
+    upto = F.sum("c").over(Window.partitionBy("k").orderBy("x"))
+    return marks.select("k", F.col("x").alias("lo"), F.col("x").alias("hi"), "c", upto.alias("rank"), "n")
+
+
 class Radix:
     """Exact counts of a set of groups' integers by prefixes of their bits.
 
@@ -100,26 +122,35 @@ class Radix:
 
 
 def merge(points: DataFrame, most: int = MOST) -> DataFrame:
-    """k, x, rmin, rmax, n: one summary of the points (k, lo, hi, c) of several of a group.
+    """k, x, rmin, rmax, at, exact, n: one summary of the points (k, lo, hi, c) of several of a group.
 
     Every point's greatest value is a point of the whole. rmin counts the rows of points that end at or before it, rmax also those of points that it lies in: the true rank is between. Of
-    each summary it lies in one point at most, of less than error * n rows, so the first rmin at or above a target is off by less than error times all rows. Over most
-    points: the last of each of most equal steps of rank, which adds n / most.
+    each summary it lies in one point at most, of less than error * n rows, so the first rmin at or above a target is off by less than error times all rows. at: the rows of points that end
+    there; exact: all points of the whole are single values, so at and rmin are true counts. Over most points: the last of each of most equal steps of rank, which adds n / most.
     """
-    ends = points.select("k", F.col("hi").alias("x"), F.col("c").alias("low"), F.lit(0).cast("long").alias("up"), F.lit(1).alias("kept"))
-    starts = points.select("k", F.col("lo").alias("x"), F.lit(0).cast("long").alias("low"), F.col("c").alias("up"), F.lit(0).alias("kept"))
-    places = ends.union(starts).groupBy("k", "x").agg(F.sum("low").alias("low"), F.sum("up").alias("up"), F.max("kept").alias("kept"))
+    wide = F.col("hi") > F.col("lo")
+    end = F.struct(F.col("hi").alias("x"), F.col("c").alias("low"), F.when(wide, 0).otherwise(F.col("c")).alias("up"), F.lit(1).alias("kept"), F.when(wide, 1).otherwise(0).alias("wide"))
+    start = F.struct(F.col("lo").alias("x"), F.lit(0).cast("long").alias("low"), F.col("c").alias("up"), F.lit(0).alias("kept"), F.lit(1).alias("wide"))
+    places = points.select("k", F.explode(F.when(wide, F.array(end, start)).otherwise(F.array(end))).alias("p")).select("k", "p.*")
+    places = places.groupBy("k", "x").agg(F.sum("low").alias("low"), F.sum("up").alias("up"), F.max("kept").alias("kept"), F.max("wide").alias("wide"))
     upto, of = Window.partitionBy("k").orderBy("x"), Window.partitionBy("k")
-    found = places.select("k", "x", "kept", F.sum("low").over(upto).alias("rmin"), F.sum("up").over(upto).alias("rmax"), F.sum("low").over(of).alias("n"), F.sum("kept").over(of).alias("m")).filter("kept = 1")
-    step = F.when(F.col("m") > most, F.floor((F.col("rmin") - 1) * most / F.col("n"))).otherwise(F.col("rmin"))
-    return found.groupBy("k", step.alias("step")).agg(F.max("x").alias("x"), F.max("rmin").alias("rmin"), F.max("rmax").alias("rmax"), F.max("n").alias("n")).drop("step")
+    found = places.select("k", "x", "kept", F.col("low").alias("at"), F.sum("low").over(upto).alias("rmin"), F.sum("up").over(upto).alias("rmax"), F.sum("low").over(of).alias("n"), F.sum("kept").over(of).alias("m"), F.max("wide").over(of).alias("wide")).filter("kept = 1")
+    step = F.floor((F.col("rmin") - 1) * most / F.col("n"))
+    next_step = F.lead(step).over(upto)
+    found = found.withColumn("last", F.when(F.col("m") > most, F.coalesce(next_step != step, F.lit(True))).otherwise(True)).filter("last")
+    return found.select("k", "x", "rmin", "rmax", "at", ((F.col("wide") == 0) & (F.col("m") <= most)).alias("exact"), "n")
 
 
 def quantiles(summary: DataFrame, parts: int = 4, least: int = 1) -> DataFrame:
-    """k, i, n, target, points, answer for each i below parts: the first point (x, rmin, n) whose rank is the target ceil(i * n / parts) or more. Groups under least rows have none."""
+    """k, i, n, target, points, answer, rmin, below (its rank, and that before it), exact for each i below parts: the first point (x, rmin, at, exact, n) whose rank is the target ceil(i * n / parts) or more. Groups under least rows have none."""
     target = [F.floor((F.lit(i) * F.col("n") + (parts - 1)) / parts).cast("long") for i in range(1, parts)]
-    rows = summary.groupBy("k").agg(F.count("*").alias("points"), F.max("n").alias("n"), *(F.min(F.when(F.col("rmin") >= t, F.col("x"))).alias(f"a{i}") for i, t in enumerate(target, 1))).filter(F.col("n") >= least)
-    return rows.select("k", "n", "points", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), t.alias("target"), F.col(f"a{i}").alias("answer")) for i, t in enumerate(target, 1)))).alias("q")).select("k", "q.i", "n", "q.target", "points", "q.answer")
+    # The first such point has the least rank and the least value: ranks grow with values.
+    first = [F.min(F.when(F.col("rmin") >= t, F.col("rmin"))).alias(f"r{i}") for i, t in enumerate(target, 1)]
+    found = [F.min(F.when(F.col("rmin") >= t, F.col("x"))).alias(f"a{i}") for i, t in enumerate(target, 1)]
+    low = [F.min(F.when(F.col("rmin") >= t, F.col("rmin") - F.col("at"))).alias(f"b{i}") for i, t in enumerate(target, 1)]
+    rows = summary.groupBy("k").agg(F.count("*").alias("points"), F.max("n").alias("n"), F.min("exact").alias("exact"), *first, *found, *low).filter(F.col("n") >= least)
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), t.alias("target"), F.col(f"a{i}").alias("answer"), F.col(f"r{i}").alias("rmin"), F.col(f"b{i}").alias("below")) for i, t in enumerate(target, 1))))
+    return rows.select("k", "n", "points", "exact", each.alias("q")).select("k", "q.i", "n", "q.target", "points", "q.answer", "q.rmin", "q.below", "exact")
 
 
 #: Batches that the two streams' rows fall into, and the largest money that counts.
@@ -127,9 +158,13 @@ BATCHES, LARGEST = 4, 1e13
 
 
 def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """stream, grp, batch, x, w of clicks (the first arrived row of each click_id) and of sale lines with their items; w: how many rows a row stands for."""
-    first = table(spark, sf_dir, "clicks").groupBy("click_id").agg(F.min(F.struct("arrived_at", "ts", "client_id", "value")).alias("r"))
-    clicks = first.select(F.lit("value").alias("stream"), F.col("r.client_id").cast("string").alias("grp"), crc_mod("click_id", BATCHES).alias("batch"), F.col("r.value").alias("money"), F.lit(1).cast("long").alias("w"))
+    """stream, grp, batch, x, w of clicks (one row of each click_id) and of sale lines with their items; w: how many rows a row stands for.
+
+    Rows of one click_id are copies; if they weren't, the one of the least hash counts.
+    """
+    chosen = F.xxhash64("arrived_at", "ts", "client_id", "value")
+    first = table(spark, sf_dir, "clicks").groupBy("click_id").agg(F.min_by("client_id", chosen).alias("client_id"), F.min_by("value", chosen).alias("value"))
+    clicks = first.select(F.lit("value").alias("stream"), F.col("client_id").cast("string").alias("grp"), crc_mod("click_id", BATCHES).alias("batch"), F.col("value").alias("money"), F.lit(1).cast("long").alias("w"))
     # An item's lines are summed up first: then no item has more than BATCHES of them.
     lines = table(spark, sf_dir, "sale_lines").groupBy("item_id", crc_mod("vendor_id", BATCHES).alias("batch")).agg(F.count("*").alias("w"))
     sold = _meet(lines, table(spark, sf_dir, "items").select("item_id", "brand", "price"), ["item_id"])
@@ -138,21 +173,42 @@ def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("stream", "grp", F.col("batch").cast("int").alias("batch"), (F.floor(F.col("money") * 100 + 0.5) + F.col("batch") * 1000).cast("long").alias("x"), "w")
 
 
+#: Bits of a key that tell a whole's batches (from 0) apart; the whole itself has none of them.
+BATCH_BITS = 8
+
+
+def _named(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """stream, grp and their number (a key without its batch), and own with keys k: plain integers by the first hash that tells all groups apart."""
+    for seed in itertools.count():
+        number = F.shiftleft(F.xxhash64("stream", "grp", F.lit(seed)), BATCH_BITS)
+        names = cut(own.select("stream", "grp").distinct().withColumn("whole", number), "names")
+        if names.groupBy("whole").count().filter("count > 1").isEmpty():
+            return names, own.select(number.bitwiseOR(F.col("batch").cast("long") + 1).alias("k"), "x", "c")
+        drop(names)
+    raise AssertionError
+
+
 def report(rows: DataFrame, error: float = 0.02, parts: int = 4, least: int = 20) -> DataFrame:
     """Quantiles of every batch of each group and of the whole (batch -1), beside exact ranks.
 
-    rows: stream, grp, batch, x, w. The whole's summary is merged of the batches' summaries only; exact_x, n_below and n_upto come from exact counts of all rows, by descents of the same
-    digits, to hold the answers against. Nulls in x or w: the row doesn't count; null groups are groups. No rows: no rows. Other columns are ignored.
+    rows: stream, grp, batch (from 0, under 255), x, w. The whole's summary is merged of the batches' summaries only. exact_x, n_below and n_upto are exact: those of a summary that has
+    every value are its own, the others come from counts of all rows, by descents of the same digits. Nulls in x or w: the row doesn't count; null groups are groups. No rows: no rows. Other columns
+    are ignored.
     """
-    own = counted(rows, ["stream", "grp", "batch"], weight="w")
-    all_of = F.struct(F.col("k.stream").alias("stream"), F.col("k.grp").alias("grp"), F.lit(-1).alias("batch")).alias("k")
-    own = cut(own.select(F.struct(F.col("k.stream").alias("stream"), F.col("k.grp").alias("grp"), F.col("k.batch").cast("int").alias("batch")).alias("k"), "x", "c"), "batches")
-    exact = Radix(own.union(own.groupBy(all_of, "x").agg(F.sum("c").alias("c"))))
-    points = cut(exact.points(F.col("k.batch") >= 0, error), "points")
-    each = quantiles(points.select("k", F.col("hi").alias("x"), F.col("rank").alias("rmin"), "n"), parts, least)
-    whole = quantiles(merge(points.select(all_of, "lo", "hi", "c")), parts, least)
-    found = cut(each.union(whole), "quantiles")
-    met = _meet(_meet(found, exact.nth(found).drop("target"), ["k", "i"]), exact.ranks(found).drop("answer"), ["k", "i"])
+    counts = counted(rows, ["stream", "grp", "batch"], weight="w")
+    own = cut(counts.select("k.stream", "k.grp", "k.batch", "x", "c"), "batches")
+    names, base = _named(own)
+    whole = F.shiftleft(F.shiftright("k", BATCH_BITS), BATCH_BITS)
+    marks = marked(base, whole)
+    heavy = _heavy("n", error)
+    exact = Radix(marks.filter(heavy).select("k", "x", "c").union(marks.filter(_heavy("most", error)).groupBy(whole.alias("k"), "x").agg(F.sum("c").alias("c"))))
+    points = cut(exact.points(F.col("k") != whole, error).unionByName(values_as_points(marks.filter(~heavy))), "points")
+    each = points.select("k", F.col("hi").alias("x"), F.col("rank").alias("rmin"), F.col("c").alias("at"), (F.col("lo") == F.col("hi")).alias("exact"), "n")
+    found = cut(quantiles(each, parts, least).union(quantiles(merge(points.select(whole.alias("k"), "lo", "hi", "c")), parts, least)), "quantiles")
+    sure = found.filter("exact").select("k", "i", "n", "target", F.col("answer").alias("exact_x"), "points", "answer", F.col("below").alias("n_below"), F.col("rmin").alias("n_upto"))
+    open_ = found.filter("NOT exact")
+    met = _meet(_meet(open_, exact.nth(open_).drop("target"), ["k", "i"]), exact.ranks(open_).drop("answer"), ["k", "i"])
+    rows = _meet(sure.unionByName(met.select(*sure.columns)).withColumn("whole", whole), names, ["whole"])
     off = F.greatest(F.lit(0).cast("long"), F.col("n_below") + 1 - F.col("target"), F.col("target") - F.col("n_upto"))
-    rows = met.withColumn("rank_error", off)
-    return rows.select("k.stream", "k.grp", "k.batch", "i", "n", "target", "exact_x", "points", "answer", "n_below", "n_upto", "rank_error", (1000 * F.col("rank_error") <= round(1000 * error) * F.col("n")).alias("within"))
+    batch = (F.col("k").bitwiseAND(F.lit((1 << BATCH_BITS) - 1)) - 1).cast("int")
+    return rows.withColumn("rank_error", off).select("stream", "grp", batch.alias("batch"), "i", "n", "target", "exact_x", "points", "answer", "n_below", "n_upto", "rank_error", (1000 * F.col("rank_error") <= round(1000 * error) * F.col("n")).alias("within"))
