@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vanika.functions import text, tokens
 from vanika.operators import manifest, quality
 from vanika.plans import flows
-from vanika.sources import files, reports, srt
+from vanika.sources import files, media, reports, srt
 
 
 def test_long_index_line_fails_no_file(spark):
@@ -47,8 +47,7 @@ def test_settings_engine_dictionary_and_sounds(spark, tmp_path):
         reports.read_engine(spark, str(tmp_path / "e.json"))
     reports.write_dictionary({"B": "2", "a": "1"}, str(tmp_path / "d.json"))
     assert files.read_dictionary(spark, str(tmp_path / "d.json")) == {"a": "1", "b": "2"}
-    sounds = spark.createDataFrame([("s.wav", 8000, [0.0, 0.5, -0.5, 2.0]), ("n.wav", 8000, None)], "name string, rate int, samples array<float>")
-    reports.write_files(reports.wav_files(sounds), str(tmp_path / "wav"))
+    media.write_sounds(spark.createDataFrame([("s.wav", 8000, [0.0, 0.5, -0.5, 2.0]), ("n.wav", 8000, None)], "path string, rate int, samples array<float>"), str(tmp_path / "wav"))
     (back,) = files.read_wav(spark, str(tmp_path / "wav")).collect()
     assert back["rate"] == 8000 and back["samples"] == pytest.approx([0.0, 0.5, -0.5, 1.0], abs=1e-3)
 

@@ -85,21 +85,18 @@ def _below_billion(n: Column) -> Column:
     return F.array_join(F.transform(F.filter(parts, lambda p: p["k"] > 0), lambda p: F.concat(_below_100(p["k"]), p["unit"])), " ")
 
 
-#: Groups of nine digits that are spelled; a longer number stays as it is.
-GROUPS = 4
-
-
 def spell_digits(digits: Column) -> Column:
-    """The cardinal of a run of digits, which may be longer than any integer type."""
+    """The cardinal of a run of digits of any length: nine digits at a time from the right, without any number type that ends somewhere."""
     def spelled(plain: Column) -> Column:
-        padded = F.lpad(plain, 9 * GROUPS, "0")
-        groups = F.transform(F.array(*(F.lit(9 * k + 1) for k in range(GROUPS))), lambda at: _below_billion(F.substring(padded, at, F.lit(9)).cast("long")))
+        n = F.ceil(F.length(plain) / 9).cast("int")
+        padded = F.lpad(plain, 9 * n, F.lit("0"))
+        groups = F.transform(F.sequence(F.lit(0), n - 1), lambda k: _below_billion(F.substring(padded, 9 * k + 1, F.lit(9)).cast("long")))
         # What is higher is so many times a thousand million, whatever the next group is.
         return F.aggregate(groups, F.lit(""), lambda higher, g: F.concat_ws(" ", F.when(higher != "", F.concat(higher, F.lit(f" {ARAB}"))), F.when(g != "", g)))
 
     def of(d: Column) -> Column:
         plain = F.regexp_replace(F.translate(d, _DEVANAGARI_DIGITS, "0123456789"), "^0+", "")
-        return _let(plain, lambda p: F.when(p == "", CARDINALS[0]).when(F.length(p) > 9 * GROUPS, d).otherwise(spelled(p)))
+        return _let(plain, lambda p: F.when(p == "", CARDINALS[0]).otherwise(spelled(p)))
 
     return _let(digits, of)
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,32 +18,44 @@ def fit_to_cue(cues: DataFrame, rate: int, max_ratio: float = 1.3) -> DataFrame:
     """file, ord, start_sample, samples, mode of cues (file, ord, start_sec, end_sec, gen_samples), and the file's total_samples.
 
     A clip starts at its cue or where the one before ends. One that is too long even at max_ratio stays whole, one somewhat too long is
-    stretched, a shorter one is padded. Each start depends on the lengths before it, so a file's cues are folded in order; files are
-    independent of each other.
+    stretched, a shorter one is padded. Each start depends on the lengths before it, so a file's cues are gone through in order: they lie sorted in one partition, and
+    all that is held of a file, however long, is where its last clip ends. Files are independent of each other. Cues of one ord go by their times. A cue without times or samples is left out.
     """
-    one = F.struct("ord", "start_sec", "end_sec", "gen_samples")
-    files = cues.groupBy("file").agg(F.array_sort(F.collect_list(one)).alias("cues"), F.max("end_sec").alias("last"))
-    kind = "array<struct<ord:bigint,start_sample:bigint,samples:bigint,mode:string>>"
-    seed = F.struct(F.lit(0.0).alias("cursor"), F.array().cast(kind).alias("out"))
-
-    def step(acc: Column, c: Column) -> Column:
-        start = F.greatest(c["start_sec"], acc["cursor"])
-        allotted = F.greatest(F.lit(LEAST), c["end_sec"] - start)
-        length = c["gen_samples"].cast("double") / rate
-        ratio = length / allotted
-        # A stretched clip's ratio is held within 0.5 and 2.
-        stretched = F.floor(c["gen_samples"] / F.least(F.lit(2.0), F.greatest(F.lit(0.5), ratio))).cast("long")
-        padded = c["gen_samples"].cast("long") + F.greatest(F.lit(0), ((allotted - length) * rate).cast("long"))
-        mode = F.when(ratio > max_ratio, "whole").when(ratio > EVEN, "stretched").otherwise("padded")
-        samples = F.when(ratio > max_ratio, c["gen_samples"].cast("long")).when(ratio > EVEN, stretched).otherwise(padded)
-        first = (start * rate).cast("long")
-        row = F.struct(c["ord"].cast("long").alias("ord"), first.alias("start_sample"), samples.alias("samples"), mode.alias("mode"))
-        return F.struct(((first + samples) / F.lit(float(rate))).alias("cursor"), F.concat(acc["out"], F.array(row)).cast(kind).alias("out"))
-
-    done = files.select("file", "last", F.aggregate("cues", seed, step, lambda a: a["out"]).alias("out"))
-    ends = F.array_max(F.transform("out", lambda r: r["start_sample"] + r["samples"]))
-    total = F.greatest(((F.col("last") + TAIL) * rate).cast("long"), ends)
-    return done.select("file", total.alias("total_samples"), F.explode("out").alias("r")).select("file", "total_samples", "r.*")
+    kinds = cues.schema["file"].dataType.simpleString()
+    rows = cues.select("file", F.col("ord").cast("long").alias("ord"), *(F.col(c).cast("double").alias(c) for c in ("start_sec", "end_sec")), F.col("gen_samples").cast("long").alias("gen_samples"))
+    rows = rows.filter("start_sec IS NOT NULL AND end_sec IS NOT NULL AND gen_samples IS NOT NULL")
+    parts = int(cues.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def place(start: float, end: float, made: int, cursor: float) -> tuple[int, int, str]:
+        start = max(start, cursor)
+        allotted, length = max(LEAST, end - start), made / rate
+        ratio, first = length / allotted, int(start * rate)
+        if ratio > max_ratio:
+            return first, made, "whole"
+        if ratio > EVEN:  # a stretched clip's ratio is held within 0.5 and 2
+            return first, math.floor(made / min(2.0, max(0.5, ratio))), "stretched"
+        return first, made + max(0, int((allotted - length) * rate)), "padded"
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: object = each  # no file
+        cursor = 0.0
+        for batch in batches:
+            firsts, lengths, modes = [], [], []
+            for file, start, end, made in zip(*(batch.column(c).to_pylist() for c in ("file", "start_sec", "end_sec", "gen_samples")), strict=True):
+                if file != now:
+                    now, cursor = file, 0.0
+                first, n, mode = place(start, end, made, cursor)
+                cursor = (first + n) / rate
+                firsts.append(first)
+                lengths.append(n)
+                modes.append(mode)
+            yield pa.record_batch({**{c: batch.column(c) for c in ("file", "ord", "end_sec")}, "start_sample": pa.array(firsts, pa.int64()), "samples": pa.array(lengths, pa.int64()), "mode": pa.array(modes, pa.string())})
+
+    dealt = rows.repartition(parts, "file").sortWithinPartitions("file", "ord", "start_sec", "end_sec", "gen_samples")
+    placed = dealt.mapInArrow(each, f"file {kinds}, ord long, end_sec double, start_sample long, samples long, mode string")
+    file = Window.partitionBy("file")
+    total = F.greatest(((F.max("end_sec").over(file) + TAIL) * rate).cast("long"), F.max(F.col("start_sample") + F.col("samples")).over(file))
+    return placed.select("file", total.alias("total_samples"), "ord", "start_sample", "samples", "mode")
 
 
 def natural(cues: DataFrame, rate: int, gap_ms: int) -> DataFrame:

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import io
 import json
-import wave
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vanika.sources.media import decode_wav
+
 SOURCES = "sources array<struct<id:string,url:string,transcript_path:string,audio_path:string,duration_sec:double,status:struct<downloaded:boolean,aligned:boolean,segmented:boolean,qc_passed:boolean>,error:string>>"
 QC_REPORT = "clip_id string, source_id string, duration double, snr_db double, silence_ratio double, whisper_cer double, passed int, reason string"
 SPLIT = "audio_path string, raw_text string, processed_text string, duration double, source_id string"
@@ -114,22 +113,12 @@ def read_test_set(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_wav(spark: SparkSession, path: str) -> DataFrame:
-    """path, rate, samples (mono, -1 to 1) of PCM files; a file that can't be read has null samples."""
+    """path, rate, samples (mono, -1 to 1) of PCM files; a file that can't be read has null samples. Through Spark's own readers; media.read_sounds() has a source of its own."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                try:
-                    with wave.open(io.BytesIO(content)) as w:
-                        width, channels, rate = w.getsampwidth(), w.getnchannels(), w.getframerate()
-                        frames = w.readframes(w.getnframes())
-                    if width == 3:  # the missing low byte is zero
-                        frames, width = np.pad(np.frombuffer(frames, np.uint8).reshape(-1, 3), ((0, 0), (1, 0))).tobytes(), 4
-                    raw = np.frombuffer(frames, {1: "u1", 2: "<i2", 4: "<i4"}[width]).astype(np.float64)
-                    raw = (raw - 128) / 128 if width == 1 else raw / float(1 << (8 * width - 1))
-                    samples = raw.reshape(-1, channels).mean(axis=1).astype(np.float32)
-                except (wave.Error, EOFError, KeyError, ValueError):
-                    rate, samples = None, None
+                rate, samples = decode_wav(content)
                 yield pa.record_batch({"path": [name], "rate": pa.array([rate], pa.int32()), "samples": pa.array([samples], pa.list_(pa.float32()))})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(decode, "path string, rate int, samples array<float>")

@@ -1,15 +1,10 @@
-"""What a project keeps beside its tables: evaluation reports, training readiness, engine descriptions, settings, dictionaries, sounds."""
+"""What a project keeps beside its tables: evaluation reports, training readiness, engine descriptions, settings, dictionaries."""
 
 from __future__ import annotations
 
-import io
 import json
-import wave
-from collections.abc import Iterator
 from pathlib import Path
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,37 +113,3 @@ def write_test_set(items: DataFrame, path: str) -> None:
     """One JSON document of ord, id, category, text; a test set is a project's own small table."""
     rows = items.agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id", "category", "text"))), lambda x: F.struct(x["id"].alias("id"), x["category"].alias("category"), x["text"].alias("text"))).alias("items"))
     rows.select(F.to_json(F.struct("items")).alias("value")).coalesce(1).write.text(path)
-
-
-def wav_files(sounds: DataFrame) -> DataFrame:
-    """name, content: RIFF files of 16-bit samples from name, rate, samples (mono, -1 to 1; louder is cut off); null samples: null."""
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for rate, samples in zip(batch.column("rate").to_pylist(), batch.column("samples"), strict=True):
-                if not samples.is_valid or rate is None:
-                    out.append(None)
-                    continue
-                data = io.BytesIO()
-                with wave.open(data, "wb") as w:
-                    w.setparams((1, 2, rate, 0, "NONE", ""))
-                    w.writeframes(np.clip(np.rint(np.asarray(samples.values, np.float64) * 32767), -32768, 32767).astype("<i2").tobytes())
-                out.append(data.getvalue())
-            yield pa.record_batch({"name": batch.column("name"), "content": pa.array(out, pa.binary())})
-
-    return sounds.select("name", F.col("rate").cast("int").alias("rate"), F.col("samples").cast("array<float>").alias("samples")).mapInArrow(encode, "name string, content binary")
-
-
-def write_files(files: DataFrame, folder: str) -> None:
-    """Each content under its name in a folder that all executors see. A file is replaced whole, so a task that runs twice does no harm."""
-
-    def write(rows: Iterator) -> None:
-        for r in rows:
-            if r["content"] is not None:
-                new = Path(folder, f".{r['name']}.new")
-                new.write_bytes(r["content"])
-                new.replace(Path(folder, r["name"]))
-
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    files.foreachPartition(write)

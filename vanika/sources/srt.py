@@ -24,13 +24,17 @@ def _strip(text: Column) -> Column:
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """path, ord, index, start_sec, end_sec, text, error: the cues of each file (path, value), in order.
+    """path, ord, index, start_sec, end_sec, text, error: the cues of each file (path, value), in order. See parse_blocks()."""
+    text = _strip(F.replace(F.replace(F.regexp_replace("value", "^﻿", ""), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")))
+    return parse_blocks(files.select("path", F.posexplode(F.split(text, "\n\n")).alias("ord", "block")))
+
 
-    Blocks lie between empty lines. A block needs two lines that aren't blank, one arrow and text. A missing number is the count of cues so far plus one; one that no
+def parse_blocks(blocks: DataFrame) -> DataFrame:
+    """path, ord, index, start_sec, end_sec, text, error: the cues of each file's blocks (path, ord, block), which lie between empty lines.
+
+    A block needs two lines that aren't blank, one arrow and text. A missing number is the count of cues so far plus one; one that no
     long holds is null. A block with a malformed stamp is left out; a file with a time line of two arrows or more is one row with an error.
     """
-    text = _strip(F.replace(F.replace(F.regexp_replace("value", "^﻿", ""), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")))
-    blocks = files.select("path", F.posexplode(F.split(text, "\n\n")).alias("ord", "block"))
     lines = F.filter(F.split("block", "\n"), lambda x: _strip(x) != "")
     rows = blocks.select("path", "ord", lines.alias("lines")).filter(F.size("lines") >= 2)
     first = _strip(F.get("lines", F.lit(0)))
