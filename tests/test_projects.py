@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from vanika.functions import text, tokens
-from vanika.operators import manifest, quality
-from vanika.plans import flows
-from vanika.sources import files, media, reports, srt
+from vanika.operators import evaluate, manifest, quality
+from vanika.plans import flows, project
+from vanika.sources import files, media, reports, settings, srt
 
 
 def test_long_index_line_fails_no_file(spark):
@@ -37,16 +37,20 @@ def test_reports(spark, tmp_path):
 
 
 def test_settings_engine_dictionary_and_sounds(spark, tmp_path):
-    reports.write_settings({"name": "p", "qc": {"min_snr_db": 10.0}}, str(tmp_path / "c.yaml"))
-    got = reports.read_settings(str(tmp_path / "c.yaml"))
-    assert got["name"] == "p" and got["qc"] == {"min_snr_db": 10.0, "max_cer_vs_whisper": 0.05, "max_silence_ratio": 0.25} and got["clip_min_seconds"] == 1.5
-    reports.write_engine({"project_name": "p"}, str(tmp_path / "e.json"))
-    assert reports.read_engine(spark, str(tmp_path / "e.json"))["project_name"] == "p"
-    reports.write_engine({"model_type": "other"}, str(tmp_path / "e.json"))
+    paths = settings.create(str(tmp_path), "p")
+    assert settings.create(str(tmp_path), "p") == paths and settings.read(paths.config)["name"] == "p"
+    settings.write({"name": "p", "qc": {"min_snr_db": 10.0}, "own": {"a": [1, 2], "b": "x: y # z"}}, paths.config)
+    got = settings.read(paths.config)
+    assert got["name"] == "p" and got["qc"] == {"min_snr_db": 10.0, "max_cer_vs_whisper": 0.05, "max_silence_ratio": 0.25} and got["clip_min_seconds"] == 1.5 and got["own"] == {"a": [1, 2], "b": "x: y # z"}
+    with pytest.raises(FileNotFoundError):
+        settings.read(str(tmp_path / "none.yaml"))
+    reports.write_engine(spark, {"project_name": "p"}, str(tmp_path / "e"))
+    assert reports.read_engine(spark, str(tmp_path / "e"))["project_name"] == "p"
+    reports.write_engine(spark, {"model_type": "other"}, str(tmp_path / "e"))
     with pytest.raises(ValueError, match="model_type"):
-        reports.read_engine(spark, str(tmp_path / "e.json"))
-    reports.write_dictionary({"B": "2", "a": "1"}, str(tmp_path / "d.json"))
-    assert files.read_dictionary(spark, str(tmp_path / "d.json")) == {"a": "1", "b": "2"}
+        reports.read_engine(spark, str(tmp_path / "e"))
+    reports.write_dictionary(spark, {"B": "2", "a": "1"}, str(tmp_path / "d"))
+    assert files.read_dictionary(spark, str(tmp_path / "d")) == {"a": "1", "b": "2"}
     media.write_sounds(spark.createDataFrame([("s.wav", 8000, [0.0, 0.5, -0.5, 2.0]), ("n.wav", 8000, None)], "path string, rate int, samples array<float>"), str(tmp_path / "wav"))
     (back,) = files.read_wav(spark, str(tmp_path / "wav")).collect()
     assert back["rate"] == 8000 and back["samples"] == pytest.approx([0.0, 0.5, -0.5, 1.0], abs=1e-3)
@@ -91,3 +95,95 @@ def test_fixed_decimals_are_exact(spark):
     values = [0.00625, 38.3125, 1 / 160, 0.5, 0.0005, 0.0015, 2.5, -0.00625, 1234.56785, *(k / 7e3 for k in range(200)), *(k / 16000 for k in range(300))]
     rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", files.fixed("v", 4).alias("a"), files.fixed("v", 3).alias("b")).collect()
     assert [(r["a"], r["b"]) for r in rows] == [(f"{r['v']:.4f}", f"{r['v']:.3f}") for r in rows]
+
+
+@pytest.mark.parametrize(
+    "given,want",
+    [
+        ("name: p\nlanguage: hi # Hindi\n\nqc:\n  min_snr_db: 10.5\n  deep:\n      a: ~\n      b: 1_000\n  on: true\ntail: 'it''s'\n", {"name": "p", "language": "hi", "qc": {"min_snr_db": 10.5, "deep": {"a": None, "b": 1000}, "on": True}, "tail": "it's"}),
+        ("---\na:\nb:\n- 1\n- x y\nc:\n  - 2e-4\n  - \"q\"\n", {"a": None, "b": [1, "x y"], "c": [2e-4, "q"]}),
+        ('{"a": {"b": 1}}', {"a": {"b": 1}}),
+        ("", {}),
+    ],
+)
+def test_settings_need_no_other_package(given, want):
+    assert settings.loads(given) == want and settings.loads(settings.dumps(want)) == want
+
+
+def test_settings_that_are_none():
+    with pytest.raises(ValueError, match="line 2"):
+        settings.loads("a: 1\n? b\n")
+
+
+def test_formatters_are_asked_by_name(spark, tmp_path):
+    rows = spark.createDataFrame([("a.wav", "raw", "said", 1.0, "s", "train"), ("b.wav", "raw | x", "", 1.0, "s", "train"), ("", "raw", "x", 1.0, "s", "train"), ("c.wav", "r", "v", 1.0, "s", "val")], files.SPLIT + ", split string")
+    files.write_splits(rows, f"{tmp_path}/training_set")
+    assert sorted(tuple(x)[1] for x in flows.samples(spark, str(tmp_path), "train").collect()) == ["raw | x", "said"]
+    flows.register_formatter("hindi_csv", flows.FORMATTERS["hindi_csv"])
+    with pytest.raises(ValueError, match="another"):
+        flows.register_formatter("hindi_csv", lambda *a: rows)
+    flows.register_formatter("all", lambda spark, root, split: rows)
+    assert flows.samples(spark, "x", "train", "all").count() == 4
+    with pytest.raises(ValueError, match="no formatter"):
+        flows.samples(spark, "x", "train", "none")
+
+
+def test_by_category(spark):
+    items = spark.createDataFrame([("a", "narration"), ("b", "long")], "id string, category string")
+    assert [x["id"] for x in evaluate.by_category(items, "long").collect()] == ["b"]
+    with pytest.raises(ValueError, match="category"):
+        evaluate.by_category(items, "other")
+
+
+@pytest.fixture
+def inputs(spark):
+    """Three sources: two with sound, one of which has a transcript that can't be read."""
+    wave = [((k * 7919) % 200 - 100) / 100 if 1 < k // 64 % 3 else 0.001 for k in range(12 * 64)]
+    sounds = spark.createDataFrame([(f"src_{k:05d}", 64, wave if k < 2 else []) for k in range(3)], "source_id string, rate int, samples array<float>")
+    cues = "\n\n".join(f"{k + 1}\n00:00:0{2 * k},000 --> 00:00:0{2 * k + 2},000\nआज {k}" for k in range(4))
+    scripts = spark.createDataFrame([("0.srt", cues), ("1.srt", "1\n00:00:01,000 --> 00:00:02,000 --> x\nt")], "path string, value string")
+    urls = spark.createDataFrame([(k, f"u{k}") for k in range(3)], "ord long, url string")
+    return urls, spark.createDataFrame([(k, f"{k}.srt") for k in range(3)], "ord long, path string"), sounds, scripts
+
+
+def test_a_second_run_does_what_is_missing(spark, tmp_path, inputs):
+    urls, listing, sounds, scripts = inputs
+    own = project.Project(spark, str(tmp_path / "p"), {"clip_min_seconds": 1.0, "qc": {"min_snr_db": 0.0, "max_silence_ratio": 1.0}}, frame=8, threshold_db=-200.0)
+    with pytest.raises(ValueError, match="register"):
+        own.run(sounds, scripts)
+    with pytest.raises(Exception, match="counts differ"):
+        own.register(urls, listing.limit(1))
+    assert own.register(urls, listing) == 3 and own.register(urls, listing) == 0
+    first = own.run(sounds, scripts)
+    assert first["download"] == {"downloaded": 2, "skipped": 0, "failed": 1, "total": 3} and first["align"] == {"aligned": 1, "skipped": 0, "fallback_used": 1, "failed": 1}
+    assert first["segment"]["clips_created"] == 4 and first["qc"]["passed"] == 4 and first["dataset"]["total"] == 4
+    rows = {x["id"]: x for x in own.sources().collect()}
+    assert rows["src_00001"]["error"] == "alignment failed: two arrows" and rows["src_00002"]["error"] == "no sound" and rows["src_00000"]["qc_passed"] and not rows["src_00001"]["aligned"]
+    good = scripts.withColumn("value", F.replace("value", F.lit(" --> x"), F.lit("")))
+    second = own.run(sounds, good)
+    assert second["align"] == {"aligned": 1, "skipped": 1, "fallback_used": 1, "failed": 0}
+    assert second["segment"] == {"clips_created": 1, "clips_skipped_existing": 4, "clips_rejected": 0, "sources_processed": 2} and second["dataset"]["total"] == 5
+    stricter = project.Project(spark, str(tmp_path / "p"), {"clip_min_seconds": 1.0, "clip_max_seconds": 1.5, "qc": {"min_snr_db": 0.0, "max_silence_ratio": 1.0}}, frame=8, threshold_db=-200.0)
+    third = stricter.run(sounds, good)
+    assert third["qc"]["failed_duration"] == 4 and third["qc"]["passed"] == 1 and third["dataset"]["total"] == 1
+    assert own.run(sounds, good)["dataset"]["total"] == 5
+
+
+def test_a_broken_run_goes_on(spark, tmp_path, inputs, monkeypatch):
+    urls, listing, sounds, scripts = inputs
+    own = project.Project(spark, str(tmp_path / "p"), {"clip_min_seconds": 1.0, "qc": {"min_snr_db": 0.0, "max_silence_ratio": 1.0}}, frame=8, threshold_db=-200.0)
+    own.register(urls, listing)
+    own.download(sounds)
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(project.Project, "_update", broken)
+        with pytest.raises(RuntimeError):
+            own.align(scripts, None)
+    (tmp_path / "p" / "clips" / "part_of=1").mkdir(parents=True)  # begun, never committed
+    (tmp_path / "p" / "clips" / "part_of=1" / "junk.parquet").write_bytes(b"x")
+    found = own.run(sounds, scripts)
+    assert found["align"] == {"aligned": 0, "skipped": 1, "fallback_used": 0, "failed": 1} and found["segment"]["clips_created"] == 4
+    assert own.sources().filter("aligned").count() == 1 and own.training().count() == 4

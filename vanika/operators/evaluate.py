@@ -29,6 +29,13 @@ def check_category(category: Column) -> Column:
     return F.assert_true(category.isin(CATEGORIES), F.concat(F.lit("category must be one of five, got "), F.coalesce(category, F.lit("null"))))
 
 
+def by_category(items: DataFrame, category: str) -> DataFrame:
+    """The items of one category; an error if it is none of the five."""
+    if category not in CATEGORIES:
+        raise ValueError(f"category must be one of {CATEGORIES}, got {category!r}")
+    return items.filter(F.col("category") == category)
+
+
 def metrics(items: DataFrame) -> DataFrame:
     """items (reference, hypothesis, generation_sec, duration_sec, ...) with cer, wer, rtf; without a hypothesis both rates are null."""
     known = F.col("hypothesis").isNotNull()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vanika.functions import audio, text, tokens
@@ -69,9 +69,25 @@ def prepare(train: DataFrame, val: DataFrame, path: str | None = None) -> DataFr
     return row
 
 
-#: Readers of a split's samples by name: a caller may add its own.
-FORMATTERS: dict[str, Callable[..., DataFrame]] = {}
+def _pipe_table(spark: SparkSession, root: str, split: str) -> DataFrame:
+    """A split that files.write_splits() has written below the project's training_set."""
+    from vanika.sources import files
+
+    return files.training_samples(files.read_split(spark, f"{root}/training_set/split={split}"), root, "hindi")
+
+
+#: Readers of a split's samples (session, project's root, split) by the name that a training run asks for.
+FORMATTERS: dict[str, Callable[[SparkSession, str, str], DataFrame]] = {"hindi_csv": _pipe_table}
+
+
+def register_formatter(name: str, reader: Callable[[SparkSession, str, str], DataFrame]) -> None:
+    """Add a reader. One of the same name stays as it is if it is the same, and is an error if not."""
+    if FORMATTERS.setdefault(name, reader) is not reader:
+        raise ValueError(f"there is another formatter of the name {name!r}")
 
 
-def register_formatter(name: str, reader: Callable[..., DataFrame]) -> None:
-    FORMATTERS[name] = reader
+def samples(spark: SparkSession, root: str, split: str, formatter: str = "hindi_csv") -> DataFrame:
+    """audio_file, text, speaker_name of a project's split, by the formatter of that name."""
+    if formatter not in FORMATTERS:
+        raise ValueError(f"no formatter {formatter!r}; there are {sorted(FORMATTERS)}")
+    return FORMATTERS[formatter](spark, root.rstrip("/"), split)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +18,8 @@ ENGINE = {"engine_version": 1, "model_type": "vits", "language": "hi"}
 SETTINGS = {
     "name": None, "language": "hi", "target_sample_rate": 24000, "target_loudness_lufs": -23.0, "clip_min_seconds": 1.5, "clip_max_seconds": 15.0,
     "qc": {"min_snr_db": 30.0, "max_cer_vs_whisper": 0.05, "max_silence_ratio": 0.25},
+    "training": {"model": "vits", "batch_size": 16, "grad_accum": 2, "max_steps": 500_000, "learning_rate": 2e-4, "warmup_steps": 4000, "checkpoint_every": 10_000, "mixed_precision": "bf16"},
+    "inference": {"roundtrip_validation": True, "roundtrip_cer_threshold": 0.02, "roundtrip_max_retries": 2},
 }
 
 
@@ -82,31 +83,18 @@ def read_engine(spark: SparkSession, path: str) -> dict:
     return found
 
 
-def write_engine(engine: dict, path: str) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(ENGINE | engine, ensure_ascii=False, indent=2), encoding="utf-8")
+def write_engine(spark: SparkSession, engine: dict, path: str) -> None:
+    """An engine's description as one JSON document, in a folder that Spark writes."""
+    _write_document(spark, ENGINE | engine, path)
 
 
-def read_settings(path: str) -> dict:
-    """A project's settings (YAML, or JSON, which YAML includes) over those of a new one, nested ones too."""
-    text = Path(path).read_text(encoding="utf-8")
-    try:
-        import yaml
+def write_dictionary(spark: SparkSession, words: dict[str, str], path: str) -> None:
+    """Keys in lower case, sorted: one JSON document, in a folder that Spark writes."""
+    _write_document(spark, dict(sorted((k.lower(), v) for k, v in words.items())), path)
 
-        own = yaml.safe_load(text)
-    except ImportError:
-        own = json.loads(text)
-    return {k: v | (own or {}).get(k, {}) if isinstance(v, dict) else (own or {}).get(k, v) for k, v in (SETTINGS | {k: v for k, v in (own or {}).items() if k not in SETTINGS}).items()}
 
-
-def write_settings(settings: dict, path: str) -> None:
-    """As JSON, which every YAML reader reads."""
-    Path(path).write_text(json.dumps(settings, ensure_ascii=False, indent=2), encoding="utf-8")
-
-
-def write_dictionary(words: dict[str, str], path: str) -> None:
-    """Keys in lower case, sorted."""
-    Path(path).write_text(json.dumps({k.lower(): v for k, v in words.items()}, ensure_ascii=False, indent=2, sort_keys=True), encoding="utf-8")
+def _write_document(spark: SparkSession, document: dict, path: str) -> None:
+    spark.createDataFrame([(json.dumps(document, ensure_ascii=False, indent=2),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_test_set(items: DataFrame, path: str) -> None:
