@@ -539,7 +539,7 @@ def stretch_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from vanika.plans import media, projects  # noqa: F401  (they add their own)
+    from vanika.plans import media, projects, sinks  # noqa: F401  (they add their own)
 
     return dict(_QUERIES)
 
