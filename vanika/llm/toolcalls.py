@@ -82,15 +82,15 @@ def violations(name: Column, arguments: Column, schemas: dict[str, dict[str, tup
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool, int | None]]] = SCHEMAS) -> DataFrame:
-    """A row per call and per orphan result: call_id, name, status, n_results, level, valid, errors, message.
+    """A row per call and per orphan result: call_id, name, status, n_calls, n_results, level, valid, errors, message.
 
     calls: call_id, name, arguments (JSON text), after (call_ids that come before it); results: call_id, content. status: linked,
     pending (no result), orphan (a result whose call_id no call has, nulls too). Of several calls or results of one identifier the
-    least by content is taken, and n_results counts all results. level orders calls so that predecessors come first.
+    least by content is taken; n_calls and n_results count them all. level orders calls so that predecessors come first.
     errors joins what the arguments violate by ';'. message is canonical JSON: keys sorted at every depth, no blanks, nulls written. Other
     columns are ignored.
     """
-    one = calls.filter("call_id IS NOT NULL").groupBy("call_id").agg(F.min(F.struct("name", "arguments", "after")).alias("c")).select("call_id", "c.*")
+    one = calls.filter("call_id IS NOT NULL").groupBy("call_id").agg(F.min(F.struct("name", "arguments", "after")).alias("c"), F.count("*").alias("n_calls")).select("call_id", "c.*", "n_calls")
     answers = results.groupBy("call_id").agg(F.min("content").alias("content"), F.count("*").alias("n_results")).withColumn("answered", F.lit(True))
     one = cut(one, "calls")
     order = levels(one, one.select("call_id", F.explode("after").alias("before")))
@@ -100,7 +100,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tupl
     both = both.withColumn("status", status).withColumn("errors", errors).withColumn("valid", F.col("errors") == "")
     arguments = F.try_parse_json("arguments")
     message = F.to_json(F.struct(arguments.alias("arguments"), F.col("call_id").alias("id"), "level", "name", F.col("content").alias("result"), "status"), {"ignoreNullFields": "false"})
-    return both.select("call_id", "name", "status", F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), "level", "valid", "errors", message.alias("message"))
+    return both.select("call_id", "name", "status", F.coalesce("n_calls", F.lit(0)).cast("long").alias("n_calls"), F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), "level", "valid", "errors", message.alias("message"))
 
 
 def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -139,7 +139,7 @@ WITH RECURSIVE t AS (
 calls AS (
   SELECT id, p1, p2, min(struct_pack(name := name,
     arguments := '{"chars":' || length(text) || ',"text":' || to_json(text)::VARCHAR || ',"turn":' || coalesce(turn::VARCHAR, 'null') || '}',
-    empty := text = '')) AS c FROM t WHERE NOT answers GROUP BY 1, 2, 3),
+    empty := text = '')) AS c, count(*) AS m FROM t WHERE NOT answers GROUP BY 1, 2, 3),
 results AS (SELECT p1 AS id, min(text) AS content, count(*) AS n FROM t WHERE answers GROUP BY 1),
 edges AS (
   SELECT c.id, CASE WHEN a.id IS NOT NULL THEN a.id ELSE b.id END AS before
@@ -148,11 +148,11 @@ walk AS (
   SELECT id, 0 AS level FROM edges WHERE before IS NULL
   UNION ALL SELECT e.id, w.level + 1 FROM edges e JOIN walk w ON e.before = w.id),
 j AS (
-  SELECT coalesce(c.id, r.id) AS call_id, c.c.name AS name, c.c.arguments AS arguments, c.c.empty AS empty, c.id IS NOT NULL AS called,
+  SELECT coalesce(c.id, r.id) AS call_id, c.c.name AS name, c.c.arguments AS arguments, c.c.empty AS empty, c.id IS NOT NULL AS called, coalesce(c.m, 0) AS n_calls,
          w.level AS level, r.content AS content, coalesce(r.n, 0) AS n_results,
          CASE WHEN c.id IS NULL THEN 'orphan' WHEN r.id IS NOT NULL THEN 'linked' ELSE 'pending' END AS status
   FROM calls c FULL OUTER JOIN results r ON c.id = r.id LEFT JOIN walk w ON w.id = c.id)
-SELECT call_id, name, status, n_results::BIGINT AS n_results, level::BIGINT AS level,
+SELECT call_id, name, status, n_calls::BIGINT AS n_calls, n_results::BIGINT AS n_results, level::BIGINT AS level,
   CASE WHEN called THEN NOT empty END AS valid, CASE WHEN called THEN CASE WHEN empty THEN 'range text' ELSE '' END END AS errors,
   '{"arguments":' || coalesce(arguments, 'null') || ',"id":' || to_json(call_id)::VARCHAR || ',"level":' || coalesce(level::VARCHAR, 'null')
   || ',"name":' || coalesce(to_json(name)::VARCHAR, 'null') || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || ',"status":"' || status || '"}' AS message
