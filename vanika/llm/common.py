@@ -100,32 +100,50 @@ def crc_mod(key: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("null")).cast("binary")) % n
 
 
-def range_bounds(rows: DataFrame, key: str, tie: str, n: int) -> list[tuple[int, int]]:
-    """At most n - 1 ascending (key, tie) that split all rows, null keys aside, into ranges of about equal counts.
+def range_bounds(rows: DataFrame, key: str, tie: str, n: int) -> list[tuple[int | None, int]]:
+    """At most n - 1 ascending (key, tie), nulls first, that split all rows into ranges of about equal counts.
 
-    tie is a hash (a long) that tells rows of one key apart: a key with several ranges' rows is split by equal shares of the hash's values.
+    tie is a hash (a long) that tells rows of one key apart: a key with several ranges' rows, null too, is split by equal shares of the hash's values.
     """
+    found = rows.agg(F.count_if(F.col(key).isNull()).alias("nulls"), F.count("*").alias("all"), F.min(key).alias("least")).first()
+    k = min(n, round(n * found["nulls"] / max(1, found["all"])))
+    if k > 1:  # ranges of nulls only
+        out = _split(None, k) + ([(found["least"], -(1 << 63))] if k < n and found["least"] is not None else [])
+        n -= k
+    else:  # so few share the first range
+        out = []
     share = [i / n for i in range(1, n)]
-    found = rows.agg(F.percentile_approx(key, share, max(10_000, 20 * n)).alias("q")).first()["q"] if share else None
-    out = []
-    for value, same in itertools.groupby(found or []):
-        k = len(list(same))
-        out += [(value, -(1 << 63))] if k == 1 else [(value, -(1 << 63) + (i << 64) // k) for i in range(k)]
+    quantiles = rows.agg(F.percentile_approx(key, share, max(10_000, 20 * n)).alias("q")).first()["q"] if share else None
+    for value, same in itertools.groupby(quantiles or []):
+        out += _split(value, len(list(same)))
     return out
 
 
-def range_of(key: str, tie: str, bounds: list[tuple[int, int]]) -> Column:
-    """The number of the range that a row falls in (0 for a null key): how many bounds are at or below it."""
+def _split(value: int | None, k: int) -> list[tuple[int | None, int]]:
+    """The starts of k ranges that follow each other from a key's first rows on; a null's first range is there anyway."""
+    if value is None:
+        return [(None, -(1 << 63) + (i << 64) // k) for i in range(1, k)]
+    return [(value, -(1 << 63))] if k == 1 else [(value, -(1 << 63) + (i << 64) // k) for i in range(k)]
+
+
+def range_of(key: str, tie: str, bounds: list[tuple[int | None, int]]) -> Column:
+    """The number of the range that a row falls in (nulls are first): how many bounds are at or below it."""
+    nulls = sum(value is None for value, _ in bounds)
+
     # The bounds are sorted: a binary search as nested CASEs, all inside generated code.
     def search(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
         value, least = bounds[mid]
-        at_or_above = F.col(key) >= F.lit(value) if least == -(1 << 63) else (F.col(key) > F.lit(value)) | ((F.col(key) == F.lit(value)) & (F.col(tie) >= F.lit(least)))
+        if value is None:
+            at_or_above = F.col(tie) >= F.lit(least)
+        else:
+            at_or_above = F.col(key) >= F.lit(value) if least == -(1 << 63) else (F.col(key) > F.lit(value)) | ((F.col(key) == F.lit(value)) & (F.col(tie) >= F.lit(least)))
         return F.when(at_or_above, search(mid + 1, hi)).otherwise(search(lo, mid))
 
-    return search(0, len(bounds)).cast("int")
+    known = search(nulls, len(bounds)).cast("int")
+    return F.when(F.col(key).isNull(), search(0, nulls).cast("int")).otherwise(known) if nulls else known
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
