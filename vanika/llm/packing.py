@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from vanika.llm.common import blocks, cut, encoder
 
-#: Pieces that one task packs together. What is lost where they end is about one sequence a task.
+#: Pieces that one task packs together.
 SHARD_PIECES = 4096
 #: Passes of the local search over all bins; it also ends after a pass that changes nothing.
 PASSES = 12
@@ -29,6 +30,13 @@ class Bins:
         self.items: list[list[int]] = []
         self._best_fit(sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)))
 
+    @classmethod
+    def of(cls, lengths: list[int], capacity: int, items: list[list[int]]) -> Bins:
+        """Bins that are filled already."""
+        out = cls([], capacity)
+        out.size, out.items, out.fill = lengths, items, [sum(lengths[i] for i in x) for x in items]
+        return out
+
     def _best_fit(self, order: list[int]) -> None:
         """Longest first, each into the fullest bin that has room. free: the gaps that some bin has, as bits."""
         by_gap: dict[int, list[int]] = defaultdict(list)
@@ -196,27 +204,59 @@ def cut_into_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
     return rows.mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
+_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+
+
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """Pack all documents (doc_id, text) into sequences of at most capacity ids; a row for each piece of a document.
+    """Pack all documents (doc_id, text) into sequences of at most capacity ids; a row for each piece of a document: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Texts are encoded where they are read; only the pieces' lengths are shuffled. Null text: empty, so one
+    id. Texts of any length are cut after each capacity of ids. Equal rows: packed each. No rows: no rows. Other columns are ignored.
+    """
+    return pack_pieces(cut(cut_into_pieces(docs, tokenizer, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces"), capacity, shard_pieces)
+
 
-    Texts are encoded where they are read; only the pieces' lengths are shuffled. Pieces are dealt evenly
-    by a hash of their row number into shards of about shard_pieces, each packed by best fit and then
-    by the swaps of Bins. A sequence_id is the shard's number and the bin's. Null text: empty, so one
-    id. Equal rows: packed each. No rows: no rows. Other columns are ignored.
+def pack_pieces(pieces: DataFrame, capacity: int, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+    """Pieces (doc_id, piece, start, length, ids_crc32, and row, a number of their own) with sequence_id and offset.
+
+    Pieces are dealt evenly by a hash of their row number into shards of about shard_pieces, each packed by best fit and then
+    by the swaps of Bins. Sequences that are not full then meet those of other shards, in shards of about as many pieces, for more swaps, until one shard has them all or
+    they grow no fewer. A sequence_id is the shard's number and the bin's.
     """
-    found = cut(cut_into_pieces(docs, tokenizer, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
-    shards = max(1, -(-found.count() // shard_pieces))
+    schema = f"{_PIECES}, row long, sequence_id long, offset long, open boolean"
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["row"], ignore_index=True)
         lengths = rows["length"].tolist()
-        seq, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-        for b, items in enumerate(pack_lengths(lengths, capacity)):
+        tries = [Bins(lengths, capacity)]
+        if "sequence_id" in rows:  # as they are, so there are never more
+            tries.append(Bins.of(lengths, capacity, [x.tolist() for x in rows.groupby("sequence_id", sort=True).indices.values()]))
+        for bins in tries:
+            bins.improve()
+        bins = min(tries, key=lambda b: (sum(map(bool, b.items)), -sum(f * f for f in b.fill)))
+        seq, offset, open_ = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
+        for b, items in enumerate(x for x in bins.items if x):
             at = 0
             for i in sorted(items):
                 seq[i], offset[i] = b, at
                 at += lengths[i]
-        return rows.drop(columns=["row", "shard"]).assign(sequence_id=seq + (int(key[0]) << 32), offset=offset)
-
-    dealt = found.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInPandas(one, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+            open_[items] = at < capacity
+        return rows[[c.split()[0] for c in _PIECES.split(", ")] + ["row"]].assign(sequence_id=seq + (int(key[0]) << 32), offset=offset, open=open_)
+
+    shards, first, done = max(1, -(-pieces.count() // shard_pieces)), 0, []
+    rows = pieces.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
+    while True:
+        packed = rows.groupBy("shard").applyInPandas(one, schema)
+        if shards == 1:
+            done.append(packed)
+            break
+        packed = cut(packed, "packed")
+        done.append(packed.filter("NOT open"))
+        left, first = packed.filter("open"), first + shards
+        fewer = max(1, -(-left.count() // shard_pieces))
+        if fewer >= shards:
+            done.append(left)
+            break
+        shards = fewer
+        rows = left.withColumn("shard", first + F.pmod(F.xxhash64("sequence_id"), F.lit(shards))).drop("offset", "open")
+    return reduce(DataFrame.unionByName, done).drop("row", "open")
