@@ -187,3 +187,33 @@ def test_a_broken_run_goes_on(spark, tmp_path, inputs, monkeypatch):
     found = own.run(sounds, scripts)
     assert found["align"] == {"aligned": 0, "skipped": 1, "fallback_used": 0, "failed": 1} and found["segment"]["clips_created"] == 4
     assert own.sources().filter("aligned").count() == 1 and own.training().count() == 4
+
+
+def test_steps_from_the_shell(spark, tmp_path, inputs, capsys):
+    from vanika.__main__ import main
+
+    _, _, sounds, scripts = inputs
+
+    def step(*given):
+        code = main([str(x) for x in given])
+        said = capsys.readouterr()
+        return (code, json.loads(said.out) if said.out else said.err)
+
+    assert step("status", tmp_path / "none")[0] == 1
+    code, found = step("new", tmp_path, "voice")
+    root = found["root"]
+    settings.write(settings.read(f"{root}/config.yaml") | {"clip_min_seconds": 1.0, "qc": {"min_snr_db": -100.0, "max_silence_ratio": 1.0}}, f"{root}/config.yaml")
+    (tmp_path / "urls.txt").write_text("# list\nu0\n\n u1 \nu2\n")
+    (tmp_path / "srt").mkdir()
+    for x in scripts.collect():
+        (tmp_path / "srt" / x["path"]).write_text(x["value"])
+    with pytest.raises(Exception, match="counts differ"):
+        step("add-sources", root, tmp_path / "urls.txt", tmp_path / "srt")
+    (tmp_path / "srt" / "2.srt").write_text("")
+    media.write_sounds(sounds.withColumn("path", F.concat("source_id", F.lit(".wav"))), str(tmp_path / "wav"))
+    assert step("add-sources", root, tmp_path / "urls.txt", tmp_path / "srt") == (0, {"added": 3})
+    code, found = step("prepare", root, tmp_path / "wav", tmp_path / "srt", "--skip-qc")
+    assert code == 0 and found["align"]["aligned"] == 1 and found["dataset"]["total"] == 4
+    assert step("status", root)[1] == {"sources": 3, "downloaded": 2, "aligned": 1, "segmented": 1, "qc_passed": 1, "errors": {"alignment failed: two arrows": 1, "no sound": 1}}
+    assert step("prepare", root, tmp_path / "wav", tmp_path / "srt", "--skip-qc")[1]["segment"]["clips_skipped_existing"] == 4
+    assert flows.samples(spark, root, "train").count() == step("ready", root)[1]["train_records"]

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from vanika.functions import text
 from vanika.operators import align, manifest, quality
 from vanika.plans import flows
-from vanika.sources import srt
+from vanika.sources import files, srt
 from vanika.sources.reports import SETTINGS
 from vanika.sources.store import Store
 
@@ -165,6 +165,14 @@ class Project:
         return quality.training_totals(training, quality.vocabulary(training, "processed_text")).first().asDict()
 
 
+    def export(self, folder: str, skip_qc: bool = False) -> None:
+        """The training rows as pipe tables by split, their vocabulary and the quality report, in folders that Spark writes; what was there goes."""
+        training = self.training()
+        files.write_splits(training, folder, overwrite=True)
+        files.write_vocabulary(quality.vocabulary(training, "processed_text"), f"{folder}/vocabulary_json", overwrite=True)
+        files.write_qc_report(self.judged(skip_qc), f"{folder}/qc_report_csv", overwrite=True)
+
+
 def counted(spark: SparkSession, runs: list[dict[str, dict[str, int | float]]]) -> DataFrame:
     """run, stage, outcome, n: what runs have counted, one row a counter."""
     rows = [(k, stage, name, float(n or 0)) for k, found in enumerate(runs, 1) for stage, counts in found.items() for name, n in counts.items()]

@@ -36,8 +36,11 @@ def read_urls(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """path, length: files of a folder by name; contents aren't read."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length").orderBy("path")
+    """path, length: files of a folder by name, empty ones too, which Spark's readers leave out; contents aren't read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{pattern}")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
+    rows = sorted((str(x.getPath()), x.getLen()) for x in found if x.isFile() and not x.getPath().getName().startswith((".", "_")))
+    return spark.createDataFrame(rows, "path string, length long")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -54,13 +57,17 @@ def write_manifest(sources: DataFrame, path: str) -> None:
     rows.select(F.to_json(F.struct("sources"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.text(path)
 
 
-def write_qc_report(clips: DataFrame, path: str) -> None:
+def _mode(overwrite: bool) -> str:
+    return "overwrite" if overwrite else "errorifexists"
+
+
+def write_qc_report(clips: DataFrame, path: str, overwrite: bool = False) -> None:
     """CSV with header: fixed decimals, passed as 0 or 1, a null rate empty."""
     rows = clips.select(
         "clip_id", "source_id", *(fixed(c, n).alias(c) for c, n in (("duration", 3), ("snr_db", 2), ("silence_ratio", 3))),
         fixed("whisper_cer", 4).alias("whisper_cer"), F.col("passed").cast("int").alias("passed"), "reason",
     )
-    rows.write.csv(path, header=True, nullValue="", emptyValue="", escape='"')
+    rows.write.mode(_mode(overwrite)).csv(path, header=True, nullValue="", emptyValue="", escape='"')
 
 
 def read_qc_report(spark: SparkSession, path: str, only_passed: bool = True) -> DataFrame:
@@ -68,9 +75,9 @@ def read_qc_report(spark: SparkSession, path: str, only_passed: bool = True) ->
     return rows.filter("passed = 1") if only_passed else rows
 
 
-def write_splits(rows: DataFrame, path: str) -> None:
+def write_splits(rows: DataFrame, path: str, overwrite: bool = False) -> None:
     """Pipe-separated files with header, a folder for each split."""
-    rows.withColumn("duration", fixed("duration", 3)).write.partitionBy("split").csv(path, header=True, sep="|", escape='"', emptyValue="")
+    rows.withColumn("duration", fixed("duration", 3)).write.mode(_mode(overwrite)).partitionBy("split").csv(path, header=True, sep="|", escape='"', emptyValue="")
 
 
 def read_split(spark: SparkSession, path: str) -> DataFrame:
@@ -85,9 +92,9 @@ def training_samples(split: DataFrame, root: str, speaker: str) -> DataFrame:
     return split.filter("audio_path IS NOT NULL AND audio_path <> ''").select(F.concat_ws("/", F.lit(root.rstrip("/")), "audio_path").alias("audio_file"), text.alias("text"), F.lit(speaker).alias("speaker_name")).filter("text IS NOT NULL")
 
 
-def write_vocabulary(tokens: DataFrame, path: str) -> None:
+def write_vocabulary(tokens: DataFrame, path: str, overwrite: bool = False) -> None:
     """A sorted JSON array of tokens; its size is the alphabet's."""
-    tokens.agg(F.to_json(F.sort_array(F.collect_set("token"))).alias("value")).coalesce(1).write.text(path)
+    tokens.agg(F.to_json(F.sort_array(F.collect_set("token"))).alias("value")).coalesce(1).write.mode(_mode(overwrite)).text(path)
 
 
 def write_tokenizer(vocabulary: DataFrame, reserved: list[str], path: str) -> None:
