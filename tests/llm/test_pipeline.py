@@ -43,6 +43,36 @@ def test_planted(spark):
     assert 10**6 + 3 not in clean and 10**6 in clean
 
 
+ODD = [(1, None), (2, ""), (3, " \n"), (4, "one"), (4, "one"), (None, "no id"), (None, None), (5, "word " * 30_000), (6, "Größe İ 世界 <|endoftext|>")]
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_take_odd_rows_and_none(spark, name, stage):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score int, fp string, component_id int, shard int, found string"
+    docs = spark.createDataFrame([(d, t, None, "s", len(t or ""), 1, "k", 2, 3, None) for d, t in ODD], schema)
+    kept = stage(spark, docs, DATA)
+    rows = kept.collect()
+    if name == "packing":
+        assert sum(x["length"] for x in rows if x["doc_id"] == 5) > 30_000 and {x["doc_id"] for x in rows} == {d for d, _ in ODD}
+    else:
+        assert kept.columns == docs.columns
+        gone = {1, 2, 3} - {1} if name == "near_duplicates" else set()  # blank texts are copies of each other
+        assert sorted((x["doc_id"] for x in rows), key=repr) == sorted((d for d, _ in ODD if d not in gone), key=repr)
+    none = stage(spark, docs.limit(0), DATA)
+    assert none.columns == kept.columns and none.collect() == []
+
+
+def test_toxic_documents_go(spark):
+    folder = DATA.replace("sf0.001", "sf0.01")
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    kept = corpus_pipeline.toxicity(spark, docs, folder)
+    toxic = labels.filter("toxic = 1").select("doc_id").distinct()
+    clean = labels.filter("toxic = 0").select("doc_id").distinct()
+    left = kept.select("doc_id").distinct()
+    assert toxic.join(left, "doc_id", "left_semi").count() <= 0.2 * toxic.count()
+    assert clean.join(left, "doc_id", "left_semi").count() >= 0.97 * clean.count()
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
