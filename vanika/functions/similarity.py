@@ -74,7 +74,7 @@ def wer(reference: Column, hypothesis: Column) -> Column:
 
 
 def spread(pairs: DataFrame) -> DataFrame:
-    """The rows dealt out evenly: what a pair costs follows from its texts, so the pairs of one file should not be one task."""
+    """The rows dealt out evenly: what a row costs follows from its texts, so the rows of one file should not be one task."""
     return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vanika.functions.similarity import spread
 from vanika.functions.text import transliterate
 
 
@@ -33,4 +34,4 @@ def transliterate_with(rows: DataFrame, key: str, column: str, words: DataFrame)
     found = own.join(used, "word").groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("word", "spoken"))).alias("_spoken"))
     met = rows.join(found, rows[key].eqNullSafe(found["_key"]), "left")
     spoken = transliterate(F.col(column), F.coalesce("_spoken", F.create_map().cast("map<string,string>")))
-    return met.withColumn(column, spoken).drop("_key", "_spoken")
+    return spread(met).withColumn(column, spoken).drop("_key", "_spoken")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vanika.functions import audio, mel, text
+from vanika.functions import audio, mel, similarity, text
 from vanika.operators import lookup
 from vanika.plans import catalogue as base
 from vanika.sources import media, store
@@ -134,7 +134,7 @@ def spoken_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     key, part = F.col("o_orderkey"), F.pmod("o_orderkey", F.lit(100)).cast("string")
     said = F.concat_ws(" ", F.date_format("o_orderdate", "dd/MM/yyyy"), F.concat(digits(key % 24, 2), F.lit(":"), digits(key % 60, 2)), F.concat(F.lit("₹"), F.floor("o_totalprice").cast("string")), F.concat(part, F.lit("%")), F.concat(part, F.lit("."), (key % 10).cast("string")))
-    return _table(spark, sf_dir, "orders").select("o_orderkey", text.expand_numbers(said).alias("spoken"))
+    return similarity.spread(_table(spark, sf_dir, "orders").select("o_orderkey", said.alias("said"))).select("o_orderkey", text.expand_numbers(F.col("said")).alias("spoken"))
 
 
 @_query("WITH t AS (SELECT item_id, text, " + base._LATIN_MAP + " AS m FROM benchmark), d AS (SELECT item_id, " + base._sql_transliterate("text") + f" AS said FROM t) SELECT item_id, regexp_replace(said, '{text.SCHWA_PATTERN}', '\\1{text.HALANT}\\2\\3', 'g') AS spoken FROM d")
