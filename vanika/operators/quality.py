@@ -104,4 +104,5 @@ def batches(rows: DataFrame, size: int, ord_column: str, ids: str, pad: int) ->
 
     b = rows.withColumn("batch", F.floor(F.col(ord_column) / size)).withColumn("n_ids", F.size(ids))
     longest = F.max("n_ids").over(Window.partitionBy("batch"))
-    return b.withColumn("longest", longest).withColumn(ids, pad_to(F.col(ids), F.col("longest"), F.lit(pad))).drop("longest")
+    filler = F.lit(pad).cast(rows.schema[ids].dataType.elementType)  # the array keeps its type
+    return b.withColumn("longest", longest).withColumn(ids, pad_to(F.col(ids), F.col("longest"), filler)).drop("longest")

@@ -47,6 +47,11 @@ def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def _thousandths(samples: Column) -> Column:
+    """Samples in whole thousandths, as one text. A float times an integer is a double to Spark but a float to SQL, and halves only come up in the latter."""
+    return F.array_join(F.transform(samples, lambda x: F.round(x * F.lit(1000).cast("float")).cast("int").cast("string")), " ")
+
+
 # --- identifiers and splits
 
 _SHARE = "('0x' || substr(sha1({0}::VARCHAR), 1, 8))::UBIGINT / 4294967295.0"

@@ -210,7 +210,7 @@ def collated_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", head(F.col("vec_id") % 5 + 1).alias("mel"), head(F.col("vec_id") % 9 + 2).alias("audio"))
     rows = quality.collate(rows, 4, "vec_id", {"mel": 0.0, "audio": 0.0})
-    return rows.select("vec_id", "batch", "n_mel", "n_audio", *(F.array_join(F.transform(c, lambda x: F.round(x * 1000).cast("int").cast("string")), " ").alias(c) for c in ("mel", "audio")))
+    return rows.select("vec_id", "batch", "n_mel", "n_audio", *(base._thousandths(F.col(c)).alias(c) for c in ("mel", "audio")))
 
 
 @_query("SELECT vec_id, array_to_string(list_transform(embedding[(vec_id % 5) * 8 + 1:(vec_id % 5) * 8 + 16], lambda x: round(x * 1000)::INT), ' ') AS samples FROM embeddings")
