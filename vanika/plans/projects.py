@@ -218,7 +218,7 @@ def interval_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vanika.functions import audio
 
     clip = audio.interval(F.col("embedding"), 8, (F.col("vec_id") % 5).cast("double"), F.lit(2.0))
-    return _table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.transform(clip, lambda x: F.round(x * 1000).cast("int").cast("string")), " ").alias("samples"))
+    return _table(spark, sf_dir, "embeddings").select("vec_id", base._thousandths(clip).alias("samples"))
 
 
 _TWO_RUNS = f"""s AS (SELECT page_id AS p, url, 'src_' || lpad(page_id::VARCHAR, greatest(5, length(page_id::VARCHAR))::INT, '0') AS id, page_id % 3 <> 0 AS early, page_id % 5 <> 4 AND page_id IN (SELECT vec_id FROM embeddings) AS media FROM pages),
