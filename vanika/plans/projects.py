@@ -129,7 +129,7 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_CUES} SELECT clip_id, source_id, duration, outcome, CASE WHEN outcome = 'created' THEN array_to_string(list_transform(t, lambda y: round(y * 1000)::INT), ' ') END AS samples FROM o")
 def segment_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = F.array_join(F.transform("samples", lambda y: F.round(y * 1000).cast("int").cast("string")), " ")
+    samples = base._thousandths(F.col("samples"))
     return _segments(spark, sf_dir).select("clip_id", "source_id", F.round("duration", 3).alias("duration"), "outcome", F.when(F.col("samples").isNotNull(), samples).alias("samples"))
 
 
