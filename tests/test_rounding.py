@@ -21,7 +21,7 @@ def folder(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["collated_batches", "interval_samples", "segment_clips"])
+@pytest.mark.parametrize("name", ["collated_batches", "interval_samples", "segment_clips", "stretched_samples", "trimmed_samples"])
 def test_halves(spark, folder, name):
     con = duckdb.connect()
     for table in ("embeddings", "conversations"):

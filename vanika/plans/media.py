@@ -25,24 +25,20 @@ def wav_roundtrip_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_sounds(spark, folder).select(F.substring_index("path", "/", -1).alias("name"), "rate", samples.alias("samples"))
 
 
-def _whole(samples: Column) -> Column:
-    return F.array_join(F.transform(samples, lambda x: F.round(x * 1000).cast("int").cast("string")), " ").alias("samples")
-
-
 @_query(f"""WITH r AS (SELECT vec_id, embedding, list_transform({base._RMS}, lambda x: 20 * log10(x + 1e-12) > -18.0) AS v FROM embeddings),
 b AS (SELECT vec_id, embedding, v, list_position(v, true) - 1 AS f, len(v) - list_position(list_reverse(v), true) AS l FROM r),
 t AS (SELECT vec_id, CASE WHEN list_contains(v, true) THEN embedding[greatest(0, f * 8 - 4) + 1:least(len(embedding), (l + 1) * 8 + 4)] ELSE embedding END AS k FROM b)
 SELECT vec_id, array_to_string(list_transform(k, lambda x: round(x * 1000)::INT), ' ') AS samples FROM t""")
 def trimmed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sample that trimming leaves."""
-    return _table(spark, sf_dir, "embeddings").select("vec_id", _whole(audio.trim_silence(F.col("embedding"), rate=800, pad_ms=5, threshold_db=-18.0)))
+    return _table(spark, sf_dir, "embeddings").select("vec_id", base._thousandths(audio.trim_silence(F.col("embedding"), rate=800, pad_ms=5, threshold_db=-18.0)).alias("samples"))
 
 
 @_query("""WITH s AS (SELECT vec_id, embedding, len(embedding) AS n, floor(len(embedding) / least(2.0, greatest(0.5, 0.4 + (vec_id % 20) / 10.0)))::INT AS m FROM embeddings)
 SELECT vec_id, array_to_string(list_transform(range(m), lambda i: round(embedding[CASE WHEN m > 1 THEN floor(i * (n - 1) / (m - 1))::INT ELSE 0 END + 1] * 1000)::INT), ' ') AS samples FROM s""")
 def stretched_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sample of the stretched waveforms."""
-    return _table(spark, sf_dir, "embeddings").select("vec_id", _whole(audio.stretch(F.col("embedding"), 0.4 + (F.col("vec_id") % 20) / 10.0)))
+    return _table(spark, sf_dir, "embeddings").select("vec_id", base._thousandths(audio.stretch(F.col("embedding"), 0.4 + (F.col("vec_id") % 20) / 10.0)).alias("samples"))
 
 
 _MEL = mel.Mel(rate=1600, n_fft=16, hop=8, window=16, n_mels=6, low=0.0, high=800.0)
