@@ -70,3 +70,13 @@ def test_no_single_partition_sorts_the_listing(spark):
     assert "Window" not in plan and {x["step"] for x in kept.filter("kept").collect()} == {0, 4997, 4998, 4999} and kept.count() == 5000
     assert {x["step"] for x in evaluate.keep_checkpoints(names, 0).filter("kept").collect()} == {0}
     assert evaluate.keep_checkpoints(names.filter("false"), 3).collect() == []
+
+
+def test_steps_are_as_many_as_the_shorter_has_values(monkeypatch):
+    steps, block = [], distance._block
+    monkeypatch.setattr(distance, "_block", lambda a, values, given: steps.append(len(values)) or block(a, values, given))
+    own = np.random.default_rng(3)
+    for alphabet in (20, 300):
+        a, b = own.integers(0, alphabet, 150), own.integers(0, alphabet, 4000)
+        assert distance.edit_distance(a, b) == distance.edit_distance(b, a) == plain(a.tolist(), b.tolist())
+    assert len(steps) == 4 and max(steps) <= 150
