@@ -139,3 +139,18 @@ def test_subtitle_stream_reads_each_file_once(spark, tmp_path):
 
 def test_stamps_carry(spark):
     assert one(spark, srt.stamp(F.lit(3599.9996))) == "01:00:00,000"
+
+
+def test_numbers_within_texts_are_not_interpreted(spark):
+    import random
+
+    own = random.Random(5)
+    runs = ["".join(own.choice("0०123९") for _ in range(own.randrange(1, 40))) for _ in range(300)] + ["0", "000", "०", "1000000000", "9" * 18]
+    rows = spark.createDataFrame([(r,) for r in runs], "r string")
+    said = rows.select(text.spell_digits(F.col("r")), text.expand_integers(F.col("r")), text.expand_numbers(F.concat(F.lit("("), "r", F.lit(")"))))
+    assert all(b == a and c == f"({a})" for a, b, c in said.collect())
+    spaced = [("5　%", f"पाँच {text.PERCENT}"), ("5\x1c%", "पाँच\x1c%"), ("Rs.\x855", f"पाँच {text.RUPEES}"), ("24:00", "चौबीस:शून्य"), (None, None), ("", "")]
+    got = spark.createDataFrame(spaced, "t string, want string").select(text.expand_numbers(F.col("t")), "want").collect()
+    assert all(a == b for a, b in got)
+    for change in (text.expand_numbers, text.expand_integers):
+        assert "lambdafunction" not in rows.select(change(F.col("r")))._jdf.queryExecution().optimizedPlan().toString()
