@@ -203,3 +203,14 @@ def test_numbers_of_any_length(spark):
     numbers = [str(own.randrange(10**k)) for k in (1, 5, 9, 10, 18, 19, 36, 37, 38, 40, 80, 100, 300)] + ["1" + "0" * k for k in (8, 9, 17, 18, 27, 36, 99)] + ["0" * 50, "0" * 40 + "7"]
     rows = spark.createDataFrame([(x,) for x in numbers], "n string").select("n", text.spell_digits(F.col("n")).alias("w"), text.expand_numbers(F.concat(F.lit("x "), "n")).alias("t")).collect()
     assert all(x["w"] == plain_cardinal(int(x["n"])) and x["t"] == "x " + x["w"] for x in rows)
+
+
+def test_dictionary_words_are_put_in_without_interpreted_arrays(spark):
+    words = spark.createDataFrame([("The", "X"), ("mute", ""), ("zoo", "<zoo>"), (None, "y")], "word string, spoken string")
+    given = [(1, "the THE mute other"), (2, "Kthe zoo9zoo"), (2, "mute"), (None, "the"), (None, "zoo"), (3, None), (4, ""), (5, "9 क")]
+    rows = spark.createDataFrame(given, "id long, t string")
+    made = lookup.transliterate_with(rows, "id", "t", words)
+    by_rule = {t: spark.range(1).select(text.transliterate(F.lit(t))).first()[0] for t in ("other",)}
+    want = [(1, f"X X  {by_rule['other']}"), (2, "KX <zoo>9<zoo>"), (2, ""), (None, "X"), (None, "<zoo>"), (3, None), (4, ""), (5, "9 क")]
+    assert sorted(map(tuple, made.collect()), key=repr) == sorted(want, key=repr)
+    assert "zip_with" not in made._jdf.queryExecution().optimizedPlan().toString()

@@ -7,7 +7,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -219,6 +220,35 @@ def transliterate(text: Column, dictionary: Column | None = None) -> Column:
     return replace_matches(text, "[A-Za-z]+", lambda w: F.coalesce(F.try_element_at(dictionary, F.lower(w)), _by_rule(F.lower(w))))
 
 
+_WORD = re.compile("[A-Za-z]+")
+
+
+@lru_cache(1 << 16)
+def _ruled(word: str) -> str:
+    """_by_rule() of one word; common words come up again and again."""
+    low = word.lower()
+    for unit, sign in LATIN.items():
+        low = low.replace(unit, sign)
+    return low
+
+
+@pandas_udf(StringType())
+def transliterated(text: pd.Series, words: pd.Series, spoken: pd.Series) -> pd.Series:
+    """transliterate() of texts that each have a dictionary of their own: lower-case words and what they are spoken as, in two arrays; null: none."""
+    def of(t: str | None, w: Sequence[str] | None, s: Sequence[str] | None) -> str | None:
+        if t is None:
+            return None
+        own = {} if w is None else dict(zip(w, s, strict=True))
+
+        def said(m: re.Match) -> str:
+            known = own.get(m[0].lower())
+            return _ruled(m[0]) if known is None else known
+
+        return _WORD.sub(said, t)
+
+    return pd.Series(map(of, text, words, spoken), dtype=object)
+
+
 SCHWA_PATTERN = "([{c}{v}][{c}{v}{m}{h}]*[{c}])((?:[{v}][{v}{m}{h}]*)?)([^{c}{v}{m}{h}]|$)".format(c=CONSONANTS, v=VOWELS, m=VOWEL_SIGNS, h=HALANT)
 
 

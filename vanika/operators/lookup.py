@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vanika.functions.similarity import spread
-from vanika.functions.text import transliterate
+from vanika.functions.text import transliterated
 
 
 def dictionary(words: DataFrame) -> DataFrame:
@@ -24,14 +24,13 @@ def add_word(words: DataFrame, word: str, spoken: str) -> DataFrame:
 def transliterate_with(rows: DataFrame, key: str, column: str, words: DataFrame) -> DataFrame:
     """rows with column transliterated, each Latin word by the dictionary words (word, spoken) if it is there, else by rule.
 
-    The corpus's distinct words meet the dictionary; what they have in common goes back to the rows whose texts have it, as a small map of each row's own words. So
-    neither the dictionary nor the vocabulary is in a plan or in one task, and a word of very many texts is one key that adaptive execution splits. Rows with the
-    same key share their words; a null key is a key. A null text stays null.
+    Each row's distinct words meet the dictionary, and what they have in common goes back to the row, as its own words only. So neither the dictionary nor the
+    vocabulary is in a plan or in one task unless Spark itself broadcasts a small table, and a word of very many texts is one key that adaptive execution splits.
+    Rows are dealt out first, as what a row costs follows from its text. Rows with the same key share their words; a null key is a key. A null text stays null.
     """
-    latin = F.array_distinct(F.transform(F.regexp_extract_all(F.col(column), F.lit("([A-Za-z]+)"), F.lit(1)), F.lower))
-    own = rows.select(F.col(key).alias("_key"), F.explode(latin).alias("word")).distinct()
-    used = own.select("word").distinct().join(dictionary(words), "word")
-    found = own.join(used, "word").groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("word", "spoken"))).alias("_spoken"))
+    rows = spread(rows)
+    latin = F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(F.col(column), F.lit("([A-Za-z]+)"), F.lit(1))), F.lower))
+    own = rows.select(F.col(key).alias("_key"), F.explode(latin).alias("word"))
+    found = own.join(dictionary(words), "word").groupBy("_key").agg(F.collect_set(F.struct("word", "spoken")).alias("_own"))
     met = rows.join(found, rows[key].eqNullSafe(found["_key"]), "left")
-    spoken = transliterate(F.col(column), F.coalesce("_spoken", F.create_map().cast("map<string,string>")))
-    return spread(met).withColumn(column, spoken).drop("_key", "_spoken")
+    return met.withColumn(column, transliterated(F.col(column), F.col("_own.word"), F.col("_own.spoken"))).drop("_key", "_own")
