@@ -154,3 +154,17 @@ def test_numbers_within_texts_are_not_interpreted(spark):
     assert all(a == b for a, b in got)
     for change in (text.expand_numbers, text.expand_integers):
         assert "lambdafunction" not in rows.select(change(F.col("r")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fitting_takes_the_tokens_of_each_text_once(spark):
+    import random
+
+    own = random.Random(6)
+    pieces = ["<", ">", "<sp>", "<a_b>", "<<b>c>", "sp", "_", "A", "<A>", " ", "\n", "\x1c", "\x85", "　", "​", "क", "\U0001f600", "<p_short>", "<>"]
+    for k in range(4):
+        texts = ["".join(own.choice(pieces) for _ in range(own.randrange(6))) for _ in range(50)] + [None, ""]
+        rows = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+        want = {t for x in rows.select(tokens.split_tokens(F.col("text"))).collect() for t in x[0] or ()}
+        made = tokens.fit(rows, vocabulary=["<pad>"])
+        assert [x["token"] for x in made.orderBy("id").collect()] == ["<pad>", *sorted(want)]
+    assert "regexp_extract_all" not in made._jdf.queryExecution().optimizedPlan().toString()

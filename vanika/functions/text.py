@@ -120,6 +120,7 @@ def replace_matches(text: Column, pattern: str, change: Callable[[Column], Colum
 
 #: Unicode's white space, as a regular expression of Java has it by (?U).
 _SPACE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+WHITE_SPACE = re.compile(_SPACE)
 _NUMBER = f"{_D}+(?:\\.{_D}+)?"
 _PLAIN = str.maketrans(_DEVANAGARI_DIGITS, "0123456789")
 _SIZES = ((10_000_000, 100, f" {CRORE}"), (100_000, 100, f" {LAKH}"), (1000, 100, f" {THOUSAND}"), (100, 10, f" {HUNDRED}"), (1, 100, ""))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vanika.functions.text import PROSODY_TOKENS
+from vanika.functions.text import PROSODY_TOKENS, WHITE_SPACE
 
 # Reserved tokens in the order of their ids, and seed punctuation.
 RESERVED = ["<pad>", "<bos>", "<eos>", "<unk>", "<sp>"]
@@ -15,6 +19,7 @@ PAD, BOS, EOS, UNK, SPACE = range(5)
 DEVANAGARI = [chr(c) for c in range(0x900, 0x980)]
 #: Blanks and written-out blanks in a row are one token.
 TOKEN = r"(?Us)((?:<sp>|\s)+|<[a-z_]+>|.)"
+_TAG = re.compile("<[a-z_]+>")
 
 
 def seed_vocabulary() -> list[str]:
@@ -27,6 +32,18 @@ def split_tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1)), lambda t: F.when(t.rlike(r"(?U)^(?:<sp>|\s)"), RESERVED[SPACE]).otherwise(t))
 
 
+def _distinct_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The tokens that split_tokens() gives of a task's texts, each once: a tag begins wherever its sign is, so what lies around tags are single characters."""
+    tags, signs = set(), set()
+    for batch in batches:
+        for t in batch["text"]:
+            if t:
+                found = _TAG.findall(t) if "<" in t else []
+                tags.update(found)
+                signs.update(_TAG.sub("", t) if found else t)
+    yield pd.DataFrame({"token": sorted(tags | {RESERVED[SPACE] if WHITE_SPACE.match(c) else c for c in signs})}, dtype=object)
+
+
 def fit(texts: DataFrame, vocabulary: list[str] | None = None, column: str = "text") -> DataFrame:
     """id, token: the vocabulary, then the texts' other tokens in code-point order. The order of rows doesn't matter.
 
@@ -35,7 +52,7 @@ def fit(texts: DataFrame, vocabulary: list[str] | None = None, column: str = "te
     spark = texts.sparkSession
     base = seed_vocabulary() if vocabulary is None else vocabulary
     known = spark.createDataFrame(list(enumerate(base)), "id long, token string")
-    found = texts.select(F.explode(split_tokens(F.col(column))).alias("token")).distinct().join(F.broadcast(known.select("token")), "token", "left_anti")
+    found = texts.select(F.col(column).alias("text")).mapInPandas(_distinct_tokens, "token string").distinct().join(F.broadcast(known.select("token")), "token", "left_anti")
     new = found.select((F.row_number().over(Window.orderBy("token")) + len(base) - 1).cast("long").alias("id"), "token")
     return known.unionByName(new)
 
