@@ -217,3 +217,27 @@ def test_steps_from_the_shell(spark, tmp_path, inputs, capsys):
     assert step("status", root)[1] == {"sources": 3, "downloaded": 2, "aligned": 1, "segmented": 1, "qc_passed": 1, "errors": {"alignment failed: two arrows": 1, "no sound": 1}}
     assert step("prepare", root, tmp_path / "wav", tmp_path / "srt", "--skip-qc")[1]["segment"]["clips_skipped_existing"] == 4
     assert flows.samples(spark, root, "train").count() == step("ready", root)[1]["train_records"]
+
+
+def test_a_run_parses_transcripts_once(spark, tmp_path):
+    from vanika.plans import project
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    cue = "1\n00:00:00,000 --> 00:00:02,000\nhello\n"
+    files = spark.createDataFrame([("a.srt", cue), ("b.srt", "1\n00:00:00,000 --> 00:00:01,000 --> 2\nx\n")], "path string, value string")
+    own = project.Project(spark, str(tmp_path / "once"), frame=8)
+    urls = spark.createDataFrame([(0, "u/0"), (1, "u/1"), (2, "u/2")], "ord long, url string")
+    own.register(urls, spark.createDataFrame([(0, "a.srt"), (1, "b.srt"), (2, "c.srt")], "ord long, path string"))
+    own.download(spark.createDataFrame([(f"src_0000{k}", 8, [0.5] * 32) for k in range(3)], "source_id string, rate int, samples array<float>"))
+    words = spark.createDataFrame([("src_00000", 0, 0.25, 1.75)], "source_id string, ord long, start double, end double")
+    assert own.align(files.mapInPandas(counted, files.schema), words) == {"aligned": 1, "skipped": 0, "fallback_used": 0, "failed": 2}
+    # Once for the cues and their errors, once for the paths.
+    assert seen.value <= 4
+    assert [(x["start_sec"], x["end_sec"], x["text"]) for x in own.cues().collect()] == [(0.25, 1.75, "hello")]
+    assert {x["id"]: x["error"] for x in own.sources().collect()} == {"src_00000": None, "src_00001": "alignment failed: two arrows", "src_00002": "transcript missing"}

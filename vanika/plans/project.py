@@ -16,6 +16,7 @@ from vanika.sources.reports import SETTINGS
 from vanika.sources.store import Store
 
 SOURCES = "ord long, id string, url string, transcript_path string, duration_sec double, downloaded boolean, aligned boolean, segmented boolean, qc_passed boolean, error string"
+PARSED = "path string, ord int, start_sec double, end_sec double, text string, error string"
 CUES = "source_id string, index long, start_sec double, end_sec double, text string"
 CLIPS = "clip_id string, source_id string, text string, duration double, rate int, samples array<float>, outcome string, bounds string"
 JUDGED = "clip_id string, source_id string, reference string, duration double, snr_db double, silence_ratio double, whisper_cer double, passed boolean, reason string, settings string"
@@ -24,7 +25,7 @@ TRAINING = "audio_path string, raw_text string, processed_text string, duration
 
 
 class Project:
-    """A project's tables in a Store: sources (replaced by each stage), cues, clips, judgements and spoken texts (added to), and the training rows (replaced).
+    """A project's tables in a Store: sources (replaced by each stage), cues, clips, judgements and spoken texts (added to), and the training rows and a run's parsed transcripts (replaced).
 
     Sounds, word times and what was heard come from outside, as tables. Every stage writes its rows before it sets its flag: a run that breaks between the two
     finds the rows next time, counts them as skipped and sets the flag. settings are those of a project (see reports.SETTINGS); clips that were rejected and clips that were judged by other
@@ -96,7 +97,9 @@ class Project:
         done = self.cues().select(F.col("source_id").alias("id")).distinct()
         todo = manifest.pending(ready, done, "id")
         files = transcripts.join(todo.select(F.col("transcript_path").alias("path")), "path", "left_semi")
-        parsed = srt.parse(files)
+        # Parsed once: the cues, the joins that snap them and the errors all read this table.
+        self.store.replace("parsed", srt.parse(files).select(*(c.split()[0] for c in PARSED.split(", "))))
+        parsed = self.store.version("parsed", PARSED)
         own = todo.join(parsed.select(F.col("path").alias("transcript_path"), "ord", "start_sec", "end_sec", "text").filter("ord IS NOT NULL"), "transcript_path")
         # The aligned file is written anew, so cues are numbered from 1.
         own = own.select(F.col("id").alias("source_id"), F.row_number().over(Window.partitionBy("id").orderBy("ord")).cast("long").alias("index"), "start_sec", "end_sec", "text")

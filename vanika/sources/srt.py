@@ -47,13 +47,12 @@ def parse_blocks(blocks: DataFrame) -> DataFrame:
     broken = F.when(F.size("sides") > 2, "two arrows").when(F.col("start_sec").isNull() | F.col("end_sec").isNull(), "malformed time")
     by_file = Window.partitionBy("path")
     rows = rows.withColumn("error", F.min(F.when(F.size("sides") > 2, "two arrows")).over(by_file)).withColumn("own", broken)
-    kept = rows.filter("error IS NULL AND own IS NULL AND text <> ''")
-    before = Window.partitionBy("path").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    kept = kept.withColumn("index", F.when(F.col("numbered"), F.col("number")).otherwise(F.coalesce(F.count("ord").over(before), F.lit(0)) + 1))
-    errors = rows.filter("error IS NOT NULL").groupBy("path").agg(F.min("error").alias("error"))
-    empty = {"ord": "int", "index": "long", "start_sec": "double", "end_sec": "double", "text": "string"}
-    failed = errors.select("path", *(F.lit(None).cast(t).alias(c) for c, t in empty.items()), "error")
-    return kept.select("path", "ord", "index", "start_sec", "end_sec", "text", "error").unionByName(failed)
+    good = F.col("error").isNull() & F.col("own").isNull() & (F.col("text") != "")
+    in_file = Window.partitionBy("path").orderBy("ord")
+    so_far = F.count(F.when(good, 1)).over(in_file.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("index", F.when(F.col("numbered"), F.col("number")).otherwise(so_far)).withColumn("first", F.row_number().over(in_file) == 1)
+    kept = rows.filter(good | (F.col("error").isNotNull() & F.col("first")))  # a file with an error keeps one row, of nulls but for that
+    return kept.select("path", *(F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in ("ord", "index", "start_sec", "end_sec", "text")), "error")
 
 
 def stamp(seconds: Column) -> Column:
